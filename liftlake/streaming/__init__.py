@@ -1,0 +1,2 @@
+"""Deliberately empty: the feature set has no unbounded source, watermark or
+stateful operator. Event logs are batch tables (see ``operators.funnels``)."""
