@@ -39,6 +39,10 @@ def ranked_counts(counts: DataFrame, keys: list[str], bucket_values: int = BUCKE
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("value")).alias("__cuts"))
     )
+    # One marker of 8 bytes per ``bucket_values`` distinct values: 100 TB of
+    # doubles leave about 100 MB, so the default bucket size proves the bound.
+    if bucket_values >= BUCKET_VALUES:
+        markers = F.broadcast(markers)
     cut = counts.join(markers, keys, "left").withColumn(
         "__bucket",
         F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("value"))), F.lit(0)),
@@ -171,3 +175,23 @@ def kruskal_wallis(ranks: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "n_arms", "n", (h / correction).alias("statistic"))
         .withColumn("p_value", tails.chi_square_sf(F.col("statistic"), F.col("n_arms") - 1))
     )
+
+
+def exact_quantiles_of_counts(
+    counts: DataFrame, keys: list[str], probs: dict[str, float], bucket_values: int = BUCKET_VALUES
+) -> DataFrame:
+    """Quantiles from (keys, value, cnt) rows; returns keys and the quantiles."""
+    return quantiles_of_ranked(ranked_counts(counts, keys, bucket_values), keys, probs).drop("n")
+
+
+def median_neighbourhood(ranked: DataFrame, width: float = 6.0) -> DataFrame:
+    """The rows a resampled median can land on: positions within ``width``·√n of the middle.
+
+    A resampled median's position has standard deviation √n/2, so the default
+    keeps twelve standard deviations on each side.
+    """
+    n = F.col("n").cast("double")
+    reach = width * F.sqrt(n) + 2.0
+    return ranked.filter(
+        (F.col("before") + F.col("cnt") >= n / 2.0 - reach) & (F.col("before") <= n / 2.0 + reach)
+    )
