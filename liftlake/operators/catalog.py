@@ -52,42 +52,44 @@ def profile(df: DataFrame, dataset: str, exact_distinct: list[str] | None = None
         screen += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.02).alias(f"a{i}")]
         if _is_numeric(kinds[c]):
             screen += [F.sum(v.cast("double")).alias(f"s{i}"), F.bool_and((v == 0) | (v == 1)).alias(f"z{i}")]
-    first = df.agg(*screen)
-    sketch = first.select(*[f"a{i}" for i in range(len(columns))]).first()
-    small = [i for i in range(len(columns)) if sketch[f"a{i}"] <= 2 * LOW_CARDINALITY]
+    seen = df.agg(*screen).first()  # one summary row per table
+    small = [i for i in range(len(columns)) if seen[f"a{i}"] <= 2 * LOW_CARDINALITY]
+    exact = [c for c in exact_distinct or [] if columns.index(c) not in small]
     second = df.agg(
-        F.count(F.lit(1)).alias("__n"), *[F.array_sort(F.collect_set(clean(columns[i]).cast("string"))).alias(f"v{i}") for i in small]
+        F.count(F.lit(1)).alias("__n"),
+        *[F.array_sort(F.collect_set(clean(columns[i]).cast("string"))).alias(f"v{i}") for i in small],
+        *[F.count_distinct(clean(c)).alias(f"x{columns.index(c)}") for c in exact],
     )
-    joined = first.crossJoin(second)  # one row each
-    exact = {}
-    for c in exact_distinct or []:
-        exact[c] = f"x{columns.index(c)}"
-        joined = joined.crossJoin(df.agg(F.count_distinct(clean(c)).alias(exact[c])))  # one row
 
     def row(i: int, c: str) -> Column:
+        n_rows, held = seen["n_rows"], seen[f"n{i}"]
         values = F.col(f"v{i}") if i in small else F.lit(None).cast("array<string>")
         if c in exact:
-            distinct = F.col(exact[c])
+            distinct = F.col(f"x{i}")
         elif i in small:
             distinct = F.when(F.size(values) <= LOW_CARDINALITY, F.size(values).cast("bigint"))
+            if c in (exact_distinct or []):
+                distinct = F.size(values).cast("bigint")
         else:
             distinct = F.lit(None).cast("bigint")
         numeric = _is_numeric(kinds[c])
+        zero_one = held == 0 or (numeric and bool(seen[f"z{i}"]))
+        total = float(seen[f"s{i}"]) if numeric and seen[f"s{i}"] is not None else None
         return F.struct(
             F.lit(dataset).alias("dataset"),
             F.lit(i + 1).alias("position"),
             F.lit(c).alias("column_name"),
             F.lit(numeric).alias("is_numeric"),
-            F.col("n_rows").alias("n_rows"),
-            (F.col("n_rows") - F.col(f"n{i}")).alias("n_null"),
-            F.when(F.col("n_rows") > 0, (F.col("n_rows") - F.col(f"n{i}")) / F.col("n_rows")).otherwise(1.0).alias("null_fraction"),
+            F.lit(n_rows).cast("bigint").alias("n_rows"),
+            F.lit(n_rows - held).cast("bigint").alias("n_null"),
+            F.lit((n_rows - held) / n_rows if n_rows else 1.0).alias("null_fraction"),
             distinct.alias("n_distinct"),
-            (F.coalesce(F.col(f"z{i}"), F.lit(True)) if numeric else F.col(f"n{i}") == 0).alias("zero_one"),
-            (F.col(f"s{i}") if numeric else F.lit(None).cast("double")).alias("column_sum"),
+            F.lit(zero_one).alias("zero_one"),
+            F.lit(total).cast("double").alias("column_sum"),
             values.alias("values"),
         )
 
-    return joined.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+    return second.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
 def build_catalog(datasets: dict[str, DataFrame]) -> DataFrame:
