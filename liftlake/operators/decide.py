@@ -554,7 +554,7 @@ def run_status(steps: DataFrame, keys: list[str]) -> DataFrame:
     g = steps.groupBy(*keys).agg(F.coalesce(F.max(F.when(counted, severity)), F.lit(0)).alias("severity"), F.count(F.lit(1)).alias("n_steps"))
     return g.withColumn(
         "run_status",
-        F.when(F.col("severity") == 3, "FAILED").when(F.col("severity") == 2, "WARNING").when(F.col("severity") == 1, "SKIPPED").otherwise("COMPLETED"),
+        F.when(F.col("severity") == 3, "FAILED").when(F.col("severity") == 2, "WARNING").when(F.col("severity") == 1, "SKIPPED").otherwise("SUCCESS"),
     )
 
 
@@ -577,7 +577,7 @@ def definition_audit(definitions: DataFrame) -> DataFrame:
         definitions.withColumn("ok_hypotheses", (F.size(h) == 0) | (n_primary == 1))
         .withColumn("ok_control", (F.size(v) == 0) | (n_control == 1))
         .withColumn("ok_variant_ids", F.size(F.array_distinct(ids)) == F.size(v))
-        .withColumn("ok_allocation", (F.size(v) == 0) | (F.abs(total - 100.0) <= 0.01))
+        .withColumn("ok_allocation", (F.size(v) == 0) | (F.abs(total - 100.0) <= 0.5))
         .withColumn("ok_metrics", n_metric <= 1)
         .withColumn("ready_hypothesis", filled)
         .withColumn("ready_variants", (n_control >= 1) & (F.size(v) > n_control))
