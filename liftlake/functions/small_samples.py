@@ -7,10 +7,10 @@ the caller has bounded; unit tables never pass through.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 
 _ND = NormalDist()
 
@@ -26,6 +26,11 @@ _MU_LARGE = [0.0038915, -0.083751, -0.31082, -1.5861]
 _SD_LARGE = [0.0030302, -0.082676, -0.4803]
 
 
+@lru_cache(maxsize=256)
+def _normal_scores(n: int) -> np.ndarray:
+    return np.array([_ND.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+
+
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     """W and its p-value for 3 ≤ n ≤ 5000."""
     x = np.sort(np.asarray(values, dtype=float))
@@ -36,7 +41,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     total = float(centred @ centred)
     if total <= 0:
         return 1.0, 1.0
-    m = np.array([_ND.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    m = _normal_scores(n)
     a = np.zeros(n)
     if n == 3:
         a[-1], a[0] = math.sqrt(0.5), -math.sqrt(0.5)
@@ -70,15 +75,6 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))
 
 
-def shapiro_group(groups: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["value"].to_numpy())
-        head = {g: [pdf[g].iloc[0]] for g in groups}
-        return pd.DataFrame({**head, "n": [len(pdf)], "w": [w], "p_value": [p]})
-
-    return run
-
-
 # --- exact Mann-Whitney ----------------------------------------------------
 def mann_whitney_exact(n1: int, n2: int, u: float) -> float:
     """Two-sided exact p of U for tie-free arms, from the counts of all orderings.
@@ -103,12 +99,20 @@ def mann_whitney_exact(n1: int, n2: int, u: float) -> float:
 
 # --- noncentral t power ----------------------------------------------------
 _U, _WEIGHTS = np.polynomial.legendre.leggauss(80)
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_STEP = 1e-3
+_GRID = np.arange(-12.0, 12.0 + _STEP, _STEP)
+_TAIL = np.array([0.5 * math.erfc(z / math.sqrt(2.0)) for z in _GRID])
+_SLOPE = -np.exp(-_GRID * _GRID / 2.0) / math.sqrt(2.0 * math.pi)
 
 
 def _upper(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _erfc(z / math.sqrt(2.0))
+    """P(Z > z), cubic Hermite between tabulated values (error below 1e-14)."""
+    x = np.clip(z, -11.99, 11.99)
+    i = ((x - _GRID[0]) / _STEP).astype(int)
+    u = (x - _GRID[i]) / _STEP
+    h00, h10 = (1 + 2 * u) * (1 - u) ** 2, u * (1 - u) ** 2
+    h01, h11 = u * u * (3 - 2 * u), u * u * (u - 1)
+    return h00 * _TAIL[i] + h10 * _STEP * _SLOPE[i] + h01 * _TAIL[i + 1] + h11 * _STEP * _SLOPE[i + 1]
 
 
 def _chi_scale(df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +133,11 @@ def t_tail_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def t_critical(df: np.ndarray, alpha: float) -> np.ndarray:
-    """Bisection on the two-sided tail."""
-    lo, hi = np.zeros_like(df), np.full_like(df, 50.0)
-    for _ in range(60):
+    """Two-sided critical value by bisection on the tail."""
+    lo, hi = np.zeros_like(df), np.full_like(df, 1.0)
+    while np.any(t_tail_two_sided(hi, df) > alpha):
+        hi = np.where(t_tail_two_sided(hi, df) > alpha, hi * 2.0, hi)
+    for _ in range(36):
         mid = (lo + hi) / 2.0
         above = t_tail_two_sided(mid, df) > alpha
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
@@ -161,15 +167,25 @@ def t_minimum_effect(n1: np.ndarray, n2: np.ndarray, alpha: float, power: float)
 
 
 def t_required_n(effect: np.ndarray, ratio: np.ndarray, alpha: float, power: float) -> np.ndarray:
-    """Real-valued first-arm size reaching the target power; secant on a log scale from the normal answer."""
+    """Real-valued first-arm size reaching the target power, by secant steps from the normal answer."""
     x = _ND.inv_cdf(1 - alpha / 2) + _ND.inv_cdf(power)
-    guess = np.maximum((x / effect) ** 2 * (1.0 + 1.0 / ratio), 1.5)
-    lo, hi = np.maximum(guess * 0.5, 1.01 + 1.0 / ratio), guess * 1.5 + 30.0
-    for _ in range(60):
-        mid = (lo + hi) / 2.0
-        short = t_power(effect, mid, mid * ratio, alpha) < power
-        lo, hi = np.where(short, mid, lo), np.where(short, hi, mid)
-    return (lo + hi) / 2.0
+    floor = 1.01 + 1.0 / ratio
+
+    def miss(n: np.ndarray) -> np.ndarray:
+        return t_power(effect, n, n * ratio, alpha) - power
+
+    a = np.maximum((x / effect) ** 2 * (1.0 + 1.0 / ratio), floor)
+    b = a + 1.0
+    fa, fb = miss(a), miss(b)
+    for _ in range(12):
+        slope = (fb - fa) / np.where(b == a, 1.0, b - a)
+        move = np.where(np.abs(slope) > 1e-300, fb / np.where(slope == 0, 1.0, slope), 0.0)
+        c = np.maximum(b - np.clip(move, -b, b / 2.0), floor)
+        a, fa, b = b, fb, c
+        if np.all(np.abs(a - b) < 1e-9 * b):
+            break
+        fb = miss(b)
+    return b
 
 
 # --- resampled medians -----------------------------------------------------

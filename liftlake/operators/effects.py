@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from liftlake.functions import fixed, tails
 from liftlake.operators import ranks, units as unit_ops
 from liftlake.operators.units import clean_double
+from liftlake.session import materialize
 
 
 def metric_kind(name: Column, all_zero_one: Column) -> Column:
@@ -431,12 +432,16 @@ def rank_tests(
     ).select(*by, "compared", "s.arm", "s.is_control")
     rows = long.join(sides, [*by, "arm"]).withColumn("side", F.when(F.col("is_control"), "control").otherwise("treated"))
     group = [*by, "compared"]
-    facts = ranks.mann_whitney(ranks.arm_ranks(rows, group, "side", bucket_values), group, F.lit("control"), "side")
+    sided = [*group, "side"]
+    # counted once, then ranked pooled (the test) and per side (medians, interval)
+    counts = materialize(ranks.value_counts(rows, group, by="side"))
+    facts = ranks.mann_whitney(ranks.arm_ranks_of_counts(counts, group, "side", bucket_values), group, F.lit("control"), "side")
     facts = resampling.with_exact_mann_whitney(facts)
-    medians = ranks.exact_quantiles(rows, [*group, "side"], {"median": 0.5}, bucket_values=bucket_values)
+    ranked = ranks.ranked_counts(counts, sided, bucket_values)
+    medians = ranks.quantiles_of_ranked(ranked, sided, {"median": 0.5})
     wide = medians.groupBy(*group).agg(
         F.max(F.when(F.col("side") == "control", F.col("median"))).alias("median_c"),
         F.max(F.when(F.col("side") == "treated", F.col("median"))).alias("median_t"),
     )
-    ci = resampling.median_bootstrap(rows, group, "side", "control", draws, alpha, seed, bucket_values)
+    ci = resampling.median_bootstrap_of_ranked(ranked, group, "side", "control", draws, alpha, seed)
     return facts.join(wide, group).join(ci, group, "left").withColumnRenamed("compared", "arm")

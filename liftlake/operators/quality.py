@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from liftlake.functions import fixed, small_samples, tails
 from liftlake.operators import ranks
 from liftlake.operators.units import clean_double, explode_quality, quality_struct
+from liftlake.session import materialize
 
 
 def srm_two_arm(
@@ -113,7 +115,8 @@ def outlier_facts(
         F.avg("__t").alias("mean"),
         F.stddev_samp("__t").alias("sd"),
     )
-    ranked = ranks.ranked_counts(ranks.value_counts(work, groups, "__t"), groups, bucket_values)
+    # read three times below (quartiles, spread, flags): cut the lineage once
+    ranked = materialize(ranks.ranked_counts(ranks.value_counts(work, groups, "__t"), groups, bucket_values))
     quartiles = ranks.quantiles_of_ranked(ranked, groups, {"q1": 0.25, "med": 0.5, "q3": 0.75}).drop("n")
     facts = sizes.join(quartiles, groups, "left")
     degenerate = quartiles.filter(F.col("q1") == F.col("q3")).select(*groups, "med")
@@ -180,7 +183,7 @@ def normality(
 
     The sample is the 5,000 smallest unit hashes: the same rows for a seed on
     any partitioning, and cut before the shuffle by the window's group limit.
-    Its size bounds every Python group.
+    Its size bounds the arrays handed to Python.
     """
     groups = [*keys, arm]
     held = long.filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(arm).isNotNull())
@@ -191,11 +194,18 @@ def normality(
         .filter(F.col("__rn") <= fixed.SHAPIRO_MAX_N)
         .select(*groups, "value")
     )
-    fields = [f for f in sample.schema.fields if f.name != "value"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n long, w double, p_value double"
+
+    @F.pandas_udf("n long, w double, p_value double")
+    def screen(values: pd.Series) -> pd.DataFrame:
+        out = [(len(v), *small_samples.shapiro_wilk(v)) for v in values]
+        return pd.DataFrame(out, columns=["n", "w", "p_value"])
+
     return (
         sample.groupBy(*groups)
-        .applyInPandas(small_samples.shapiro_group(groups), schema)
+        .agg(F.sort_array(F.collect_list("value")).alias("values"))
+        .select(*groups, screen("values").alias("s"))
+        .select(*groups, "s.*")
+        .filter(F.col("n") >= 3)
         .withColumn("normal", F.col("p_value") >= alpha)
     )
 

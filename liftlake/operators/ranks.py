@@ -104,7 +104,11 @@ def exact_quantiles(
 
 def arm_ranks(long: DataFrame, keys: list[str], arm: str = "arm", bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """Rank sums, sizes and tie terms per group and arm."""
-    per_arm = value_counts(long, keys, by=arm)
+    return arm_ranks_of_counts(value_counts(long, keys, by=arm), keys, arm, bucket_values)
+
+
+def arm_ranks_of_counts(per_arm: DataFrame, keys: list[str], arm: str = "arm", bucket_values: int = BUCKET_VALUES) -> DataFrame:
+    """The same from (keys, arm, value, cnt) rows."""
     pooled = per_arm.groupBy(*keys, "value").agg(
         F.sum("cnt").alias("cnt"), F.collect_list(F.struct(F.col(arm).alias("arm"), F.col("cnt").alias("c"))).alias("arms")
     )

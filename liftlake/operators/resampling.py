@@ -41,35 +41,51 @@ def median_bootstrap(
     seed: int = 42,
     bucket_values: int = ranks.BUCKET_VALUES,
 ) -> DataFrame:
-    """Percentile interval of the difference of medians.
+    """Percentile interval of the difference of medians."""
+    groups = [*keys, arm]
+    ranked = ranks.ranked_counts(ranks.value_counts(long, groups), groups, bucket_values)
+    return median_bootstrap_of_ranked(ranked, keys, arm, control, draws, alpha, seed)
+
+
+def median_bootstrap_of_ranked(
+    ranked: DataFrame, keys: list[str], arm: str, control: str, draws: int = 2000, alpha: float = fixed.ALPHA, seed: int = 42
+) -> DataFrame:
+    """The same from ranked (keys, arm, value) counts.
 
     Resampled medians only land near the middle of an arm, so each arm sends its
     order statistics within about 6√n positions of the median - not its rows.
+    The generator is seeded by the group's keys, so retries repeat the draws.
     """
-    groups = [*keys, arm]
-    ranked = ranks.ranked_counts(ranks.value_counts(long, groups), groups, bucket_values)
-    near = ranks.median_neighbourhood(ranked).select(
-        *groups, "value", (F.col("before") + F.col("cnt")).alias("upto"), "n"
+    near = ranks.median_neighbourhood(ranked)
+    point = F.struct(F.col("value"), (F.col("before") + F.col("cnt")).alias("upto"))
+    is_control = F.col(arm) == control
+    sides = near.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(is_control, point))).alias("c"),
+        F.sort_array(F.collect_list(F.when(~is_control, point))).alias("t"),
+        F.max(F.when(is_control, F.col("n"))).alias("n_c"),
+        F.max(F.when(~is_control, F.col("n"))).alias("n_t"),
     )
-    schema = _fields(near, keys) + ", ci_lower double, ci_upper double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        digest = int(pd.util.hash_pandas_object(pd.Series(["|".join(str(head[k][0]) for k in keys)]), index=False).iloc[0])
-        rng = np.random.default_rng([seed, digest])
-        medians = {}
-        for side, part in sorted(pdf.groupby(pdf[arm] == control)):
-            part = part.sort_values("value")
-            medians[bool(side)] = small_samples.resampled_medians(
-                part["value"].to_numpy(), part["upto"].to_numpy(), int(part["n"].iloc[0]), draws, rng
-            )
-        if len(medians) < 2:
-            return pd.DataFrame({**head, "ci_lower": [None], "ci_upper": [None]})
-        diff = medians[False] - medians[True]
-        lo, hi = np.percentile(diff, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        return pd.DataFrame({**head, "ci_lower": [lo], "ci_upper": [hi]})
 
-    return near.groupBy(*keys).applyInPandas(run, schema)
+    @F.pandas_udf("ci_lower double, ci_upper double")
+    def interval(
+        c_value: pd.Series, c_upto: pd.Series, t_value: pd.Series, t_upto: pd.Series, n_c: pd.Series, n_t: pd.Series, h: pd.Series
+    ) -> pd.DataFrame:
+        out = []
+        for cv, cu, tv, tu, nc, nt, digest in zip(c_value, c_upto, t_value, t_upto, n_c, n_t, h):
+            if len(cv) == 0 or len(tv) == 0:
+                out.append((None, None))
+                continue
+            rng = np.random.default_rng([seed, int(digest) & 0xFFFFFFFF, (int(digest) >> 32) & 0xFFFFFFFF])
+            control_medians = small_samples.resampled_medians(cv, cu, int(nc), draws, rng)
+            treated_medians = small_samples.resampled_medians(tv, tu, int(nt), draws, rng)
+            lo, hi = np.percentile(treated_medians - control_medians, [100 * alpha / 2, 100 * (1 - alpha / 2)])
+            out.append((lo, hi))
+        return pd.DataFrame(out, columns=["ci_lower", "ci_upper"], dtype=float)
+
+    return sides.select(
+        *keys,
+        interval("c.value", "c.upto", "t.value", "t.upto", "n_c", "n_t", F.xxhash64(*keys)).alias("i"),
+    ).select(*keys, "i.*")
 
 
 # Poisson(1) cumulative probabilities, as thresholds on a 64-bit hash.
