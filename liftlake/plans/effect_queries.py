@@ -178,7 +178,7 @@ def kruskal(spark, sf_dir):
 @query("effects_small_samples")
 def small_samples(spark, sf_dir):
     """Supplier x part-group experiments with few units: normality decides Welch or Mann-Whitney; resampled medians."""
-    su = tb.supplier_rows(spark, sf_dir).withColumn("slice", F.col("part") % 40)
+    su = tb.supplier_rows(spark, sf_dir).withColumn("slice", F.col("part") % 20)
     by = ["experiment_id", "slice"]
     rows = su.select(*by, F.concat_ws("/", "unit_id", "row_order", "part").alias("unit_id"), "arm", "quantity")
     long = units.metrics_long(rows, [*by, "unit_id", "arm"], ["quantity"])
@@ -451,7 +451,8 @@ def flagship(spark, sf_dir):
     srm = quality.srm_two_arm(units.split_arms(cu, "arm", "control"), KEY).select(
         "experiment_id", F.col("p_value").alias("srm_p_value"), F.col("passed").alias("srm_passed")
     )
-    return rows.join(srm, "experiment_id").select(
+    out = rows.join(srm, "experiment_id").select(
         "experiment_id", "srm_p_value", "srm_passed", "metric", "dimension", "segment", "arm", "status", "test_type", "n_c", "n_t",
         "effect_abs", "effect_rel", "ci_lower", "ci_upper", "p_value", "adj_p", "reliable",
     )
+    return _r(out, {"srm_p_value": 6, "effect_abs": 3, "effect_rel": 6, "ci_lower": 2, "ci_upper": 2, "p_value": 6, "adj_p": 6})
