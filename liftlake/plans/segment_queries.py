@@ -133,13 +133,17 @@ STRATA = f"""WITH {tb.CUSTOMER_UNITS},
 st AS (SELECT experiment_id, stratum, count(*) FILTER (WHERE arm = 'control') AS n_control, count(*) FILTER (WHERE arm <> 'control') AS n_treated,
   avg(v) FILTER (WHERE arm = 'control') AS rate_control, avg(v) FILTER (WHERE arm <> 'control') AS rate_treated,
   coalesce(var_samp(v) FILTER (WHERE arm = 'control'), 0) AS var_control, coalesce(var_samp(v) FILTER (WHERE arm <> 'control'), 0) AS var_treated
-  FROM (SELECT *, CASE WHEN nation % 11 = 5 THEN NULL ELSE segment || '-' || CAST(nation AS VARCHAR) END AS stratum, {{v}} AS v FROM cu) GROUP BY 1, 2)"""
+  FROM (SELECT *, CASE WHEN nation % 11 = 5 THEN NULL WHEN nation = 7 THEN segment || '-' || CAST(nation AS VARCHAR) ELSE segment || '-' || channel END AS stratum, {{v}} AS v FROM cu) GROUP BY 1, 2)"""
 
 
 def _strata(spark, sf_dir, metric: str):
-    """Segment x nation strata; customers of some nations have no stratum."""
+    """Segment x channel strata, one nation apart (sparse); customers of some nations have no stratum."""
     cu = tb.customer_units(spark, sf_dir).withColumn(
-        "stratum", F.when(F.col("nation") % 11 != 5, F.concat_ws("-", "segment", F.col("nation").cast("string")))
+        "stratum",
+        F.when(
+            F.col("nation") % 11 != 5,
+            F.concat_ws("-", "segment", F.when(F.col("nation") == 7, F.col("nation").cast("string")).otherwise(F.col("channel"))),
+        ),
     )
     return strata.strata(units.split_arms(cu, "arm", "control"), KEY, "stratum", metric)
 
@@ -228,8 +232,8 @@ def combined_binary(spark, sf_dir):
     + f""",
 dg AS (SELECT *, (n_control + n_treated) / (sum(n_control + n_treated) OVER ())::DOUBLE AS share, pow(n_control - n_treated, 2) / (n_control + n_treated)::DOUBLE AS chi2 FROM st),
 dp AS (SELECT *, {tb.sql_normal2('sqrt(chi2)')} AS p FROM dg WHERE stratum IS NOT NULL)
-SELECT stratum, n_control, n_treated, round(share, 6) AS share, round(rate_control, 3) AS rate_control, round(rate_treated, 3) AS rate_treated, round(p, 6) AS p_value, p < 0.05 AS srm_flagged FROM dp""",
+SELECT stratum, n_control, n_treated, round(share, 6) AS share, round(rate_control, 4) AS rate_control, round(rate_treated, 4) AS rate_treated, round(p, 6) AS p_value, p < 0.05 AS srm_flagged FROM dp""",
 )
 def diagnostic(spark, sf_dir):
     d = strata.diagnose_strata(_strata(spark, sf_dir, "lifted_value"), KEY)
-    return _r(d.drop("experiment_id"), {"share": 6, "rate_control": 3, "rate_treated": 3, "p_value": 6})
+    return _r(d.drop("experiment_id"), {"share": 6, "rate_control": 4, "rate_treated": 4, "p_value": 6})
