@@ -1,7 +1,9 @@
-"""The whole analysis of a batch of experiments as one lazily built plan.
+"""The whole analysis of a batch of experiments.
 
-Units are read for the moments and for the integrity check; everything after
-that is facts. Invalid experiments are removed by an anti join before any test.
+Units are read once for the moments and once for the integrity check; everything
+after that is facts. Moments, quality rows and effects are written (reliable
+checkpoint) because several branches read them. Invalid experiments are removed
+by an anti join before any test.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
-from liftlake.operators import decide, effects, power, quality, units
+from liftlake.operators import decide, effects, power, quality
+from liftlake.session import materialize
 
 
 @dataclass
 class Analysis:
-    """Facts tables of a batch; all lazy."""
+    """Facts tables of a batch."""
 
     moments: DataFrame
     quality: DataFrame
@@ -62,15 +65,18 @@ def analyze(
     ``hypotheses``: keys, expected_effect (null without one).
     """
     metrics = [primary, *(extra_metrics or [])]
-    moments = effects.arm_moments(rows, keys, arm, metrics)
+    # Facts are read by many branches below; writing them once keeps the unit
+    # scans at one each, however many branches there are.
+    moments = materialize(effects.arm_moments(rows, keys, arm, metrics))
     q = quality_from_moments(moments, keys, control, primary)
     if integrity is not None:
         q = q.unionByName(integrity)
+    q = materialize(q)
     valid = decide.validity(q, keys)
     experiments = valid.select(*keys)
     paired = effects.pair_with_control(moments, keys, control).filter(F.col("n_c").isNotNull())
     testable = paired.join(valid.filter(F.col("validity") == "INVALID").select(*keys), keys, "left_anti")
-    tested = effects.run_tests(effects.choose_test(testable), keys, alpha)
+    tested = materialize(effects.run_tests(effects.choose_test(testable), keys, alpha))
     main = testable.filter(F.col("metric") == primary)
     sized = power.power_facts(main, alpha).select(*keys, "achieved_power", "mde_rel", "required_n", "observed_n", "powered")
     guard = tested.join(guardrails.select(*keys, "metric", "higher_is_better"), [*keys, "metric"])
@@ -88,6 +94,3 @@ def analyze(
     )
     decisions = decide.confidence(decide.decide(decide.practical_columns(facts)))
     return Analysis(moments, q, valid, tested, sized, findings, decisions)
-
-
-__all__ = ["Analysis", "analyze", "quality_from_moments", "units"]

@@ -317,7 +317,7 @@ def _segments_of(spark, sf_dir):
 AUDIT = (
     DECIDED
     + f""",
-sc0 AS (SELECT experiment_id, CASE WHEN units > 25 THEN 'large' ELSE 'small' END AS seg, arm, count(b) AS n, sum(b) AS s FROM (SELECT *, CASE WHEN revenue > 60000 THEN 1 WHEN revenue IS NOT NULL THEN 0 END AS b FROM su) GROUP BY 1, 2, 3),
+sc0 AS (SELECT experiment_id, CASE WHEN units > 25 THEN 'large' ELSE 'small' END AS seg, arm, count(b) AS n, CAST(sum(b) AS BIGINT) AS s FROM (SELECT *, CASE WHEN revenue > 60000 THEN 1 WHEN revenue IS NOT NULL THEN 0 END AS b FROM su) GROUP BY 1, 2, 3),
 sc1 AS (SELECT c.experiment_id, c.seg, c.n AS nc, t.n AS nt, c.s AS sc, t.s AS st, least(c.n * (c.s + t.s), t.n * (c.s + t.s), c.n * (c.n + t.n - c.s - t.s), t.n * (c.n + t.n - c.s - t.s))::DOUBLE / (c.n + t.n) AS me
    FROM sc0 c JOIN sc0 t ON c.experiment_id = t.experiment_id AND c.seg = t.seg AND c.arm = 'control' AND t.arm = 'treatment' WHERE c.n >= 30 AND t.n >= 30),
 sf1 AS (SELECT *, unnest(generate_series(greatest(0, sc + st - nt), least(nc, sc + st))) AS a FROM sc1 WHERE me < 5),
@@ -395,8 +395,8 @@ def monitoring(spark, sf_dir):
     "display_effects",
     TESTED
     + """, dp AS (SELECT *, metric <> 'units' AS b FROM es)
-SELECT experiment_id, metric, CASE WHEN b THEN printf('%.2f%%', mean_c * 100) ELSE printf('%.2f', mean_c) END AS control_text, CASE WHEN b THEN printf('%.2f%%', mean_t * 100) ELSE printf('%.2f', mean_t) END AS treated_text,
- CASE WHEN effect_rel >= 0 THEN '+' ELSE '' END || printf('%.1f%%', effect_rel * 100) AS delta_text, CASE WHEN p_value < 0.001 THEN '< 0.001' ELSE '= ' || printf('%.4f', p_value) END AS p_text FROM dp""",
+SELECT experiment_id, metric, CASE WHEN b THEN printf('%.2f%%', round(mean_c * 100, 2)) ELSE printf('%.2f', round(mean_c, 2)) END AS control_text, CASE WHEN b THEN printf('%.2f%%', round(mean_t * 100, 2)) ELSE printf('%.2f', round(mean_t, 2)) END AS treated_text,
+ CASE WHEN effect_rel >= 0 THEN '+' ELSE '' END || printf('%.1f%%', round(effect_rel * 100, 1)) AS delta_text, CASE WHEN p_value < 0.001 THEN '< 0.001' ELSE '= ' || printf('%.4f', p_value) END AS p_text FROM dp""",
 )
 def display(spark, sf_dir):
     return decide.display_columns(run(spark, sf_dir).effects).select("experiment_id", "metric", "control_text", "treated_text", "delta_text", "p_text")
