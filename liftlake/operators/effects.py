@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed, tails
+from liftlake.functions.arith import ratio
 from liftlake.operators import ranks, units as unit_ops
 from liftlake.operators.units import clean_double
 from liftlake.session import materialize
@@ -110,7 +111,7 @@ def pair_with_control(moments: DataFrame, keys: list[str], control: str | None =
 def min_expected_cell(n_c: Column, s_c: Column, n_t: Column, s_t: Column) -> Column:
     n = (n_c + n_t).cast("double")
     s = (s_c + s_t).cast("double")
-    return F.least(n_c * s, n_t * s, n_c * (n - s), n_t * (n - s)) / n
+    return ratio(F.least(n_c * s, n_t * s, n_c * (n - s), n_t * (n - s)), n)
 
 
 def chi_square_yates(n_c: Column, s_c: Column, n_t: Column, s_t: Column) -> Column:
@@ -118,9 +119,9 @@ def chi_square_yates(n_c: Column, s_c: Column, n_t: Column, s_t: Column) -> Colu
     a, b = s_c.cast("double"), (n_c - s_c).cast("double")
     c, d = s_t.cast("double"), (n_t - s_t).cast("double")
     n = a + b + c + d
-    excess = F.abs(a * d - b * c) / n
+    excess = ratio(F.abs(a * d - b * c), n)
     corrected = excess - F.least(F.lit(0.5), excess)
-    return corrected**2 * n**3 / ((a + b) * (c + d) * (a + c) * (b + d))
+    return ratio(corrected**2 * n**3, (a + b) * (c + d) * (a + c) * (b + d))
 
 
 def fisher_exact(n_c: Column, s_c: Column, n_t: Column, s_t: Column) -> Column:
@@ -170,10 +171,10 @@ def odds_ratio(n_c: Column, s_c: Column, n_t: Column, s_t: Column) -> Column:
 
 def welch_columns(n_c: Column, mean_c: Column, var_c: Column, n_t: Column, mean_t: Column, var_t: Column):
     """t, Satterthwaite df and the standard error."""
-    a, b = var_c / n_c, var_t / n_t
+    a, b = ratio(var_c, n_c), ratio(var_t, n_t)
     se = F.sqrt(a + b)
-    df = (a + b) ** 2 / (a**2 / (n_c - 1) + b**2 / (n_t - 1))
-    return (mean_t - mean_c) / se, df, se
+    df = ratio((a + b) ** 2, ratio(a**2, n_c - 1) + ratio(b**2, n_t - 1))
+    return ratio(mean_t - mean_c, se), df, se
 
 
 def choose_test(paired: DataFrame) -> DataFrame:
@@ -249,7 +250,7 @@ def run_tests(chosen: DataFrame, keys: list[str], alpha: float = fixed.ALPHA, ra
     t, df, se = welch_columns(n_c, F.col("mean_c"), F.col("var_c"), n_t, F.col("mean_t"), F.col("var_t"))
     base = F.when(rank, F.col("__median_c")).otherwise(F.col("mean_c"))
     seen = F.when(rank, F.col("__median_t")).otherwise(F.col("mean_t"))
-    wald = F.sqrt(F.col("mean_c") * (1 - F.col("mean_c")) / n_c + F.col("mean_t") * (1 - F.col("mean_t")) / n_t)
+    wald = F.sqrt(ratio(F.col("mean_c") * (1 - F.col("mean_c")), n_c) + ratio(F.col("mean_t") * (1 - F.col("mean_t")), n_t))
     staged = (
         chosen.filter(kind != "not_testable")
         .withColumn("__t", F.when(kind == "welch_t_test", t))
@@ -265,15 +266,15 @@ def run_tests(chosen: DataFrame, keys: list[str], alpha: float = fixed.ALPHA, ra
         )
         .withColumn(
             "p_value",
-            F.when(kind == "chi_square", tails.normal_two_sided(F.sqrt(F.col("statistic"))))
+            F.when(kind == "chi_square", tails.normal_two_sided("sqrt(statistic)"))
             .when(kind == "fishers_exact", fisher_exact(n_c, s_c, n_t, s_t))
             .when(rank, F.col("__mw_p"))
-            .otherwise(tails.student_t_two_sided(F.col("__t"), F.col("__df"))),
+            .otherwise(tails.student_t_two_sided("__t", "__df")),
         )
         .withColumn(
             "__half",
             F.when(binary, F.lit(tails.z_quantile(1 - alpha / 2)) * wald).when(
-                kind == "welch_t_test", tails.student_t_critical(F.col("__df"), alpha) * se
+                kind == "welch_t_test", tails.student_t_critical("__df", alpha) * se
             ),
         )
         .withColumn("ci_lower", F.when(rank, F.col("__ci_lower")).otherwise(F.col("effect_abs") - F.col("__half")))
@@ -304,11 +305,11 @@ def omnibus_chi_square(moments: DataFrame, keys: list[str]) -> DataFrame:
         cell.groupBy(*by)
         .agg(
             F.count(F.lit(1)).cast("int").alias("n_arms"),
-            F.sum(part / F.col("__e") + part / (F.col("n") - F.col("__e"))).alias("statistic"),
+            F.sum(ratio(part, F.col("__e")) + ratio(part, F.col("n") - F.col("__e"))).alias("statistic"),
         )
         .filter(F.col("n_arms") >= 3)
     )
-    return g.withColumn("p_value", tails.chi_square_sf(F.col("statistic"), F.col("n_arms") - 1)).withColumn(
+    return g.withColumn("p_value", tails.chi_square_sf("statistic", "n_arms - 1")).withColumn(
         "test_type", F.lit("chi_square")
     )
 
@@ -332,8 +333,8 @@ def omnibus_anova(moments: DataFrame, keys: list[str]) -> DataFrame:
     )
     d1, d2 = F.col("n_arms") - 1, F.col("__n") - F.col("n_arms")
     return (
-        g.withColumn("statistic", (F.col("__ssb") / d1) / (F.col("__ssw") / d2))
-        .withColumn("p_value", tails.f_sf(F.col("statistic"), d1, d2))
+        g.withColumn("statistic", ratio(F.col("__ssb") / d1, ratio(F.col("__ssw"), d2)))
+        .withColumn("p_value", tails.f_sf("statistic", "n_arms - 1", "__n - n_arms"))
         .withColumn("test_type", F.lit("one_way_anova"))
         .drop("__n", "__ssb", "__ssw")
     )

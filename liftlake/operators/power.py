@@ -35,10 +35,12 @@ def cohens_h(p1: Column, p2: Column) -> Column:
     return 2.0 * F.asin(F.sqrt(p2)) - 2.0 * F.asin(F.sqrt(p1))
 
 
-def normal_power(effect: Column, effective_n: Column, alpha: float) -> Column:
+def normal_power(effect: Column, effective_n: Column, alpha: float) -> tuple[Column, Column]:
+    """The standardized shift, to be staged as ``__shift``, and the power read from it."""
     z = tails.z_quantile(1 - alpha / 2)
-    shift = F.abs(effect) * F.sqrt(effective_n)
-    return tails.normal_sf(F.lit(z) - shift) + tails.normal_sf(F.lit(z) + shift)
+    shift = F.struct((F.abs(effect) * F.sqrt(effective_n)).alias("x"))
+    both = f"{tails.normal_sf_sql(f'{z!r}D - __shift.x')} + {tails.normal_sf_sql(f'{z!r}D + __shift.x')}"
+    return shift, F.expr(both)
 
 
 def binary_power(paired: DataFrame, alpha: float = fixed.ALPHA, target: float = fixed.TARGET_POWER) -> DataFrame:
@@ -47,12 +49,15 @@ def binary_power(paired: DataFrame, alpha: float = fixed.ALPHA, target: float =
     effective = n_c * n_t / (n_c + n_t)
     x = solved_shift(alpha, target)
     h = F.abs(cohens_h(F.col("mean_c"), F.col("mean_t")))
+    shift, reached = normal_power(h, effective, alpha)
     phi = 2.0 * F.asin(F.sqrt(F.col("mean_c"))) + F.lit(x) / F.sqrt(effective)
     shifted = F.least(F.greatest(F.sin(phi / 2.0) ** 2, F.lit(0.0)), F.lit(1.0))
     inside = (F.col("mean_c") > 0) & (F.col("mean_c") < 1)
     return (
         paired.withColumn("effect_size", h)
-        .withColumn("achieved_power", F.when(h > 0, F.least(normal_power(h, effective, alpha), F.lit(1.0))).otherwise(0.0))
+        .withColumn("__shift", shift)
+        .withColumn("achieved_power", F.when(h > 0, F.least(reached, F.lit(1.0))).otherwise(0.0))
+        .drop("__shift")
         .withColumn("mde_rel", F.when(inside, (shifted - F.col("mean_c")) / F.col("mean_c") * 100))
         .withColumn(
             "required_n",

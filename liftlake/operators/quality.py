@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed, small_samples, tails
+from liftlake.functions.arith import ratio
 from liftlake.operators import ranks
 from liftlake.operators.units import clean_double, explode_quality, quality_struct
 from liftlake.session import materialize
@@ -37,7 +38,7 @@ def with_two_arm_srm(
     return (
         facts.filter(total > 0)
         .withColumn("chi2", chi2)
-        .withColumn("p_value", tails.normal_two_sided(F.sqrt(F.col("chi2"))))
+        .withColumn("p_value", tails.normal_two_sided("sqrt(chi2)"))
         .withColumn("passed", F.col("p_value") >= alpha)
     )
 
@@ -55,7 +56,7 @@ def srm_multi_arm(units: DataFrame, keys: list[str], arm: str, alpha: float = fi
             F.sum((F.col("n") - F.col("__e")) ** 2 / F.col("__e")).alias("chi2"),
         )
         .filter(F.col("n_arms") >= 2)
-        .withColumn("p_value", tails.chi_square_sf(F.col("chi2"), F.col("n_arms") - 1))
+        .withColumn("p_value", tails.chi_square_sf("chi2", "n_arms - 1"))
         .withColumn("passed", F.col("p_value") >= alpha)
     )
 
@@ -130,7 +131,7 @@ def outlier_facts(
     fences = facts.join(mad, groups, "left")
     x, iqr = F.col("value"), F.col("q3") - F.col("q1")
     flagged = F.when(
-        iqr == 0, (F.col("mad") > 0) & (F.abs(fixed.MAD_SCALE * (x - F.col("med")) / F.col("mad")) > fixed.MAD_LIMIT)
+        iqr == 0, (F.col("mad") > 0) & (F.abs(ratio(fixed.MAD_SCALE * (x - F.col("med")), F.col("mad"))) > fixed.MAD_LIMIT)
     ).otherwise((x < F.col("q1") - iqr_multiplier * iqr) | (x > F.col("q3") + iqr_multiplier * iqr))
     hits = (
         ranked.select(*groups, "value", "cnt")
@@ -139,7 +140,7 @@ def outlier_facts(
         .groupBy(*groups)
         .agg(
             F.sum("cnt").alias("n_outliers"),
-            F.max(F.when(F.col("sd") > 0, F.abs(x - F.col("mean")) / F.col("sd"))).alias("max_sigma"),
+            F.max(F.when(F.col("sd") > 0, ratio(F.abs(x - F.col("mean")), F.col("sd")))).alias("max_sigma"),
         )
     )
     out = fences.join(hits, groups, "left")

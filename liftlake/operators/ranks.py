@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import tails
+from liftlake.functions.arith import ratio
 
 BUCKET_VALUES = 1_000_000
 
@@ -150,10 +151,10 @@ def mann_whitney(ranks: DataFrame, keys: list[str], control: Column, arm: str =
     n = n1 + n2
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2.0
     mean = n1 * n2 / 2.0
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - mean - 0.5) / sd
-    p = F.when(sd == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tails.normal_sf(z)))
-    return g.filter((F.col("n_control") > 0) & (F.col("n_treated") > 0)).select(
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - ratio(F.col("ties"), n * (n - 1))))
+    z = ratio(F.greatest(u, n1 * n2 - u) - mean - 0.5, sd)
+    p = F.when(F.col("__z").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tails.normal_sf("__z")))
+    return g.filter((F.col("n_control") > 0) & (F.col("n_treated") > 0)).withColumn("__z", z).select(
         *keys,
         "n_control",
         "n_treated",
@@ -173,11 +174,11 @@ def kruskal_wallis(ranks: DataFrame, keys: list[str]) -> DataFrame:
     )
     n = F.col("n").cast("double")
     h = 12.0 / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)
-    correction = 1.0 - F.col("ties") / (n**3 - n)
+    correction = 1.0 - ratio(F.col("ties"), n**3 - n)
     return (
         g.filter(F.col("n_arms") >= 2)
-        .select(*keys, "n_arms", "n", (h / correction).alias("statistic"))
-        .withColumn("p_value", tails.chi_square_sf(F.col("statistic"), F.col("n_arms") - 1))
+        .select(*keys, "n_arms", "n", ratio(h, correction).alias("statistic"))
+        .withColumn("p_value", tails.chi_square_sf("statistic", "n_arms - 1"))
     )
 
 

@@ -164,8 +164,8 @@ def interaction_tests(
     fitted = slim.groupBy(*by).applyInPandas(run, schema)
     p = F.when(
         F.col("statistic").isNotNull(),
-        F.when(F.col("metric_type") == "binary", tails.chi_square_sf(F.col("statistic"), F.col("df1"))).otherwise(
-            tails.f_sf(F.col("statistic"), F.col("df1"), F.col("df2"))
+        F.when(F.col("metric_type") == "binary", tails.chi_square_sf("statistic", "df1")).otherwise(
+            tails.f_sf("statistic", "df1", "df2")
         ),
     )
     return fitted.withColumn("p_value", p).withColumn(

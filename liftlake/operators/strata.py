@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed, tails
+from liftlake.functions.arith import ratio
 from liftlake.operators.quality import with_two_arm_srm
 from liftlake.operators.units import clean_double
 
@@ -74,9 +75,9 @@ def stratum_effects(stratum_rows: DataFrame, metric_type: str, min_arm: int = fi
     n_c, n_t = F.col("m_control"), F.col("m_treated")
     p_c, p_t = F.col("rate_control"), F.col("rate_treated")
     if metric_type == "binary":
-        variance: Column = p_c * (1 - p_c) / n_c + p_t * (1 - p_t) / n_t
+        variance: Column = ratio(p_c * (1 - p_c), n_c) + ratio(p_t * (1 - p_t), n_t)
     else:
-        variance = F.coalesce(F.col("var_control"), F.lit(0.0)) / n_c + F.coalesce(F.col("var_treated"), F.lit(0.0)) / n_t
+        variance = ratio(F.coalesce(F.col("var_control"), F.lit(0.0)), n_c) + ratio(F.coalesce(F.col("var_treated"), F.lit(0.0)), n_t)
     return (
         with_flags(stratum_rows, min_arm)
         .filter(F.col("stratum").isNotNull() & F.col("sufficient"))
@@ -98,7 +99,7 @@ def combine_strata(effect_rows: DataFrame, keys: list[str], alpha: float = fixed
             F.sqrt(1.0 / F.sum(weight)).alias("standard_error"),
         )
         .withColumn("z", F.col("effect") / F.col("standard_error"))
-        .withColumn("p_value", tails.normal_two_sided(F.col("z")))
+        .withColumn("p_value", tails.normal_two_sided("z"))
         .withColumn("ci_lower", F.col("effect") - z * F.col("standard_error"))
         .withColumn("ci_upper", F.col("effect") + z * F.col("standard_error"))
         .withColumn("significant", F.col("p_value") < alpha)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
+from liftlake.functions.arith import ratio
 from liftlake.operators.units import clean_double
 
 
@@ -50,8 +51,8 @@ def pooled_theta(arms: DataFrame, keys: list[str]) -> DataFrame:
     """
     w = W.partitionBy(*keys)
     n = F.sum("n_pairs").over(w)
-    my = F.sum(F.col("n_pairs") * F.col("mean_y")).over(w) / n
-    mx = F.sum(F.col("n_pairs") * F.col("mean_x")).over(w) / n
+    my = ratio(F.sum(F.col("n_pairs") * F.col("mean_y")).over(w), n)
+    mx = ratio(F.sum(F.col("n_pairs") * F.col("mean_x")).over(w), n)
     staged = arms.withColumn("pairs", n).withColumn("__my", my).withColumn("x_mean", mx)
     dy, dx = F.col("mean_y") - F.col("__my"), F.col("mean_x") - F.col("x_mean")
     staged = (
@@ -59,11 +60,11 @@ def pooled_theta(arms: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("__sxx", F.sum(F.col("ss_x") + F.coalesce(F.col("n_pairs") * dx * dx, F.lit(0.0))).over(w))
         .withColumn("__sxy", F.sum(F.col("ss_xy") + F.coalesce(F.col("n_pairs") * dx * dy, F.lit(0.0))).over(w))
     )
-    corr = F.when((F.col("__sxx") > 0) & (F.col("__syy") > 0), F.col("__sxy") / F.sqrt(F.col("__sxx") * F.col("__syy")))
+    corr = ratio(F.col("__sxy"), F.sqrt(F.col("__sxx") * F.col("__syy")))
     return (
         staged.withColumn("correlation", corr)
         .withColumn("skip_reason", _skip(F.col("pairs"), F.col("__sxx"), F.col("correlation"), F.min("n_pairs").over(w)))
-        .withColumn("theta", F.when(F.col("skip_reason").isNull(), F.col("__sxy") / F.col("__sxx")))
+        .withColumn("theta", F.when(F.col("skip_reason").isNull(), ratio(F.col("__sxy"), F.col("__sxx"))))
         .drop("__my", "__syy", "__sxx", "__sxy")
     )
 
@@ -91,8 +92,8 @@ def adjusted_moments(units: DataFrame, keys: list[str], arm: str, metric: str, c
     raw1 = F.coalesce(F.col("mean_y"), F.lit(0.0))
 
     def pool(mean1: Column, ss1: Column) -> tuple[Column, Column]:
-        mean = (n1 * mean1 + n2 * m2) / (n1 + n2)
-        ss = ss1 + F.col("ss_lone") + n1 * n2 / (n1 + n2) * (mean1 - m2) ** 2
+        mean = ratio(n1 * mean1 + n2 * m2, n1 + n2)
+        ss = ss1 + F.col("ss_lone") + ratio(n1 * n2, n1 + n2) * (mean1 - m2) ** 2
         return mean, ss
 
     mean, ss = pool(m1, s1)
@@ -105,11 +106,11 @@ def adjusted_moments(units: DataFrame, keys: list[str], arm: str, metric: str, c
         n.alias("n_rows"),
         n.alias("n"),
         mean.alias("mean"),
-        F.when(n > 1, ss / (n - 1)).alias("var"),
+        ratio(ss, n - 1).alias("var"),
         F.lit(0).cast("long").alias("n_success"),
         n.alias("n_other"),
         raw_mean.alias("raw_mean"),
-        F.when(n > 1, raw_ss / (n - 1)).alias("raw_var"),
+        ratio(raw_ss, n - 1).alias("raw_var"),
         "theta",
         "skip_reason",
     )
@@ -123,11 +124,11 @@ def variance_report(adjusted: DataFrame, keys: list[str]) -> DataFrame:
     def pooled_var(mean: str, var: str) -> Column:
         grand = F.col(f"__g_{mean}")
         ss = F.sum((F.col("n") - 1) * F.coalesce(F.col(var), F.lit(0.0)) + F.col("n") * (F.col(mean) - grand) ** 2)
-        return ss / (F.sum("n") - 1)
+        return ratio(ss, F.sum("n") - 1)
 
     staged = adjusted
     for m in ("mean", "raw_mean"):
-        staged = staged.withColumn(f"__g_{m}", F.sum(F.col("n") * F.col(m)).over(w) / F.sum("n").over(w))
+        staged = staged.withColumn(f"__g_{m}", ratio(F.sum(F.col("n") * F.col(m)).over(w), F.sum("n").over(w)))
     out = staged.groupBy(*by).agg(
         F.count(F.lit(1)).cast("int").alias("n_arms"),
         F.max("theta").alias("theta"),
@@ -142,7 +143,7 @@ def variance_report(adjusted: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn(
             "reduction_pct",
             F.when(skipped, 0.0)
-            .when(F.col("variance_before") > 0, 100 * (1 - F.col("variance_after") / F.col("variance_before")))
+            .when(F.col("variance_before") > 0, 100 * (1 - ratio(F.col("variance_after"), F.col("variance_before"))))
             .otherwise(0.0),
         )
         .withColumn("variance_before", F.when(skipped, 0.0).otherwise(F.col("variance_before")))
