@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
 
-SPLIT_ROWS = 200_000  # postings of one term per join key
+SPLIT_ROWS = 1_000_000  # postings of one term per join key
 
 
 # --- chunks --------------------------------------------------------------------
@@ -137,17 +137,22 @@ def chunk_norms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return posts.join(terms.select("term", "idf"), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def _matched(query_rows: DataFrame, posts: DataFrame, split_rows: int) -> DataFrame:
+def _matched(query_rows: DataFrame, posts: DataFrame, terms: DataFrame, split_rows: int) -> DataFrame:
     """Query terms meet postings; a frequent term's postings are spread over several keys.
 
-    Spreading needs the query side's copies only for frequent terms, and both
-    sides carry ``df``, so no term table is consulted at join time.
+    Only terms with more than ``split_rows`` postings are spread. There is at
+    most one of them per ``split_rows`` postings (a few MB for 10^12), so with the
+    default the list is broadcast and postings are shuffled once, by (term, part).
     """
-    parts = F.greatest(F.ceil(F.col("df") / F.lit(split_rows)), F.lit(1)).cast("int")
-    vocabulary = query_rows.select("term", "df").distinct()
-    wanted = posts.join(vocabulary, "term").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int"))
-    spread = query_rows.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
-    return wanted.drop("df").join(spread, ["term", "__part"])
+    frequent = terms.filter(F.col("df") > split_rows).select("term", F.ceil(F.col("df") / F.lit(split_rows)).cast("int").alias("__parts"))
+    if split_rows >= SPLIT_ROWS:
+        frequent = F.broadcast(frequent)
+    parts = F.coalesce("__parts", F.lit(1))
+    placed = posts.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
+    spread = (
+        query_rows.join(frequent, "term", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    )
+    return placed.join(spread, ["term", "__part"])
 
 
 def _top(scores: DataFrame, top_k: int) -> DataFrame:
@@ -170,22 +175,55 @@ def tfidf_search(
     corpus' terms to restrict candidates before scoring.
     """
     q = query_terms(queries).join(terms, "term").withColumn("wq", F.col("qtf") / F.col("query_len") * F.col("idf"))
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("query_norm"))
+    weights = _split_common(q, min_score)
+    rare = weights.filter(~F.col("is_common"))
     dots = (
-        _matched(q.select("query_id", "term", "wq", "idf", "df"), posts, split_rows)
+        _matched(rare.select("query_id", "term", "wq", "idf"), posts, terms, split_rows)
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("wq") * F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("dot"))
+        .agg(F.sum(F.col("wq") * F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("rare_dot"))
+    )
+    common = weights.groupBy("query_id").agg(
+        F.max("query_norm").alias("query_norm"),
+        F.sqrt(F.sum(F.when(F.col("is_common"), F.col("wq") * F.col("wq")).otherwise(0.0))).alias("common_norm"),
+        F.collect_list(F.when(F.col("is_common"), F.struct("term", "wq", "idf"))).alias("common"),
+    )
+    # the common terms can add at most common_norm * norm: drop chunks that stay below the bar
+    reachable = F.col("rare_dot") / F.col("norm") + F.col("common_norm") >= (min_score - 1e-6) * F.col("query_norm")
+    held = dots.join(chunk_norms(posts, terms), "chunk_id").join(common, "query_id").filter(reachable)
+    added = (
+        held.select("query_id", "chunk_id", "rare_dot", "norm", "query_norm", F.explode_outer("common").alias("c"))
+        .select("query_id", "chunk_id", "rare_dot", "norm", "query_norm", "c.*")
+        .join(posts, ["chunk_id", "term"], "left")
     )
+    gain = F.coalesce(F.col("wq") * F.col("tf") / F.col("chunk_len") * F.col("idf"), F.lit(0.0))
     scored = (
-        dots.join(chunk_norms(posts, terms), "chunk_id")
-        .join(q_norm, "query_id")
-        .withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), 9))
+        added.groupBy("query_id", "chunk_id")
+        .agg(((F.max("rare_dot") + F.sum(gain)) / F.max(F.col("norm") * F.col("query_norm"))).alias("raw"))
+        .withColumn("score", F.round("raw", 9))
         .filter(F.col("score") >= min_score)
         .select("query_id", "chunk_id", "score")
     )
     return _top(scored, top_k)
 
 
+def _split_common(q: DataFrame, min_score: float) -> DataFrame:
+    """Mark the most frequent terms of a query that cannot lift a chunk over the bar by themselves.
+
+    By Cauchy-Schwarz a chunk sharing only those terms scores at most their share
+    of the query norm. While that stays below ``min_score`` their postings need
+    not generate candidates; scores still count them. Nothing is approximated.
+    """
+    by_query = W.partitionBy("query_id")
+    downwards = by_query.orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    square = F.col("wq") * F.col("wq")
+    return (
+        q.withColumn("query_norm", F.sqrt(F.sum(square).over(by_query)))
+        .withColumn("__tail", F.sqrt(F.sum(square).over(downwards)))
+        .withColumn("is_common", F.col("__tail") < (min_score - 1e-6) * F.col("query_norm"))
+        .drop("__tail")
+    )
+
+
 def bm25_search(
     queries: DataFrame,
     posts: DataFrame,
@@ -202,7 +240,7 @@ def bm25_search(
     q = query_terms(queries).join(terms, "term")
     length = (1 - b) + b * F.col("chunk_len") / avg_len
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    raw = _matched(q.select("query_id", "term", "qtf", "idf", "df"), posts, split_rows).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
+    raw = _matched(q.select("query_id", "term", "qtf", "idf"), posts, terms, split_rows).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     scored = (
         raw.join(best, "query_id")

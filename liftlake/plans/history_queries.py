@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from liftlake.plans import testbed as tb
 from liftlake.plans.registry import query
+from liftlake.session import new_table_path
 from liftlake.sources import runs as history
 from liftlake.sources import tables
 
@@ -37,7 +35,7 @@ RUNS = """WITH ru AS (SELECT o_orderkey AS run_id, o_orderdate AS created_at, CA
 @query("sources_csv_roundtrip", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS user_id, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def csv_roundtrip(spark, sf_dir):
     """Written as CSV, read back with a string id schema: leading zeros survive."""
-    folder = os.path.join(tempfile.mkdtemp(prefix="liftlake-"), "suppliers")
+    folder = new_table_path(spark, "suppliers")
     rows = tb.table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("user_id"), "s_name", "s_nationkey", "s_acctbal")
     rows.write.option("header", True).csv(folder)
     back = tables.read_csv(spark, folder, "user_id string, s_name string, s_nationkey int, s_acctbal double")
@@ -56,7 +54,7 @@ def dataset_catalog(spark, sf_dir):
 @query("history_append", RUNS + " SELECT decision, count(*) AS n_runs, count(DISTINCT dataset_id) AS n_datasets FROM ru GROUP BY 1")
 def append(spark, sf_dir):
     """Appended in two batches to a table laid out by dataset group, then read back."""
-    folder = os.path.join(tempfile.mkdtemp(prefix="liftlake-"), "runs")
+    folder = new_table_path(spark, "runs")
     all_runs = runs(spark, sf_dir).withColumn("source_id", F.col("dataset_id")).withColumn("dataset_id", F.col("dataset_id") % 8)
     early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp")
     history.append_runs(all_runs.filter(early), folder)
@@ -134,7 +132,7 @@ def orphans(spark, sf_dir):
 
 @query(
     "history_orphans_aged",
-    "SELECT c_custkey AS dataset_key, CAST(epoch_us(first_seen) AS BIGINT) AS first_us FROM (SELECT c_custkey, min(o_orderdate) AS first_seen FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) WHERE first_seen < TIMESTAMP '1993-01-01' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "SELECT c_custkey AS dataset_key, CAST(epoch_us(first_seen) AS BIGINT) AS first_us FROM (SELECT c_custkey, min(o_orderdate) AS first_seen FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) WHERE first_seen < TIMESTAMP '1996-01-01' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 def orphans_aged(spark, sf_dir):
     seen = (
@@ -144,5 +142,5 @@ def orphans_aged(spark, sf_dir):
         .agg(F.min("o_orderdate").alias("first_seen"))
     )
     used = tb.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("dataset_key"))
-    old = history.orphans(seen, "dataset_key", [used], "first_seen", "1993-01-01")
+    old = history.orphans(seen, "dataset_key", [used], "first_seen", "1996-01-01")
     return old.select("dataset_key", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("first_us"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,9 @@ def build_session(app_name: str = "liftlake", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_ADAPTIVE, "spark.sql.session.timeZone": "UTC", **conf}.items():
+    # call-site capture for every Column costs several driver round trips each
+    quiet = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.session.timeZone": "UTC"}
+    for key, value in {**_ADAPTIVE, **quiet, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -38,17 +41,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint directory.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables.
 
-    The cluster's ``spark.checkpoint.dir`` is used when it is set; a temporary
-    folder only when it is not (tests, single machine).
+    The cluster's ``spark.checkpoint.dir`` when it is set (storage every executor
+    sees); a temporary folder only when it is not, as in tests on one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return folder or os.path.join(tempfile.gettempdir(), "liftlake-checkpoints")
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint directory; survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "liftlake-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
