@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
+from liftlake.session import materialize
 
 SPLIT_ROWS = 1_000_000  # postings of one term per join key
 
@@ -73,31 +74,41 @@ def section_chunks(docs: DataFrame, doc_id: str, text: str, source: str) -> Data
 
 
 # --- terms -----------------------------------------------------------------------
+def _raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN_PATTERN), F.lit(0))
+
+
+def _stem(t: Column) -> Column:
+    """The first listed suffix is cut when at least four characters stay."""
+    out = None
+    for suffix in fixed.SUFFIXES:
+        hit = t.endswith(suffix) & (F.length(t) >= len(suffix) + fixed.MIN_STEM)
+        cut = F.substring(t, F.lit(1), F.length(t) - len(suffix))
+        out = F.when(hit, cut) if out is None else out.when(hit, cut)
+    return out.otherwise(t)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens without stop words, then one suffix stripped. All built-in functions."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN_PATTERN), F.lit(0))
-    kept = F.filter(found, lambda t: ~t.isin(fixed.STOP_WORDS))
+    """Lower-cased tokens without stop words, then stemmed, as an array."""
+    return F.transform(F.filter(_raw_tokens(text), lambda t: ~t.isin(fixed.STOP_WORDS)), _stem)
 
-    def stem(t: Column) -> Column:
-        out = None
-        for suffix in fixed.SUFFIXES:
-            hit = t.endswith(suffix) & (F.length(t) >= len(suffix) + fixed.MIN_STEM)
-            cut = F.substring(t, F.lit(1), F.length(t) - len(suffix))
-            out = F.when(hit, cut) if out is None else out.when(hit, cut)
-        return out.otherwise(t)
 
-    return F.transform(kept, stem)
+def exploded_terms(rows: DataFrame, row_id: str, text: Column) -> DataFrame:
+    """(row, term), one row per token: filtering and stemming run as generated code over rows."""
+    return (
+        rows.select(row_id, F.explode(_raw_tokens(text)).alias("__t"))
+        .filter(~F.col("__t").isin(fixed.STOP_WORDS))
+        .select(row_id, _stem(F.col("__t")).alias("term"))
+    )
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """(chunk, term, tf, chunk_len): one shuffle of the chunks; counting is then local to a task."""
-    placed = chunks.select(chunk_id, F.concat_ws(" ", "heading", "content").alias("__text")).repartition(F.col(chunk_id))
-    toks = placed.select(chunk_id, tokens(F.col("__text")).alias("__toks"))
-    return (
-        toks.select(chunk_id, F.size("__toks").alias("chunk_len"), F.explode("__toks").alias("term"))
-        .groupBy(chunk_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("chunk_len").alias("chunk_len"))
+    """(chunk, term, tf, chunk_len): one shuffle of the chunks; counting and lengths are then local to a task."""
+    placed = chunks.select(chunk_id, "heading", "content").repartition(F.col(chunk_id))
+    counted = (
+        exploded_terms(placed, chunk_id, F.concat_ws(" ", "heading", "content")).groupBy(chunk_id, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
+    return counted.withColumn("chunk_len", F.sum("tf").over(W.partitionBy(chunk_id)))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -109,11 +120,11 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
     )
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and average token count."""
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.avg(F.size(tokens(F.concat_ws(" ", "heading", "content")))).alias("avg_len"),
+def corpus_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
+    """One row: number of chunks and average token count (chunks without tokens count as empty)."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    return posts.agg(
+        F.max(n.select("n").scalar()).alias("n_chunks"), (F.sum("tf") / F.max(n.select("n").scalar())).alias("avg_len")
     )
 
 
@@ -137,7 +148,33 @@ def chunk_norms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return posts.join(terms.select("term", "idf"), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def _matched(query_rows: DataFrame, posts: DataFrame, terms: DataFrame, split_rows: int) -> DataFrame:
+def tfidf_index(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk, term, g): TF-IDF weights of unit-length chunks."""
+    weight = F.col("tf") / F.col("chunk_len") * F.col("idf")
+    weighted = posts.join(terms.select("term", "idf"), "term").select("chunk_id", "term", weight.alias("w"))
+    return weighted.select("chunk_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("chunk_id")))).alias("g"))
+
+
+def bm25_index(posts: DataFrame, stats: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """(chunk, term, g): saturated, length-normalized term frequencies."""
+    length = (1 - b) + b * F.col("chunk_len") / stats.select("avg_len").scalar()
+    return posts.select("chunk_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)).alias("g"))
+
+
+# --- search ----------------------------------------------------------------------
+# Both rankings are sums over shared terms of a(query, term) * g(chunk, term), so
+# they share one exact plan:
+#   1. seeds: the best chunks by each query's few rarest terms, scored in full,
+#      give a lower bound of the k-th best score (the bar);
+#   2. a query's most frequent terms are set aside while their largest possible
+#      joint contribution stays below the bar: a chunk sharing only those cannot
+#      be among the results, so their long posting lists generate no pairs;
+#   3. the other terms generate candidates, and only candidates whose upper bound
+#      reaches the bar look their set-aside terms up, by (chunk, term).
+SEED_TERMS = 4
+
+
+def _matched(query_rows: DataFrame, index: DataFrame, terms: DataFrame, split_rows: int) -> DataFrame:
     """Query terms meet postings; a frequent term's postings are spread over several keys.
 
     Only terms with more than ``split_rows`` postings are spread. There is at
@@ -148,22 +185,74 @@ def _matched(query_rows: DataFrame, posts: DataFrame, terms: DataFrame, split_ro
     if split_rows >= SPLIT_ROWS:
         frequent = F.broadcast(frequent)
     parts = F.coalesce("__parts", F.lit(1))
-    placed = posts.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
+    placed = index.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
     spread = (
         query_rows.join(frequent, "term", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     )
     return placed.join(spread, ["term", "__part"])
 
 
-def _top(scores: DataFrame, top_k: int) -> DataFrame:
+def _top(scores: DataFrame, top_k: int, by: str = "score") -> DataFrame:
     """k best chunks per query; the row-number limit is applied before the shuffle."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    w = W.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
+def _seed_bounds(q: DataFrame, index: DataFrame, terms: DataFrame, top_k: int, split_rows: int) -> DataFrame:
+    """Per query a lower bound of the best and of the k-th best full score."""
+    rarest = W.partitionBy("query_id").orderBy("df", "term")
+    seeds = q.withColumn("__r", F.row_number().over(rarest)).filter(F.col("__r") <= SEED_TERMS).select("query_id", "term", "a")
+    partial = _matched(seeds, index, terms, split_rows).groupBy("query_id", "chunk_id").agg(F.sum(F.col("a") * F.col("g")).alias("p"))
+    picked = _top(partial, top_k, "p").select("query_id", "chunk_id")
+    full = (
+        materialize(picked.join(q.select("query_id", "term", "a"), "query_id"))
+        .join(index, ["chunk_id", "term"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.sum(F.col("a") * F.col("g")).alias("s"))
+    )
+    return full.groupBy("query_id").agg(
+        F.max("s").alias("best_low"), F.when(F.count(F.lit(1)) >= top_k, F.min("s")).otherwise(0.0).alias("kth_low")
+    )
+
+
+def _search(q: DataFrame, index: DataFrame, terms: DataFrame, bar: Column, tail_bound: Column, top_k: int, split_rows: int) -> DataFrame:
+    """Full scores (raw) of every chunk that can reach the bar.
+
+    ``q``: query_id, term, a, df. ``tail_bound`` aggregates, over a window, the
+    largest joint contribution of a query's terms.
+    """
+    # Query-sized tables are written so that their measured size decides whether
+    # the index is joined by broadcast, without shuffling it, or by key.
+    q = materialize(q)
+    bounds = _seed_bounds(q, index, terms, top_k, split_rows)
+    floor = bar * (1 - 1e-6)
+    downwards = W.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    split = materialize(
+        q.join(bounds, "query_id", "left")
+        .fillna(0.0, ["best_low", "kth_low"])
+        .withColumn("bar", floor)
+        .withColumn("tail", tail_bound.over(downwards))
+        .withColumn("is_common", F.col("tail") < F.col("bar"))
+    )
+    lead = split.filter(~F.col("is_common")).select("query_id", "term", "a")
+    partial = _matched(lead, index, terms, split_rows).groupBy("query_id", "chunk_id").agg(F.sum(F.col("a") * F.col("g")).alias("p"))
+    aside = split.groupBy("query_id").agg(
+        F.max("bar").alias("bar"),
+        F.coalesce(F.max(F.when(F.col("is_common"), F.col("tail"))), F.lit(0.0)).alias("most"),
+        F.collect_list(F.when(F.col("is_common"), F.struct("term", "a"))).alias("common"),
+    )
+    held = partial.join(aside, "query_id").filter(F.col("p") + F.col("most") >= F.col("bar"))
+    looked = held.select("query_id", "chunk_id", "p", F.explode_outer("common").alias("c")).select("query_id", "chunk_id", "p", "c.*")
+    return (
+        looked.join(index, ["chunk_id", "term"], "left")
+        .groupBy("query_id", "chunk_id")
+        .agg((F.max("p") + F.sum(F.coalesce(F.col("a") * F.col("g"), F.lit(0.0)))).alias("raw"))
+    )
+
+
 def tfidf_search(
     queries: DataFrame,
-    posts: DataFrame,
+    index: DataFrame,
     terms: DataFrame,
     top_k: int = 3,
     min_score: float = 0.12,
@@ -171,79 +260,47 @@ def tfidf_search(
 ) -> DataFrame:
     """Cosine ranking. Terms outside the corpus still count in the query's length.
 
-    Pass postings of a filtered chunk set (metadata category) with the full
-    corpus' terms to restrict candidates before scoring.
+    ``index`` is ``tfidf_index``; pass one filtered to some chunks (a metadata
+    category) to restrict candidates before scoring, with the whole corpus' terms.
     """
     q = query_terms(queries).join(terms, "term").withColumn("wq", F.col("qtf") / F.col("query_len") * F.col("idf"))
-    weights = _split_common(q, min_score)
-    rare = weights.filter(~F.col("is_common"))
-    dots = (
-        _matched(rare.select("query_id", "term", "wq", "idf"), posts, terms, split_rows)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("wq") * F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("rare_dot"))
-    )
-    common = weights.groupBy("query_id").agg(
-        F.max("query_norm").alias("query_norm"),
-        F.sqrt(F.sum(F.when(F.col("is_common"), F.col("wq") * F.col("wq")).otherwise(0.0))).alias("common_norm"),
-        F.collect_list(F.when(F.col("is_common"), F.struct("term", "wq", "idf"))).alias("common"),
-    )
-    # the common terms can add at most common_norm * norm: drop chunks that stay below the bar
-    reachable = F.col("rare_dot") / F.col("norm") + F.col("common_norm") >= (min_score - 1e-6) * F.col("query_norm")
-    held = dots.join(chunk_norms(posts, terms), "chunk_id").join(common, "query_id").filter(reachable)
-    added = (
-        held.select("query_id", "chunk_id", "rare_dot", "norm", "query_norm", F.explode_outer("common").alias("c"))
-        .select("query_id", "chunk_id", "rare_dot", "norm", "query_norm", "c.*")
-        .join(posts, ["chunk_id", "term"], "left")
-    )
-    gain = F.coalesce(F.col("wq") * F.col("tf") / F.col("chunk_len") * F.col("idf"), F.lit(0.0))
-    scored = (
-        added.groupBy("query_id", "chunk_id")
-        .agg(((F.max("rare_dot") + F.sum(gain)) / F.max(F.col("norm") * F.col("query_norm"))).alias("raw"))
-        .withColumn("score", F.round("raw", 9))
-        .filter(F.col("score") >= min_score)
-        .select("query_id", "chunk_id", "score")
+    norm = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(W.partitionBy("query_id")))
+    q = q.withColumn("a", F.col("wq") / norm).select("query_id", "term", "a", "df")
+    # chunks have unit length: by Cauchy-Schwarz terms contribute at most the norm of their a's
+    raw = _search(
+        q, index, terms, F.greatest(F.lit(min_score), F.col("kth_low")), _RootSum(F.col("a") * F.col("a")), top_k, split_rows
     )
+    scored = raw.withColumn("score", F.round("raw", 9)).filter(F.col("score") >= min_score).select("query_id", "chunk_id", "score")
     return _top(scored, top_k)
 
 
-def _split_common(q: DataFrame, min_score: float) -> DataFrame:
-    """Mark the most frequent terms of a query that cannot lift a chunk over the bar by themselves.
+class _RootSum:
+    """sqrt(sum(x)) over a window."""
 
-    By Cauchy-Schwarz a chunk sharing only those terms scores at most their share
-    of the query norm. While that stays below ``min_score`` their postings need
-    not generate candidates; scores still count them. Nothing is approximated.
-    """
-    by_query = W.partitionBy("query_id")
-    downwards = by_query.orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
-    square = F.col("wq") * F.col("wq")
-    return (
-        q.withColumn("query_norm", F.sqrt(F.sum(square).over(by_query)))
-        .withColumn("__tail", F.sqrt(F.sum(square).over(downwards)))
-        .withColumn("is_common", F.col("__tail") < (min_score - 1e-6) * F.col("query_norm"))
-        .drop("__tail")
-    )
+    def __init__(self, x: Column):
+        self.x = x
+
+    def over(self, window) -> Column:
+        return F.sqrt(F.sum(self.x).over(window))
 
 
 def bm25_search(
     queries: DataFrame,
-    posts: DataFrame,
+    index: DataFrame,
     terms: DataFrame,
-    stats: DataFrame,
     top_k: int = 3,
     min_score: float = 0.55,
     k1: float = fixed.BM25_K1,
-    b: float = fixed.BM25_B,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Okapi ranking; repeated query terms count each time; scores relative to the query's best."""
-    avg_len = stats.select("avg_len").scalar()
-    q = query_terms(queries).join(terms, "term")
-    length = (1 - b) + b * F.col("chunk_len") / avg_len
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    raw = _matched(q.select("query_id", "term", "qtf", "idf"), posts, terms, split_rows).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("raw"))
-    best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
+    """Okapi ranking over ``bm25_index``; repeated query terms count each time; scores relative to the query's best."""
+    q = query_terms(queries).join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("a"), "df")
+    # a term frequency saturates at k1 + 1
+    bar = F.greatest(F.lit(min_score) * F.col("best_low"), F.col("kth_low"))
+    raw = _search(q, index, terms, bar, F.sum(F.col("a") * (k1 + 1)), top_k, split_rows)
+    best = F.max("raw").over(W.partitionBy("query_id"))
     scored = (
-        raw.join(best, "query_id")
+        raw.withColumn("best", best)
         .filter(F.col("best") > 0)
         .withColumn("score", F.round(F.col("raw") / F.col("best"), 9))
         .filter(F.col("score") >= min_score)

@@ -118,7 +118,8 @@ def outlier_facts(
     )
     # read three times below (quartiles, spread, flags): cut the lineage once
     ranked = materialize(ranks.ranked_counts(ranks.value_counts(work, groups, "__t"), groups, bucket_values))
-    quartiles = ranks.quantiles_of_ranked(ranked, groups, {"q1": 0.25, "med": 0.5, "q3": 0.75}).drop("n")
+    # facts are written: joined back to the counts by broadcast when small enough
+    quartiles = materialize(ranks.quantiles_of_ranked(ranked, groups, {"q1": 0.25, "med": 0.5, "q3": 0.75}).drop("n"))
     facts = sizes.join(quartiles, groups, "left")
     degenerate = quartiles.filter(F.col("q1") == F.col("q3")).select(*groups, "med")
     spread = (
@@ -128,7 +129,7 @@ def outlier_facts(
         .agg(F.sum("cnt").alias("cnt"))
     )
     mad = ranks.exact_quantiles_of_counts(spread, groups, {"mad": 0.5}, bucket_values)
-    fences = facts.join(mad, groups, "left")
+    fences = materialize(facts.join(mad, groups, "left"))
     x, iqr = F.col("value"), F.col("q3") - F.col("q1")
     flagged = F.when(
         iqr == 0, (F.col("mad") > 0) & (F.abs(ratio(fixed.MAD_SCALE * (x - F.col("med")), F.col("mad"))) > fixed.MAD_LIMIT)

@@ -55,7 +55,7 @@ DATASETS = {
 
 
 def lake(spark, sf_dir) -> dict[str, DataFrame]:
-    cu = tb.customer_units(spark, sf_dir)
+    cu = materialize(tb.customer_units(spark, sf_dir))  # five of the datasets below
     ev = tb.table(spark, sf_dir, "events")
     c = F.col
     return {

@@ -76,13 +76,13 @@ _INDEXES: dict[tuple[str, str], tuple] = {}
 
 
 def index(spark, sf_dir):
-    """Postings, terms and statistics, written once per application and folder."""
+    """Postings, statistics, terms and TF-IDF weights, written once per application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        held = chunks(spark, sf_dir)
-        posts = materialize(corpus.postings(held))
-        stats = materialize(corpus.corpus_stats(held))
-        _INDEXES[key] = (posts, stats)
+        posts = materialize(corpus.postings(chunks(spark, sf_dir)))
+        stats = materialize(corpus.corpus_stats(chunks(spark, sf_dir), posts))
+        terms = materialize(corpus.tfidf_terms(posts, stats))
+        _INDEXES[key] = (posts, stats, terms, materialize(corpus.tfidf_index(posts, terms)))
     return _INDEXES[key]
 
 
@@ -114,20 +114,20 @@ def tokens(spark, sf_dir):
 
 @query("corpus_terms", INDEX + " SELECT term, df, round(idf, 9) AS idf, round(bidf, 9) AS bm25_idf FROM te")
 def terms(spark, sf_dir):
-    posts, stats = index(spark, sf_dir)
+    posts, stats, tfidf, _ = index(spark, sf_dir)
     other = corpus.bm25_terms(posts, stats).select("term", F.round("idf", 9).alias("bm25_idf"))
-    return corpus.tfidf_terms(posts, stats).withColumn("idf", F.round("idf", 9)).join(other, "term")
+    return tfidf.withColumn("idf", F.round("idf", 9)).join(other, "term")
 
 
 @query("corpus_norms", INDEX + " SELECT chunk_id, round(norm, 9) AS norm FROM nm")
 def norms(spark, sf_dir):
-    posts, stats = index(spark, sf_dir)
-    return corpus.chunk_norms(posts, corpus.tfidf_terms(posts, stats)).withColumn("norm", F.round("norm", 9))
+    posts, _, tfidf, _ = index(spark, sf_dir)
+    return corpus.chunk_norms(posts, tfidf).withColumn("norm", F.round("norm", 9))
 
 
 def tfidf_ranked(spark, sf_dir, top_k=3, bar=0.12, split_rows=corpus.SPLIT_ROWS):
-    posts, stats = index(spark, sf_dir)
-    return corpus.tfidf_search(questions(spark, sf_dir), posts, corpus.tfidf_terms(posts, stats), top_k, bar, split_rows)
+    _, _, tfidf, weights = index(spark, sf_dir)
+    return corpus.tfidf_search(questions(spark, sf_dir), weights, tfidf, top_k, bar, split_rows)
 
 
 @query("corpus_tfidf_search", TFIDF.replace("{bar}", "0.12") + " SELECT * FROM rk WHERE rank <= 3")
@@ -153,15 +153,15 @@ def tfidf_split(spark, sf_dir):
 )
 def tfidf_category(spark, sf_dir):
     """Candidates restricted by metadata before scoring; term weights stay those of the whole corpus."""
-    posts, stats = index(spark, sf_dir)
-    held = posts.join(chunks(spark, sf_dir).filter(F.col("lang") == "en").select("chunk_id"), "chunk_id", "left_semi")
-    return corpus.tfidf_search(questions(spark, sf_dir), held, corpus.tfidf_terms(posts, stats))
+    _, _, tfidf, weights = index(spark, sf_dir)
+    held = weights.join(chunks(spark, sf_dir).filter(F.col("lang") == "en").select("chunk_id"), "chunk_id", "left_semi")
+    return corpus.tfidf_search(questions(spark, sf_dir), held, tfidf)
 
 
 @query("corpus_bm25_search", BM25 + " SELECT * FROM rk WHERE rank <= 3")
 def bm25(spark, sf_dir):
-    posts, stats = index(spark, sf_dir)
-    return corpus.bm25_search(questions(spark, sf_dir), posts, corpus.bm25_terms(posts, stats), stats)
+    posts, stats, _, _ = index(spark, sf_dir)
+    return corpus.bm25_search(questions(spark, sf_dir), corpus.bm25_index(posts, stats), corpus.bm25_terms(posts, stats))
 
 
 TIERS_SQL = "ti AS (SELECT source, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 0 ELSE 1 END AS tier FROM (SELECT DISTINCT source FROM documents) WHERE CAST(substr(source, 4) AS INTEGER) < 14)"

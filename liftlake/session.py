@@ -57,8 +57,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint directory; survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write an intermediate once and read it back.
+
+    A Parquet table in the shared folder cuts the lineage, survives lost
+    executors, is read column-wise, and tells the optimizer its size, so small
+    facts are broadcast by measured size rather than by guess.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "facts")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
