@@ -212,15 +212,15 @@ def repeat_agreement(scores: DataFrame, case: str, score: str) -> DataFrame:
     Scores are a handful of levels, so (case, score) counts are aggregated
     first; ties for the mode go to the lowest score.
     """
-    counts = scores.groupBy(case, score).agg(F.count(F.lit(1)).alias("c"))
-    s, c = F.col(score), F.col("c")
-    total = F.sum("c")
+    counts = scores.groupBy(case, score).agg(F.count(F.lit(1)).alias("__c"))
+    s, c = F.col(score), F.col("__c")
+    total = F.sum(c)
     return counts.groupBy(case).agg(
         total.alias("n_runs"),
         (F.sum(s * c) / total).alias("mean_score"),
         F.sqrt(F.greatest(F.sum(s * s * c) / total - (F.sum(s * c) / total) ** 2, F.lit(0.0))).alias("sd_score"),
         F.max(F.struct(c.alias("c"), (-s).alias("s")))["s"].alias("__mode"),
-        (F.max("c") / total).alias("agreement_rate"),
+        (F.max(c) / total).alias("agreement_rate"),
     ).withColumn("modal_score", -F.col("__mode")).drop("__mode")
 
 
