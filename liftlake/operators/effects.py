@@ -438,7 +438,7 @@ def rank_tests(
     counts = materialize(ranks.value_counts(rows, group, by="side"))
     facts = ranks.mann_whitney(ranks.arm_ranks_of_counts(counts, group, "side", bucket_values), group, F.lit("control"), "side")
     facts = resampling.with_exact_mann_whitney(facts)
-    ranked = ranks.ranked_counts(counts, sided, bucket_values)
+    ranked = ranks.ranked_counts(counts, sided, bucket_values, written=True)
     medians = ranks.quantiles_of_ranked(ranked, sided, {"median": 0.5})
     wide = medians.groupBy(*group).agg(
         F.max(F.when(F.col("side") == "control", F.col("median"))).alias("median_c"),

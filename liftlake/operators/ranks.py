@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions import tails
 from liftlake.functions.arith import ratio
+from liftlake.session import materialize
 
 BUCKET_VALUES = 1_000_000
 
@@ -28,13 +29,17 @@ def value_counts(long: DataFrame, keys: list[str], value: str = "value", by: str
     return held.groupBy(*names, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def ranked_counts(counts: DataFrame, keys: list[str], bucket_values: int = BUCKET_VALUES) -> DataFrame:
+def ranked_counts(counts: DataFrame, keys: list[str], bucket_values: int = BUCKET_VALUES, written: bool = False) -> DataFrame:
     """Add ``before`` (rows of the group below this value) and ``n`` (rows of the group).
 
-    ``counts`` has one row per (keys, value) and a ``cnt``; other columns pass through.
+    ``counts`` has one row per (keys, value) and a ``cnt``; other columns pass
+    through. It is read several times below, so it is written once unless the
+    caller already did: the rows behind it are scanned a single time.
     """
     if not keys:
         raise ValueError("ranked_counts needs at least one key column")
+    if not written:
+        counts = materialize(counts)
     markers = (
         counts.filter(F.pmod(F.xxhash64("value"), F.lit(bucket_values)) == 0)
         .groupBy(*keys)

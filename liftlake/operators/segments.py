@@ -11,6 +11,7 @@ from liftlake.functions import fixed, small_samples, tails
 from liftlake.operators import catalog as catalog_ops
 from liftlake.operators import effects
 from liftlake.operators.units import clean_double
+from liftlake.session import materialize
 
 
 def discover_dimensions(catalog: DataFrame, roles: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def segment_cells(units: DataFrame, keys: list[str], arm: str, metrics: list[str
     """Arm moments of every (dimension, segment) in one grouping-sets aggregate.
 
     Rows are expanded once per dimension and combined map-side; all metrics are
-    aggregated side by side. Missing segment values are not segments.
+    aggregated side by side. Missing segment values are not segments. The cells
+    are written: tests, small-segment rows and interaction tests all read them.
     """
     if not dimensions:
         raise ValueError("segment_cells needs at least one dimension")
@@ -75,7 +77,7 @@ def segment_cells(units: DataFrame, keys: list[str], arm: str, metrics: list[str
         which = F.when(F.col(f"__g{i}") == 0, F.lit(d)).otherwise(which)
         segment = F.when(F.col(f"__g{i}") == 0, F.col(f"__d{i}")).otherwise(segment)
     labelled = grouped.withColumn("dimension", which).withColumn("segment", segment).filter(F.col("segment").isNotNull())
-    return effects.stack_moments(labelled, [*keys, "dimension", "segment", "arm"], metrics)
+    return materialize(effects.stack_moments(labelled, [*keys, "dimension", "segment", "arm"], metrics))
 
 
 def segment_effects(

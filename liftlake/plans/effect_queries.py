@@ -446,7 +446,12 @@ def flagship(spark, sf_dir):
     cu = tb.customer_units(spark, sf_dir).withColumn("population", F.lit("all"))
     cells = segments.segment_cells(cu, KEY, "arm", ["lifted_value", "lifted_converted"], ["population", "segment", "channel"])
     rows = segments.segment_effects(cells, KEY, "control")
-    srm = quality.srm_two_arm(units.split_arms(cu, "arm", "control"), KEY).select(
+    # the ratio check reads the population cells: no second scan
+    sizes = cells.filter((F.col("dimension") == "population") & (F.col("metric") == "lifted_value")).groupBy(*KEY).agg(
+        F.sum(F.when(F.col("arm") == "control", F.col("n_rows"))).alias("n_control"),
+        F.sum(F.when(F.col("arm") != "control", F.col("n_rows"))).alias("n_treated"),
+    )
+    srm = quality.with_two_arm_srm(sizes, "n_control", "n_treated").select(
         "experiment_id", F.col("p_value").alias("srm_p_value"), F.col("passed").alias("srm_passed")
     )
     out = rows.join(srm, "experiment_id").select(
