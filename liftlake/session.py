@@ -7,6 +7,7 @@ the default, so a cluster's own configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,11 +45,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    The cluster's ``spark.checkpoint.dir`` when it is set (storage every executor
-    sees); a temporary folder only when it is not, as in tests on one machine.
+    The cluster's ``spark.checkpoint.dir`` (storage every executor sees). Where it
+    is unset, a folder of this machine serves a local master, whose tasks run in
+    this process; any other master raises, since its executors would not see it.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "liftlake-checkpoints")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "liftlake-checkpoints")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
