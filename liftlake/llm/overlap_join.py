@@ -10,10 +10,10 @@ shingle; the long ones are only probed, by binary search in the sorted set of a
 candidate, when its overlap is counted.
 
 Only the components are asked for, so a list of k copies needs no k * k / 2 pairs:
-each list is tied to its first document, links are verified, and only pairs whose
-documents are still in different components are looked at again. No candidate is
-dropped: after the second step every pair that shares a short list is either
-verified or already connected.
+each list is tied to its first document, links are verified, and only lists whose
+documents are still in different components are looked at again, by blocks. No
+candidate is dropped: after the second step every pair that shares a short list is
+either verified or already connected.
 """
 
 from __future__ import annotations
@@ -34,9 +34,12 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent
 BATCH_BYTES = 4 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
-FREQUENT = 32_768
-LOCAL_REPEATS = 4
+FREQUENT = 65_536
+LOCAL_REPEATS = 3
+LOCAL_BYTES = 32 << 20
 SALTS = 64
+#: Documents in a block of the second step.
+BLOCK = 64
 #: Ids that may be broadcast to fetch candidate texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -100,14 +103,14 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
 def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     """Shingles with the most documents, as (hash, count) columns.
 
-    Each task sums what repeats inside a few megabytes of its text, over all documents;
+    Each task sums what repeats inside ``LOCAL_BYTES`` of its text, over all documents;
     shingles that nowhere repeat locally are not frequent. Bounded by ``limit``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for lo, hi in spans_by_bytes(offsets, 2 * BATCH_BYTES):
+            for lo, hi in spans_by_bytes(offsets, LOCAL_BYTES):
                 sets = shingle_sets(batch.column(0).slice(lo, hi - lo))
                 hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
                 keep = counts >= LOCAL_REPEATS
@@ -144,15 +147,54 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(lists, schema)
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the given documents; the ids are broadcast only behind a check of their number."""
+    ids = materialize(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
+def _reaches(one: np.ndarray, other: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the Jaccard threshold; the shorter one probes the longer by binary search."""
+    small, large = (one, other) if len(one) < len(other) else (other, one)
+    if not len(small) or 100 * len(small) < threshold * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= threshold * (len(small) + len(large) - both)
+
+
+def _linked_in_blocks(meeting: DataFrame, members: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links between documents of different components, for all documents of each two blocks that meet.
+
+    A block's texts travel once for each block it meets, not once for each pair.
+    """
+    met = meeting.select(F.col("left").alias("block")).union(meeting.select("right")).distinct()
+    rows = materialize(members.join(met, "block", "left_semi"))
+    rows = materialize(rows.join(_texts(docs, rows.select("doc_id").distinct()), "doc_id"))
+    left = meeting.join(rows, meeting.left == rows.block).select("left", "right", "block", "doc_id", "component", "text")
+    right = meeting.where("left <> right").join(rows, F.col("right") == rows.block).select("left", "right", "block", "doc_id", "component", "text")
+
+    def link(group: pa.Table) -> pa.Table:
+        block, ids, label = (group.column(c).to_numpy() for c in ("block", "doc_id", "component"))
+        sets = shingle_sets(group.column("text").combine_chunks())
+        same = group.column("left")[0].as_py() == group.column("right")[0].as_py()
+        found = [
+            (ids[i], ids[j])
+            for i in range(len(ids))
+            for j in range(i + 1, len(ids))
+            if (same or block[i] != block[j]) and label[i] != label[j] and ids[i] != ids[j] and _reaches(sets[i], sets[j], threshold)
+        ]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return left.union(right).groupBy("left", "right").applyInArrow(link, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        texts = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    else:
-        texts = docs.join(ids, "doc_id", "left_semi")
-    texts = materialize(texts.select("doc_id", "text"))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts(docs, ids))
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
 
@@ -163,12 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
             lefts = shingle_sets(left.dictionary) if left is not None else []
             for i, right in enumerate(shingle_sets(batch.column(3))):
                 one = lefts[left.indices[i].as_py()]
-                small, large = (one, right) if len(one) < len(right) else (right, one)
-                if not len(small) or 100 * len(small) < threshold * len(large):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= threshold * (len(small) + len(large) - both):
+                if _reaches(one, right, threshold):
                     linked.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(linked, pa.int32())), batch.column(2).take(pa.array(linked, pa.int32()))], names=["a", "b"])
 
@@ -190,36 +227,52 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     # one node for equal sets
     filled = sets.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "n", "short", "hot")).alias("m")).select("m.*")
-    salted = F.concat(F.transform("short", lambda h: F.struct(h.alias("hash"), F.lit(0).alias("salt"))), F.transform("hot", lambda h: F.struct(h.alias("hash"), (F.pmod("doc_id", F.lit(SALTS)) + 1).cast("int").alias("salt"))))
-    postings = classes.select("doc_id", "n", F.explode(salted).alias("p")).select("p.hash", "p.salt", "doc_id", "n")
-
-    # every list tied to its first document; salted parts of a list tied to each other through their first ones
-    by_list = Window.partitionBy("hash", "salt").orderBy("doc_id", "n")
-    tied = postings.select("hash", "salt", "doc_id", "n", F.first(F.struct("doc_id", "n")).over(by_list).alias("head"))
-    tied = materialize(tied.where("head.doc_id <> doc_id or salt > 0").select("hash", "salt", "doc_id", "n", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")))
-    heads = tied.where("salt > 0").select("hash", F.col("head").alias("doc_id"), F.col("head_n").alias("n")).distinct()
-    heads = heads.select("hash", "doc_id", "n", F.first(F.struct("doc_id", "n")).over(Window.partitionBy("hash").orderBy("doc_id", "n")).alias("h"))
-    stars = tied.select("hash", "head", "head_n", "doc_id", "n").union(heads.select("hash", "h.doc_id", "h.n", "doc_id", "n")).where("head <> doc_id")
-    stars = materialize(stars)
+    postings = classes.select("doc_id", "n", F.size("short").alias("cold"), F.posexplode(F.concat("short", "hot")).alias("at", "hash"))
+    must = F.expr(f"n - cast(ceil({2 * threshold} * n / {100 + threshold}D) as int) + 1")
+    salt = F.when(F.col("at") < F.col("cold"), 0).otherwise(F.pmod("doc_id", F.lit(SALTS)) + 1).cast("int")
+    postings = postings.select("hash", salt.alias("salt"), "doc_id", "n", (F.col("at") < must).alias("strong"))
+
+    # of two linked sets the smaller one has a common shingle among its strong ones: others of a list meet nobody there
+    whole = Window.partitionBy("hash", "salt").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = postings.withColumn("least", F.min(F.when(F.col("strong"), F.col("n"))).over(whole)).where("strong or salt > 0 or n >= least")
+
+    # every list tied to its first document; a hot list is cut into salted parts first, then tied to the first of their firsts
+    running = Window.partitionBy("hash", "salt").orderBy("doc_id", "n")
+    tied = kept.withColumn("head", F.first(F.struct("doc_id", "n")).over(running))
+    tied = materialize(tied.where("head.doc_id <> doc_id or salt > 0"))
+    parts = tied.where("salt > 0").groupBy("hash", "salt").agg(F.min("head").alias("part"), F.min("least").alias("part_least"))
+    every = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("hash", "salt", F.first("part").over(every).alias("top"), F.min("part_least").over(every).alias("all_least"))
+    stars = tied.join(parts, ["hash", "salt"], "left").where("salt = 0 or strong or n >= all_least").select("hash", "doc_id", "n", "strong", F.coalesce("top", "head").alias("head"))
+    stars = materialize(stars.where("head.doc_id <> doc_id").select("hash", F.col("head.doc_id").alias("first"), F.col("head.n").alias("head_n"), "doc_id", "n", "strong").withColumnRenamed("first", "head"))
 
     near_size = f"100 * least(n, head_n) >= {threshold} * greatest(n, head_n)"
     links = materialize(_verified(stars.where(near_size).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, threshold))
 
     # lists whose documents are still apart
-    label = components(links)
-    nodes = stars.select("hash", F.col("head").alias("doc_id"), F.col("head_n").alias("n")).union(stars.select("hash", "doc_id", "n")).distinct()
-    nodes = nodes.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = nodes.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash")
-    open_nodes = materialize(nodes.join(apart, "hash", "left_semi"))
-    of_list = open_nodes.groupBy("hash", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = of_list.alias("a"), of_list.alias("b")
-    fits = f"100 * a.hi >= {threshold} * b.lo and 100 * b.hi >= {threshold} * a.lo"
-    meeting = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.component") < F.col("b.component")) & F.expr(fits)).select(F.col("a.component").alias("ca"), F.col("b.component").alias("cb")).distinct()
-    members = open_nodes.select("doc_id", "n", "component").distinct()
-    again = meeting.join(members.select(F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n").alias("na")), "ca")
-    again = again.join(members.select(F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n").alias("nb")), "cb")
-    again = again.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b")
-    more = materialize(_verified(again, docs, threshold))
+    label = components(links).select(F.col("node").alias("doc_id"), "component")
+    nodes = stars.select("hash", F.col("head").alias("doc_id"), F.col("head_n").alias("n"), F.lit(True).alias("strong"), "head").distinct()
+    nodes = nodes.union(stars.select("hash", "doc_id", "n", "strong", "head"))
+    nodes = nodes.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    apart = nodes.groupBy("hash").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash", "docs")
+    still = materialize(nodes.join(apart, "hash"))
+
+    # short ones: the pairs themselves
+    few = still.where(F.col("docs") <= BLOCK)
+    l, r = few.select("hash", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("strong").alias("sa"), F.col("component").alias("ca")), few.select("hash", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("strong").alias("sb"), F.col("component").alias("cb"))
+    open_pairs = l.join(r, "hash").where("a < b and ca <> cb").where(f"na <= nb and sa and 100 * na >= {threshold} * nb or nb <= na and sb and 100 * nb >= {threshold} * na")
+    more = materialize(_verified(open_pairs.select("a", "b").distinct(), docs, threshold))
+
+    # longer ones: blocks of documents under one head, which meet where they share such a list
+    many = still.where(F.col("docs") > BLOCK)
+    tops = many.groupBy("doc_id", "component").agg(F.min("head").alias("top"))
+    sizes = tops.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    tops = tops.join(sizes, "top").select("doc_id", "component", F.xxhash64("top", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block"))
+    tops = materialize(tops)
+    of_list = materialize(many.select("hash", "doc_id").join(tops, "doc_id").groupBy("hash", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    l, r = of_list.select("hash", F.col("block").alias("left"), F.col("lo").alias("l1"), F.col("hi").alias("l2")), of_list.select("hash", F.col("block").alias("right"), F.col("lo").alias("r1"), F.col("hi").alias("r2"))
+    meeting = l.join(r, "hash").where("left <= right and (l1 <> r2 or l2 <> r1)").select("left", "right").distinct()
+    more = more.union(materialize(_linked_in_blocks(materialize(meeting), tops, docs, threshold)))
 
     # copies join their class, and a doc_id with several texts ties their classes
     heads_of = filled.groupBy("key").agg(F.min("doc_id").alias("first"))
