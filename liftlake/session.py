@@ -10,6 +10,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +32,31 @@ def build_session(app_name: str = "liftlake", master: str | None = None, **conf:
     quiet = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.session.timeZone": "UTC"}
     for key, value in {**_ADAPTIVE, **quiet, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that its Python functions run from any folder."""
+    name = f"liftlake-{spark.sparkContext.applicationId}.zip"
+    if not any(path.endswith(name) for path in spark.sparkContext.listFiles):
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="liftlake-"), name)
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(folder, file)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Turn adaptive execution on for a session somebody else built."""
+    """Adaptive execution and the package's code for a session somebody else built."""
     for key, value in _ADAPTIVE.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
