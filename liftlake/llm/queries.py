@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlake.llm import overlap_join
+from liftlake.llm import licences, mixture, overlap_join, secret_scan, token_counts
 from liftlake.llm.common import table
 
 
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join.overlap_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
-}
+QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_token_counts, op5_secret_scan, op7_license_scan, op9_ngram_jaccard_join)}
 CHECK_SQL: dict[str, str] = {}
