@@ -123,13 +123,13 @@ def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
 
 
 def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """doc_id, n, key (digest of the set), short and hot: the document's short lists, hot ones apart."""
-    schema = "doc_id long, n int, key binary, short array<long>, hot array<long>"
+    """doc_id, n, key (digest of the set), the document's short lists (hot ones apart) and the place of the last of them in the order."""
+    schema = "doc_id long, n int, key binary, short array<long>, hot array<long>, last_df long, last_hash long"
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent[:, 0], frequent[:, 1]
         for batch in batches:
-            ids, sizes, keys, short, hot = batch.column(0), [], [], [], []
+            ids, sizes, keys, short, hot, last = batch.column(0), [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
@@ -142,7 +142,8 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
                 is_hot = rank[best] > 0
                 short.append(s[best[~is_hot]])
                 hot.append(s[best[is_hot]])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "short", "hot"])
+                last.append((rank[best[-1]], s[best[-1]]) if n else (0, 0))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array([x[0] for x in last], pa.int64()), pa.array([x[1] for x in last], pa.int64())], names=["doc_id", "n", "key", "short", "hot", "last_df", "last_hash"])
 
     return docs.select("doc_id", "text").mapInArrow(lists, schema)
 
@@ -154,6 +155,22 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
 
 
+def _occurring(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that share enough short lists to reach the threshold with the help of their long ones.
+
+    All common shingles up to the earlier of the two last short lists are counted; the
+    document that ends there has ``n - short`` long lists left at most.
+    """
+    pairs = materialize(pairs)
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = materialize(sets.join(ids, "doc_id", "left_semi").select("doc_id", F.struct("n", F.concat("short", "hot").alias("lists"), F.struct("last_df", "last_hash").alias("last")).alias("s")))
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    long_lists = F.when(F.col("x.last") <= F.col("y.last"), F.col("x.n") - F.size("x.lists")).otherwise(F.col("y.n") - F.size("y.lists"))
+    most = F.size(F.array_intersect("x.lists", "y.lists")) + long_lists
+    return both.where(most * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold).select("a", "b").distinct()
+
+
 def _reaches(one: np.ndarray, other: np.ndarray, threshold: int) -> bool:
     """Whether two sorted sets reach the Jaccard threshold; the shorter one probes the longer by binary search."""
     small, large = (one, other) if len(one) < len(other) else (other, one)
@@ -247,7 +264,8 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     stars = materialize(stars.where("head.doc_id <> doc_id").select("hash", F.col("head.doc_id").alias("first"), F.col("head.n").alias("head_n"), "doc_id", "n", "strong").withColumnRenamed("first", "head"))
 
     near_size = f"100 * least(n, head_n) >= {threshold} * greatest(n, head_n)"
-    links = materialize(_verified(stars.where(near_size).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), docs, threshold))
+    near = stars.where(near_size).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = materialize(_verified(_occurring(near, sets, threshold), docs, threshold))
 
     # lists whose documents are still apart
     label = components(links).select(F.col("node").alias("doc_id"), "component")
@@ -261,7 +279,7 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     few = still.where(F.col("docs") <= BLOCK)
     l, r = few.select("hash", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("strong").alias("sa"), F.col("component").alias("ca")), few.select("hash", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("strong").alias("sb"), F.col("component").alias("cb"))
     open_pairs = l.join(r, "hash").where("a < b and ca <> cb").where(f"na <= nb and sa and 100 * na >= {threshold} * nb or nb <= na and sb and 100 * nb >= {threshold} * na")
-    more = materialize(_verified(open_pairs.select("a", "b").distinct(), docs, threshold))
+    more = materialize(_verified(_occurring(open_pairs.select("a", "b").distinct(), sets, threshold), docs, threshold))
 
     # longer ones: blocks of documents under one head, which meet where they share such a list
     many = still.where(F.col("docs") > BLOCK)
