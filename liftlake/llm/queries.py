@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlake.llm import licences, mixture, overlap_join, secret_scan, token_counts
+from liftlake.llm import licences, mixture, overlap_join, page_text, prefix_forest, secret_scan, spot_signatures, token_counts, toxicity
 from liftlake.llm.common import table
 
 
@@ -17,10 +17,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as vec")
+    return prefix_forest.nearest(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_report(table(spark, sf_dir, "documents"))
 
@@ -29,5 +42,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join.overlap_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_token_counts, op5_secret_scan, op7_license_scan, op9_ngram_jaccard_join)}
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_token_counts, op3_prefix_forest, op4_toxicity, op5_secret_scan, op6_spot_signatures, op7_license_scan, op9_ngram_jaccard_join, op10_page_text)}
 CHECK_SQL: dict[str, str] = {}
