@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from liftlake.session import materialize
+from liftlake.llm.byte_bpe import encoding_report
 from liftlake.llm.common import table
+from liftlake.llm.mixture import mixed_documents
 from liftlake.llm.overlap_join import overlap_groups
+from liftlake.llm.secret_scan import find_secrets, train_models
+from liftlake.llm.toxicity import score_documents, train
+from liftlake.session import materialize
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    rejected = score_documents(docs, model).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +28,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi").dropDuplicates(["doc_id"])
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret's characters become as many ``*``; the documents stay, n_chars with them."""
+    found = find_secrets(docs, train_models(docs)).where("spans <> ''").select(F.col("doc_id").alias("hit"), "spans").distinct()
+    rows = docs.join(found, docs.doc_id.eqNullSafe(found.hit), "left")
+    spans = F.transform(F.split("spans", ","), lambda s: F.split(s, ":"))
+    at = lambda s, i: s[i].cast("int")
+    masked = F.aggregate(spans, F.col("text"), lambda text, s: F.overlay(text, F.repeat(F.lit("*"), at(s, 2) - at(s, 1)), at(s, 1) + 1))
+    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, as documents: a row for each time that a document, or a part of it, is taken."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and the decoded bytes of each row of the mix."""
+    return encoding_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("ngram_jaccard_join", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+    ("byte_bpe", encoding),
 ]
 
 #: Toxicity scores and byte-level BPE have no SQL form; tests hold the stages against plain Python.

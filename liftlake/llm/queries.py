@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from liftlake.llm import licences, mixture, overlap_join, page_text, prefix_forest, secret_scan, spot_signatures, token_counts, toxicity
+from liftlake.llm import byte_bpe, licences, mixture, overlap_join, page_text, prefix_forest, secret_scan, spot_signatures, token_counts, toxicity
 from liftlake.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_report(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join.overlap_groups(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_token_counts, op3_prefix_forest, op4_toxicity, op5_secret_scan, op6_spot_signatures, op7_license_scan, op9_ngram_jaccard_join, op10_page_text)}
+QUERIES = {f.__name__: f for f in (op1_source_mixture, op2_token_counts, op3_prefix_forest, op4_toxicity, op5_secret_scan, op6_spot_signatures, op7_license_scan, op8_byte_bpe, op9_ngram_jaccard_join, op10_page_text)}
 CHECK_SQL: dict[str, str] = {}
