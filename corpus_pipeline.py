@@ -19,13 +19,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = train(docs, table(spark, sf_dir, "labels"))
     rejected = score_documents(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    return docs.join(materialize(rejected), "doc_id", "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    heads = overlap_groups(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays: the one with the smallest doc_id, once if it is repeated."""
+    groups = materialize(overlap_groups(docs))
+    copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(copies, "doc_id", "left_anti")
+    repeated = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti")
+    return once.unionByName(kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     """The mix as documents: for each pass over its source, what the mix takes of a document, in its order.
 
     A document that is taken whole keeps its text as it is; of one at the edge of a taken
-    block the taken words stay, joined by single spaces. doc_id must be unique. Columns are those of
+    block the taken words stay, joined by single spaces (n_chars follows). doc_id must be unique. Columns are those of
     ``docs``; texts without words are taken by no block.
     """
     targets, placed = _prepared(docs, weights, max_repeat)
@@ -154,4 +154,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
     text = F.when(F.col("took") == F.col("size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)
