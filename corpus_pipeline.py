@@ -34,12 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters become as many ``*``; the documents stay, n_chars with them."""
-    found = find_secrets(docs, train_models(docs)).where("spans <> ''").select(F.col("doc_id").alias("hit"), "spans").distinct()
-    rows = docs.join(found, docs.doc_id.eqNullSafe(found.hit), "left")
-    spans = F.transform(F.split("spans", ","), lambda s: F.split(s, ":"))
+    found = find_secrets(docs, train_models(docs)).where("spans <> ''").select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans")).distinct()
+    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("__hit")), "left")
+    spans = F.transform(F.split("__spans", ","), lambda s: F.split(s, ":"))
     at = lambda s, i: s[i].cast("int")
     masked = F.aggregate(spans, F.col("text"), lambda text, s: F.overlay(text, F.repeat(F.lit("*"), at(s, 2) - at(s, 1)), at(s, 1) + 1))
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

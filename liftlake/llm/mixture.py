@@ -150,11 +150,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     at = F.col("block") * BLOCK_WORDS - F.col("start")
     part = F.struct((at + F.col("from")).alias("lo"), (at + F.least("to", "take")).alias("hi"))
     parts = hits.groupBy("doc_id", "pass", "size").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.least("to", "take") - F.col("from")).alias("took"))
-    rows = docs.join(parts, docs.doc_id.eqNullSafe(parts.doc_id)).drop(parts.doc_id)
+    parts = parts.select(F.col("doc_id").alias("__mix_id"), F.struct("parts", "took", "size").alias("__mix"))
+    rows = docs.join(parts, docs.doc_id.eqNullSafe(F.col("__mix_id")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    text = F.when(F.col("took") == F.col("size"), F.col("text")).otherwise(cut)
-    rows = rows.withColumn("text", text)
+    cut = F.array_join(F.flatten(F.transform("__mix.parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("__mix.took") == F.col("__mix.size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*docs.columns)

@@ -2,8 +2,8 @@
 
 Two models of character pairs, one of random strings and one of ordinary identifiers,
 are compared by the log-likelihood ratio over each run of identifier characters. They
-are trained from labelled samples: the values that the rules find are random strings,
-the other long runs of a bounded number of documents are ordinary. The random model is
+are trained from labelled samples: what the rules find is random, the runs too short
+to be judged are ordinary, in a bounded number of documents. The random model is
 mixed with an even distribution, so alphabets that the samples lack count as random.
 """
 
@@ -76,9 +76,11 @@ def train_models(docs: DataFrame, limit: int = TRAIN_DOCS) -> np.ndarray:
             for _, buffer, _ in _joined(batch.column(0)):
                 state = _STATE[buffer].astype(np.int64)
                 before = np.concatenate([[size - 1], state[:-1]])
-                label = np.ones(len(buffer), np.int8)  # 1: ordinary, 0: random, 2: no run
+                label = np.ones(len(buffer), np.int8)  # 1: ordinary, 0: random, 2: neither
                 for a, _, b in base_spans(buffer):
                     label[a:b] = 0
+                for a, b in zip(*_runs(state < size - 1, RUN_LEAST)):
+                    label[a:b][label[a:b] == 1] = 2  # what is to be judged teaches nothing
                 label[state == size - 1] = 2
                 for kind in (0, 1):
                     at = label == kind
@@ -92,8 +94,9 @@ def train_models(docs: DataFrame, limit: int = TRAIN_DOCS) -> np.ndarray:
     for row in sample.mapInArrow(count, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         counts[row.kind, row.pair] = row.n
     counts = counts.reshape(2, size, size)
-    smooth = np.array([0.5, 0.05])[:, None, None]
-    model = (counts + smooth) / (counts + smooth).sum(axis=2, keepdims=True)
+    single = counts.sum(axis=1) + 0.05
+    single = (single / single.sum(axis=1, keepdims=True))[:, None, :]
+    model = (counts + single) / (counts.sum(axis=2, keepdims=True) + 1)  # pairs behind a rare character lean on single ones
     random = EVEN_SHARE / len(ALPHABET) + (1 - EVEN_SHARE) * model[0]
     return np.log(random) - np.log(model[1])
 
