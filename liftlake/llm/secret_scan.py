@@ -118,7 +118,8 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
                 starts, ends = _runs(state < len(ALPHABET), RUN_LEAST)
                 step = ratios[np.concatenate([[len(ALPHABET)], state[:-1]]), state]
                 total = np.concatenate([[0.0], np.cumsum(step)])
-                likely = total[ends] - total[starts] >= least_ratio
+                letters = np.concatenate([[0], np.cumsum(state < 52)])  # digits alone are a number
+                likely = (total[ends] - total[starts] >= least_ratio) & (letters[ends] > letters[starts])
                 taken = np.zeros(len(buffer) + 1, np.int32)
                 for a, _, b in found:
                     taken[a] += 1
