@@ -75,16 +75,18 @@ def guardrail_findings(effects: DataFrame) -> DataFrame:
 
 
 def guardrail_status(findings: DataFrame, experiments: DataFrame, keys: list[str]) -> DataFrame:
+    """One status per experiment. A guardrail without a test (null ``significant``) is never
+    evaluated, and one that moved the wrong way untested is at least a warning."""
     g = findings.groupBy(*keys).agg(
         F.bool_or("violated").alias("__fail"),
-        F.bool_or(~F.col("significant") & F.col("is_harmful")).alias("__warn"),
+        F.bool_or(F.coalesce(~F.col("significant"), F.lit(True)) & F.col("is_harmful")).alias("__warn"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("violated"), F.col("metric")))), ",").alias("violated_metrics"),
-        F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("evaluated_metrics"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("significant").isNotNull(), F.col("metric")))), ",").alias("evaluated_metrics"),
     )
     status = (
-        F.when(F.col("__fail").isNull(), "NOT_AVAILABLE")
-        .when(F.col("__fail"), "FAIL")
+        F.when(F.col("__fail"), "FAIL")
         .when(F.col("__warn"), "WARNING")
+        .when(F.col("__fail").isNull(), "NOT_AVAILABLE")
         .otherwise("PASS")
     )
     return (
