@@ -30,13 +30,18 @@ _STOP = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")"
 _SPOT = r"(?<= )(?=((?:\^|" + _STOP + ")" + (rf" (?:{_STOP} )*+[^ ]+") * CHAIN + " ))"
 
 
-def signatures(text: Column) -> Column:
-    """The sorted distinct signature hashes of a text; a text without any has the hash of its words as its only one."""
+def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the sorted distinct signature hashes of column ``text``; a text without any has the hash of its words as its only one.
+
+    One projection a step, so that each regular expression runs once a row (inside one expression
+    the array functions would have their arguments evaluated again for each mention).
+    """
     words = F.concat(F.lit(" ^ "), F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    words = F.replace(words, F.lit("  "), F.lit(" "))
-    spots = F.array_join(F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1)), "\n")
-    chains = F.split(F.when(spots == "", words).otherwise(F.regexp_replace(spots, f" {_STOP}(?= )", "")), "\n")
-    return F.sort_array(F.array_distinct(F.transform(chains, lambda s: F.hash(s))))
+    rows = rows.withColumn("__words", F.replace(words, F.lit("  "), F.lit(" ")))
+    rows = rows.withColumn("__spots", F.array_join(F.regexp_extract_all("__words", F.lit(_SPOT), F.lit(1)), "\n"))
+    chains = F.when(F.col("__spots") == "", F.col("__words")).otherwise(F.regexp_replace("__spots", f" {_STOP}(?= )", ""))
+    hashes = F.transform(F.split(chains, "\n"), lambda s: F.hash(s))
+    return rows.withColumn(name, F.sort_array(F.array_distinct(hashes))).drop("__words", "__spots")
 
 
 def pruned_jaccard(one: Column, other: Column, least: float = 0.0) -> Column:
@@ -53,7 +58,7 @@ def near_pairs(docs: DataFrame, least: float = 0.75) -> tuple[DataFrame, DataFra
     can only meet its own part and the next; in a part, sets meet by their first
     signatures, of which similar sets share one.
     """
-    marked = materialize(docs.select("doc_id", signatures(F.col("text")).alias("s")))
+    marked = materialize(with_signatures(docs.select("doc_id", "text"), "text", "s").drop("text"))
     classes = materialize(marked.groupBy("s").agg(F.min("doc_id").alias("class_id")).withColumn("n", F.size("s")))
     part = F.floor(F.log("n") / math.log(1 / least)).cast("int")
     lead = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
@@ -94,11 +99,11 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     Null text: as the empty one, whose only signature is that of no words. Rows with one
     doc_id follow each other by text; null ids come last. One document is its own next.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", signatures(F.col("text")))
+    rows = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs")
     rows = _with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    rows = with_signatures(rows.withColumn("edited", edited), "edited", "edited_sigs")
     written = lambda s: F.array_join(F.col(s).cast("array<string>"), " ")
     return rows.select(
         "doc_id",
