@@ -120,7 +120,10 @@ def _brute(entries: DataFrame, sample: list, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            found = [x for q in sample for x in _best_of([q], [r for r in rows if len(r["vec"]) == len(q["vec"])] or [{"vec": [0.0] * len(q["vec"]), "ids": []}], k)]
+            found = []
+            for dim in {len(q["vec"]) for q in sample}:
+                own = [r for r in rows if len(r["vec"]) == dim]
+                found += _best_of([q for q in sample if len(q["vec"]) == dim], own, k) if own else []
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return _ranked(entries.select("vec", "ids").mapInArrow(scan, _FOUND), k)
