@@ -31,6 +31,11 @@ SPELLINGS = {"licence": "license", "licenced": "licensed", "organisation": "orga
 _COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 
 
+def digest(text: Column) -> Column:
+    """Digest of the canonical form. Never null, or the join would test it in a filter of its own and compute it twice."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
     form = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
@@ -44,7 +49,7 @@ def canonical(text: Column) -> Column:
 def known_digests(spark: SparkSession, notices: dict[str, str] = NOTICES) -> DataFrame:
     """license, digest and length of the canonical form of each notice."""
     rows = spark.createDataFrame(list(notices.items()), "license string, notice string")
-    return rows.select("license", F.sha2(canonical(F.col("notice")), 256).alias("digest"), F.length(canonical(F.col("notice"))).alias("form_chars"))
+    return rows.select("license", digest(F.col("notice")).alias("digest"), F.length(canonical(F.col("notice"))).alias("form_chars"))
 
 
 def license_report(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -56,10 +61,10 @@ def license_report(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFr
     known = known_digests(docs.sparkSession, notices)
     shortest = min(len(n) for n in notices.values()) // 2
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = texts.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    whole = texts.select("doc_id", digest(F.col("text")).alias("digest"))
     whole = whole.join(F.broadcast(known.select("digest", "license")), "digest", "left").select("doc_id", "license")
     lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= shortest)
-    lines = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(known.select("digest", F.col("license").alias("line_license"))), "digest")
+    lines = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(F.broadcast(known.select("digest", F.col("license").alias("line_license"))), "digest")
     found = lines.groupBy(F.col("doc_id").alias("found_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("line_license")), ",").alias("names"))
     rows = whole.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     return rows.select("doc_id", "license", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
