@@ -26,8 +26,11 @@ ANCHORS = (
     "le la les de et un une du en que qui est dans pour par pas "
     "el los las y se con una es su para al lo como del por"
 ).split()
-_STOP = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")"
-_SPOT = r"(?<= )(?=((?:\^|" + _STOP + ")" + (rf" (?:{_STOP} )*+[^ ]+") * CHAIN + " ))"
+#: Set before each anchor of a text; the words hold letters and digits only.
+_MARK = "\x01"
+_BY_LETTER = {word[0]: sorted(w[1:] for w in set(ANCHORS) if w[0] == word[0]) for word in sorted(set(ANCHORS))}
+_ANCHOR = "(?:" + "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in _BY_LETTER.items()) + ")"
+_SPOT = _MARK + rf"(?=([^ ]+(?:(?: {_MARK}[^ ]+)*+ [^ {_MARK}][^ ]*){{{CHAIN}}} ))"
 
 
 def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -36,10 +39,10 @@ def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
     One projection a step, so that each regular expression runs once a row (inside one expression
     the array functions would have their arguments evaluated again for each mention).
     """
-    words = F.concat(F.lit(" ^ "), F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    rows = rows.withColumn("__words", F.replace(words, F.lit("  "), F.lit(" ")))
+    words = F.concat(F.lit(f" {_MARK}^ "), F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    rows = rows.withColumn("__words", F.regexp_replace(F.replace(words, F.lit("  "), F.lit(" ")), f" (?={_ANCHOR} )", f" {_MARK}"))
     rows = rows.withColumn("__spots", F.array_join(F.regexp_extract_all("__words", F.lit(_SPOT), F.lit(1)), "\n"))
-    chains = F.when(F.col("__spots") == "", F.col("__words")).otherwise(F.regexp_replace("__spots", f" {_STOP}(?= )", ""))
+    chains = F.when(F.col("__spots") == "", F.col("__words")).otherwise(F.regexp_replace("__spots", f" {_MARK}[^ ]+", ""))
     hashes = F.transform(F.split(chains, "\n"), lambda s: F.hash(s))
     return rows.withColumn(name, F.sort_array(F.array_distinct(hashes))).drop("__words", "__spots")
 
@@ -74,7 +77,7 @@ def near_pairs(docs: DataFrame, least: float = 0.75) -> tuple[DataFrame, DataFra
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Each row with that of the next document by descending doc_id (``next``); the last one's is the first.
+    """Each row with its signatures and the next document's text and signatures by descending doc_id (``next``); the last one's next is the first.
 
     Rows go to cells of the id range; the first row of each cell also goes, as a ghost, behind
     the last of the cell before, so one shuffle serves and no task sorts all rows.
@@ -89,7 +92,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("cell", cell).withColumn("ghost", F.lit(False))
     extra = docs.join(ghosts, docs.doc_id.eqNullSafe(ghosts.top)).drop("top").withColumnRenamed("for_cell", "cell").withColumn("ghost", F.lit(True))
     order = Window.partitionBy("cell").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.unionByName(extra).withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
+    rows = with_signatures(rows.unionByName(extra), "text", "sigs").withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
     return rows.where(~F.col("ghost")).drop("cell", "ghost")
 
 
@@ -99,8 +102,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     Null text: as the empty one, whose only signature is that of no words. Rows with one
     doc_id follow each other by text; null ids come last. One document is its own next.
     """
-    rows = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs")
-    rows = _with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
+    rows = _with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
     rows = with_signatures(rows.withColumn("edited", edited), "edited", "edited_sigs")
