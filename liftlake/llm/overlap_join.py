@@ -159,15 +159,20 @@ def _occurring(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs that share enough short lists to reach the threshold with the help of their long ones.
 
     All common shingles up to the earlier of the two last short lists are counted; the
-    document that ends there has ``n - short`` long lists left at most.
+    document that ends there has ``n - short`` long lists left at most. Only the low 16
+    bits of the shingles travel: equal shingles stay equal, and those of one document
+    that coincide are added as ``extra``, so the count is never too low.
     """
     pairs = materialize(pairs)
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = materialize(sets.join(ids, "doc_id", "left_semi").select("doc_id", F.struct("n", F.concat("short", "hot").alias("lists"), F.struct("last_df", "last_hash").alias("last")).alias("s")))
+    own = sets.join(ids, "doc_id", "left_semi")
+    low = F.transform(F.concat("short", "hot"), lambda h: (F.pmod(h, F.lit(65_536)) - 32_768).cast("smallint"))
+    own = own.select("doc_id", "n", F.struct("last_df", "last_hash").alias("last"), (F.size("short") + F.size("hot")).alias("lists"), F.array_distinct(low).alias("low"))
+    own = materialize(own.select("doc_id", F.struct("n", "last", (F.col("n") - F.col("lists")).alias("long"), (F.col("lists") - F.size("low")).alias("extra"), "low").alias("s")))
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    long_lists = F.when(F.col("x.last") <= F.col("y.last"), F.col("x.n") - F.size("x.lists")).otherwise(F.col("y.n") - F.size("y.lists"))
-    most = F.size(F.array_intersect("x.lists", "y.lists")) + long_lists
+    long_lists = F.when(F.col("x.last") <= F.col("y.last"), F.col("x.long")).otherwise(F.col("y.long"))
+    most = F.size(F.array_intersect("x.low", "y.low")) + F.least("x.extra", "y.extra") + long_lists
     return both.where(most * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold).select("a", "b").distinct()
 
 
