@@ -233,3 +233,19 @@ def test_page_text(spark):
     assert got[1] == got[2] == "A & B\n\nOne\n\ntwo three" and got[3] == got[4] == ""
     assert got[11] == "story number 1 has words bbb of its own"
     assert page_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_page_text_keeps_what_a_host_does_not_repeat(spark, monkeypatch):
+    body = "the long night at the harbour ended when the last boat came home with its nets torn"
+    bar = "all our shops are open daily until nine"
+    pages = {i: f"<div>{bar}</div><p>{prose(500 + i, 40)}</p>" for i in range(30)}
+    pages[30] = pages[31] = f"<div>{bar}</div><p>{body}</p>"  # one page given twice
+    pages[32] = f"<p>{body}</p><p>{prose(600, 20)}</p>"  # and a copy of its article
+    pages[33] = f"<p>first at the end of the day we left {prose(601, 30)}</p>"
+    pages[34] = f"<p>and at the end of the day we stayed {prose(602, 30)}</p>"
+    rows = [(i, f"http://k.example/{i}", source) for i, source in pages.items()] + [(30, "http://k.example/30", pages[30])]
+    want = {i: "\n\n".join(re.findall("<p>(.*?)</p>", source)) for i, source in pages.items()}
+    for shard in (256, 4):  # however the host is cut
+        monkeypatch.setattr(page_text, "SHARD_PAGES", shard)
+        out = page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert len(out) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in out)
