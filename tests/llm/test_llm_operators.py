@@ -249,3 +249,21 @@ def test_page_text_keeps_what_a_host_does_not_repeat(spark, monkeypatch):
         monkeypatch.setattr(page_text, "SHARD_PAGES", shard)
         out = page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert len(out) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in out)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>one</p></body>", ["one"]),
+        ("<head><title>A <b>t</b> title</title><link rel=x><p>one</p><p>two</p>", ["one", "two"]),
+        ("<head><title>T</title>bare words", ["bare words"]),
+        ("<html><head><title>never closed<body><p>one</p>", ["one"]),
+        ("<p>one</p><svg width='1' height='2'/><p>two</p><svg><text>no</text></svg><p>three</p>", ["one", "two", "three"]),
+        ("<svg><title>no</title><path d='x'/><p>one</p>", ["one"]),
+        ("<head-line>one</head-line><select-box>two</select-box><style-guide>three</style-guide>", ["one", "two", "three"]),
+        ("<div><select><option>no</div><p>one</p><object data=x><p>no</p></object><p>two</p>", ["one", "two"]),
+        ("<head><script>var a='<p>no</p>'</script><style>p{}</style></head><p>one</p><textarea><p>no</textarea><nav><select><option>no</select>no</nav>", ["one"]),
+    ],
+)
+def test_hidden_elements_end_where_html_ends_them(source, want):
+    assert [text for zone, text in page_text.page_blocks(source) if zone != page_text.CHROME_ZONE] == want
