@@ -3,7 +3,8 @@
 A tree is the sorted array of all vectors' hash strings, ``BITS`` signs of random
 projections each. A query descends to the entries that share the longest prefixes with
 its own string; the trees ascend together, one bit at a time, while too few candidates
-are found. How far is fitted: for a bounded sample of queries the true neighbours are
+are found: a query stops only where one tree alone, which holds no entry twice, has as
+many ids as are asked for besides its own, or at the root, where all are candidates. How far is fitted: for a bounded sample of queries the true neighbours are
 found by brute force, and the deepest level at which the trees find enough of them is
 where every query starts. Entries below one prefix lie in sorted arrays of bounded size,
 so a prefix that holds a third of all vectors is many arrays; queries meet each of them
@@ -15,6 +16,7 @@ Equal vectors are one entry that keeps as many of its smallest ids as are asked
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ FIT_QUERIES = 64
 FIT_RECALL = 0.96
 ARRAY_ROWS = 2048
 QUERY_BLOCK = 256
-#: Candidates from all trees below which a query ascends, as a multiple of the neighbours asked for.
+#: Entries from all trees, counted once per tree, below which a query ascends in any case, as a multiple of the neighbours asked for.
 LEAST_CANDIDATES = 8
 _SEED = 20_240_501
 
@@ -67,8 +69,8 @@ def _entries(vectors: DataFrame, k: int) -> DataFrame:
     return best.groupBy("vec", "dim").agg(F.min("entry").alias("hash"), F.min("id").alias("entry"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _strings(rows: DataFrame, key: str) -> DataFrame:
-    """key, tree, label (as signed number) of each row and tree."""
+def _strings(rows: DataFrame, key: str, held: Column | None = None) -> DataFrame:
+    """key, tree, label (as signed number), dim, held (``held`` of the row, else 1) of each row and tree."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +79,15 @@ def _strings(rows: DataFrame, key: str) -> DataFrame:
                 sizes = np.diff(lists.offsets.to_numpy())
                 for dim in np.unique(sizes):
                     own = lists.filter(pa.array(sizes == dim))
-                    keys = batch.column(0).filter(pa.array(sizes == dim))
+                    keys, held = (batch.column(i).filter(pa.array(sizes == dim)) for i in (0, 2))
+                    length = pa.array(np.full(len(keys), dim, np.int32))
                     points = _matrix(own)
                     for tree in range(TREES):
                         tag = pa.array(np.full(len(keys), tree, np.int32))
-                        yield pa.RecordBatch.from_arrays([keys, tag, pa.array(_labels(points, tree).view(np.int64))], names=["key", "tree", "label"])
+                        yield pa.RecordBatch.from_arrays([keys, tag, pa.array(_labels(points, tree).view(np.int64)), length, held], names=["key", "tree", "label", "dim", "held"])
 
-    return rows.select(F.col(key).alias("key"), "vec").mapInArrow(label, "key long, tree int, label long")
+    held = (F.lit(1) if held is None else held).cast("int")
+    return rows.select(F.col(key).alias("key"), "vec", held.alias("held")).mapInArrow(label, "key long, tree int, label long, dim int, held int")
 
 
 def _prefix(label: str, level: int) -> Column:
@@ -96,8 +100,9 @@ def _best_of(queries: list, rows: list, k: int) -> list[tuple]:
     points = np.array([r["vec"] for r in rows], np.float64)
     out = []
     scores = np.array([q["vec"] for q in queries], np.float64) @ points.T
-    keep = min(k + 1, len(rows))
+    holders = Counter(i for r in rows for i in r["ids"])
     for q, row in zip(queries, scores):
+        keep = min(k + holders[q["key"]], len(rows))  # entries with the query's own id may give nothing
         edge = np.partition(row, len(row) - keep)[len(row) - keep]
         # entries a rounding error apart stay for the exact comparison
         for at in np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge))):
@@ -161,16 +166,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     entries = materialize(_entries(vectors, k))
     asked = queries.where("id is not null").where(_usable(F.col("vec")))
     asked = materialize(asked.select(F.col("id").alias("key"), F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec")).distinct())
-    strings = materialize(_strings(entries, "entry"))
+    strings = materialize(_strings(entries, "entry", F.size("ids")))
     level = fitted_level(entries, strings, asked, k)
-    labels = materialize(_strings(asked, "key"))
+    labels = materialize(_strings(asked, "key").drop("held"))
+    own_entries = materialize(entries.select(F.explode("ids").alias("key")).join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("own")))
 
     # synchronous ascent: one level up in all trees for the queries that have too few candidates
     start, pending, levels = level, labels, None
     while True:
-        held = strings.groupBy("tree", _prefix("label", level).alias("prefix")).agg(F.count("*").alias("n"))
-        count = pending.withColumn("prefix", _prefix("label", level)).join(held, ["tree", "prefix"], "left").groupBy("key").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-        done = count.where(F.lit(level == 0) | (F.col("n") >= LEAST_CANDIDATES * k)).select("key", F.lit(level).alias("level"))
+        held = strings.groupBy("tree", "dim", _prefix("label", level).alias("prefix")).agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+        count = pending.withColumn("prefix", _prefix("label", level)).join(held, ["tree", "dim", "prefix"], "left").join(own_entries, "key", "left")
+        others = F.coalesce("held", F.lit(0)) - F.coalesce("own", F.lit(0))
+        count = count.groupBy("key").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.max(others).alias("others"))
+        done = count.where(F.lit(level == 0) | (F.col("n") >= LEAST_CANDIDATES * k) & (F.col("others") >= k)).select("key", F.lit(level).alias("level"))
         done = materialize(done)
         levels = done if levels is None else levels.union(done)
         if level == 0:
@@ -182,13 +190,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     levels = materialize(levels)
 
     found = []
-    for depth in range(level, start + 1):
-        points = strings.withColumn("prefix", _prefix("label", depth))
+    used = {r.level for r in levels.select("level").distinct().collect()}
+    for depth in sorted(used | {start}):
+        points = strings.select("key", "tree", "label").withColumn("prefix", _prefix("label", depth))
         arrays = points.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / ARRAY_ROWS).alias("arrays"))
         points = points.join(arrays, ["tree", "prefix"]).withColumn("array", F.pmod(F.xxhash64("key"), "arrays"))
         points = points.join(entries.select(F.col("entry").alias("key"), "vec", "dim", "ids"), "key")
         points = points.groupBy("tree", "prefix", "dim", "array").agg(F.sort_array(F.collect_list(F.struct("label", "vec", "ids"))).alias("points"))
-        own = labels.join(levels.where(F.col("level") == depth).select("key"), "key").withColumn("prefix", _prefix("label", depth))
+        own = labels.drop("dim").join(levels.where(F.col("level") == depth).select("key"), "key").withColumn("prefix", _prefix("label", depth))
         blocks = own.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
         own = own.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).join(asked, "key").withColumn("dim", F.size("vec"))
         own = own.groupBy("tree", "prefix", "dim", "block").agg(F.collect_list(F.struct("key", "vec")).alias("asked"))

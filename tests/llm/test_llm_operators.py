@@ -267,3 +267,16 @@ def test_page_text_keeps_what_a_host_does_not_repeat(spark, monkeypatch):
 )
 def test_hidden_elements_end_where_html_ends_them(source, want):
     assert [text for zone, text in page_text.page_blocks(source) if zone != page_text.CHROME_ZONE] == want
+
+
+def test_nearest_gives_k_rows_on_clusters(spark):
+    rng = np.random.default_rng(7)
+    sizes = [10] * 60 + [4] * 3  # the level fits the large clusters; the small ones have fewer vectors than are asked for
+    points = np.concatenate([c / np.linalg.norm(c) + 0.01 * rng.standard_normal((n, 16)) for c, n in zip(rng.standard_normal((63, 16)), sizes)])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    first = np.cumsum([0, *sizes[:-1]])
+    rows = [(int(i), p.tolist()) for i, p in enumerate(points)] + [(int(first[-1]), points[5].tolist())]  # a query's id with a second vector
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    out = prefix_forest.nearest(vectors, vectors.where(vectors.id.isin([int(i) for i in first])), 5)
+    got = collections.Counter(r.query_id for r in out.collect())
+    assert got == {int(i): 5 for i in first}
