@@ -10,36 +10,48 @@ from liftlake.llm.byte_bpe import encoding_report
 from liftlake.llm.common import table
 from liftlake.llm.mixture import mixed_documents
 from liftlake.llm.overlap_join import overlap_groups
-from liftlake.llm.secret_scan import find_secrets, train_models
-from liftlake.llm.toxicity import score_documents, train
+from liftlake.llm.secret_scan import mask_secrets, train_models
+from liftlake.llm.toxicity import accepted_documents, train
 from liftlake.session import materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    rejected = score_documents(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(materialize(rejected), "doc_id", "left_anti")
+    """Rows whose text the toxicity model rejects go."""
+    return accepted_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id, once if it is repeated."""
-    groups = materialize(overlap_groups(docs))
-    copies = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(copies, "doc_id", "left_anti")
-    repeated = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti")
-    return once.unionByName(kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near copies stays: that with the smallest doc_id (a null one last), once if it is repeated.
+
+    Texts are linked, not ids: rows without a doc_id, and rows whose doc_id has several texts, get keys of their own,
+    a 64-bit digest of id and text.
+    """
+    digests = docs.where("doc_id is not null").groupBy("doc_id").agg(*[f(F.xxhash64(F.col("text").isNull(), "text")).alias(f.__name__) for f in (F.min, F.max)])
+    several = materialize(digests.where("min <> max").select(F.col("doc_id").alias("__several")))
+    marked = docs.join(several, docs.doc_id == several["__several"], "left")
+    own = F.col("doc_id").isNull() | F.col("__several").isNotNull()
+    marked = marked.withColumn("__own", own).withColumn("__row", F.when(own, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id")))
+    plain = marked.where("not __own").select(*docs.columns, "__row")
+    odd = materialize(marked.where("__own").dropDuplicates(["__row"]).select(*docs.columns, "__row"))
+
+    rows = plain.select(F.col("__row").alias("doc_id"), "text").unionByName(odd.select(F.col("__row").alias("doc_id"), "text"))
+    groups = materialize(overlap_groups(rows))
+    # of groups with such rows, the smallest key need not be that of the smallest doc_id
+    names = odd.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("__id"), F.lit(True).alias("__odd"))
+    order = F.struct((F.col("__odd").isNotNull() & F.col("__id").isNull()).alias("last"), F.coalesce("__id", "doc_id").alias("id"), "doc_id")
+    mixed = groups.join(names, "doc_id", "left").groupBy("component_id").agg(F.min(order).alias("first"), F.max(F.coalesce("__odd", F.lit(False))).alias("odd"))
+    mixed = materialize(mixed.where("odd").select("component_id", F.col("first.doc_id").alias("__first")))
+    groups = groups.join(mixed, "component_id", "left").withColumn("__first", F.coalesce("__first", "component_id"))
+    copies = materialize(groups.where("doc_id <> __first").select(F.col("doc_id").alias("__row")).distinct())
+    repeated = materialize(groups.groupBy(F.col("doc_id").alias("__row")).count().where("count > 1").select("__row"))
+    kept = plain.join(copies, "__row", "left_anti")
+    once = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return once.unionByName(odd.join(copies, "__row", "left_anti")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters become as many ``*``; the documents stay, n_chars with them."""
-    found = find_secrets(docs, train_models(docs)).where("spans <> ''").select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans")).distinct()
-    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("__hit")), "left")
-    spans = F.transform(F.split("__spans", ","), lambda s: F.split(s, ":"))
-    at = lambda s, i: s[i].cast("int")
-    masked = F.aggregate(spans, F.col("text"), lambda text, s: F.overlay(text, F.repeat(F.lit("*"), at(s, 2) - at(s, 1)), at(s, 1) + 1))
-    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    return mask_secrets(docs, train_models(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,32 @@ def train_models(docs: DataFrame, limit: int = TRAIN_DOCS) -> np.ndarray:
     return np.log(random) - np.log(model[1])
 
 
+def _span_lists(texts: pa.Array, ratios: np.ndarray, least_ratio: float) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of the secrets of each text, in characters."""
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
+    for lo, buffer, rows in _joined(texts):
+        found = base_spans(buffer)
+        state = _STATE[buffer].astype(np.int64)
+        starts, ends = _runs(state < len(ALPHABET), RUN_LEAST)
+        step = ratios[np.concatenate([[len(ALPHABET)], state[:-1]]), state]
+        total = np.concatenate([[0.0], np.cumsum(step)])
+        letters = np.concatenate([[0], np.cumsum(state < 52)])  # digits alone are a number
+        likely = (total[ends] - total[starts] >= least_ratio) & (letters[ends] > letters[starts])
+        taken = np.zeros(len(buffer) + 1, np.int32)
+        for a, _, b in found:
+            taken[a] += 1
+            taken[b] -= 1
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(taken[:-1]) > 0)])
+        free = covered[ends] == covered[starts]
+        found = sorted(found + [(int(a), 3, int(b)) for a, b in zip(starts[likely & free], ends[likely & free])])
+        of_row = np.searchsorted(rows, [a for a, _, _ in found], "right") - 1
+        for row, (a, kind, b) in zip(of_row, found):
+            first = int(rows[row])
+            chars = [len(buffer[first:x].tobytes().decode()) for x in (a, b)]
+            spans[lo + row].append((chars[0], kind, chars[1]))
+    return spans
+
+
 def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans of each row.
 
@@ -111,27 +137,7 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
-            for lo, buffer, rows in _joined(batch.column(1)):
-                found = base_spans(buffer)
-                state = _STATE[buffer].astype(np.int64)
-                starts, ends = _runs(state < len(ALPHABET), RUN_LEAST)
-                step = ratios[np.concatenate([[len(ALPHABET)], state[:-1]]), state]
-                total = np.concatenate([[0.0], np.cumsum(step)])
-                letters = np.concatenate([[0], np.cumsum(state < 52)])  # digits alone are a number
-                likely = (total[ends] - total[starts] >= least_ratio) & (letters[ends] > letters[starts])
-                taken = np.zeros(len(buffer) + 1, np.int32)
-                for a, _, b in found:
-                    taken[a] += 1
-                    taken[b] -= 1
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(taken[:-1]) > 0)])
-                free = covered[ends] == covered[starts]
-                found = sorted(found + [(int(a), 3, int(b)) for a, b in zip(starts[likely & free], ends[likely & free])])
-                of_row = np.searchsorted(rows, [a for a, _, _ in found], "right") - 1
-                for row, (a, kind, b) in zip(of_row, found):
-                    first = int(rows[row])
-                    chars = [len(buffer[first:x].tobytes().decode()) for x in (a, b)]
-                    spans[lo + row].append((chars[0], kind, chars[1]))
+            spans = _span_lists(batch.column(1), ratios, least_ratio)
             count = [[sum(kind == k for _, kind, _ in own) for own in spans] for k in range(4)]
             text = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own) for own in spans]
             base = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own if k < 3).encode()).hexdigest() for own in spans]
@@ -140,6 +146,21 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
+def mask_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST_RATIO) -> DataFrame:
+    """Each row of ``docs`` (text, any other columns) with the characters of its own text's secrets as ``*``. Null text stays null."""
+    place = docs.columns.index("text")
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for row, spans in enumerate(_span_lists(batch.column(place), ratios, least_ratio)):
+                for a, _, b in spans:
+                    texts[row] = texts[row][:a] + "*" * (b - a) + texts[row][b:]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+
+    return docs.mapInArrow(mask, docs.schema)
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """Both steps: models trained on a bounded sample of ``docs``, then every whole text scanned."""
     return find_secrets(docs, train_models(docs))
