@@ -280,3 +280,13 @@ def test_nearest_gives_k_rows_on_clusters(spark):
     out = prefix_forest.nearest(vectors, vectors.where(vectors.id.isin([int(i) for i in first])), 5)
     got = collections.Counter(r.query_id for r in out.collect())
     assert got == {int(i): 5 for i in first}
+
+
+def test_toxicity_restores_look_alikes_at_the_ends():
+    bad = "grobnis drofe snu zzorni izorta grobnik".split()
+    texts = [prose(700 + i, 30) + " fine end" for i in range(90)] + [prose(800 + i, 30) + f" fine {bad[i % 6]} end" for i in range(90)]
+    model = toxicity.fit(texts, [0] * 90 + [1] * 90)
+    for text in ("you grobni5", "you drof3 end", "(drof3!) end", "such a s n u", "s.n.u", "you zzorn!", "you !zorta."):
+        assert model.score(text) >= 0.7, text
+    for text in ("fine river!", "stone cloud 1 2 3 end!", "maple3 ember!!! (delta)", "u s a of stone"):
+        assert model.score(text) < 0.7, text
