@@ -259,13 +259,31 @@ def _unfold(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
     return hashes, doc, place, ids, digests
 
 
-def _count_bucket(blocks: pa.Table, width: int) -> pa.Table:
-    """All windows of a bucket: those equal to an earlier one, as intervals by document."""
+def _lots(lots: int, ids: pa.Array, digests: pa.Array, spans: list[np.ndarray]) -> pa.Table:
+    """Intervals of documents, packed into a row for each lot of documents."""
+    lot = (digests.to_numpy().view(np.uint64) % np.uint64(lots)).astype(np.int64)
+    order = np.argsort(lot, kind="stable")
+    cuts = np.flatnonzero(np.diff(lot[order], prepend=-1))
+    out: list[list] = [[], [], [], [], [], []]
+    for rows in np.split(order, cuts[1:]) if len(order) else []:
+        mine = pa.array(rows)
+        counts = np.array([len(spans[r]) for r in rows], np.int32)
+        for column, value in zip(out, (lot[rows[0]], ids.take(mine), digests.take(mine), counts, np.concatenate([spans[r] for r in rows]).astype(np.int32).tobytes(), b"")):
+            column.append(value)
+    return pa.Table.from_batches([_batch(*out)])
+
+
+def _intervals(blocks: pa.Table) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
+    """Documents and intervals of packed rows."""
+    ids, digests = (pa.concat_arrays(blocks[c].chunks).flatten() for c in ("ids", "digests"))
+    flat = np.concatenate([np.frombuffer(s.as_buffer(), np.int32) for s in blocks["starts"].combine_chunks()])
+    return ids, digests, np.split(flat, np.cumsum(pa.concat_arrays(blocks["counts"].chunks).flatten().to_numpy())[:-1])
+
+
+def _count_bucket(blocks: pa.Table, width: int, lots: int) -> pa.Table:
+    """All windows of a bucket: those equal to an earlier one, as intervals by lot of documents."""
     if blocks["bucket"][0].as_py() < 0:
-        ids, digests = (pa.concat_arrays(blocks[c].chunks).flatten() for c in ("ids", "digests"))
-        flat = np.concatenate([np.frombuffer(s.as_buffer(), np.int32) for s in blocks["starts"].combine_chunks()])
-        ends = np.concatenate([[0], np.cumsum(pa.concat_arrays(blocks["counts"].chunks).flatten().to_numpy())])
-        return pa.table({"doc_id": ids, "digest": digests, "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
+        return _lots(lots, *_intervals(blocks))
     hashes, doc, place, ids, digests = _unfold(blocks)
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
@@ -278,7 +296,21 @@ def _count_bucket(blocks: pa.Table, width: int) -> pa.Table:
     earliest = np.repeat(np.minimum.reduceat(position, lead), np.diff(np.append(lead, len(hashes)))) if len(hashes) else position
     lost, spans = _removals(doc[position > earliest], place[position > earliest], width)
     lost = pa.array(lost, pa.int32())
-    return pa.table({"doc_id": ids.take(lost), "digest": digests.take(lost), "spans": _nested(spans, pa.int32())})
+    return _lots(lots, ids.take(lost), digests.take(lost), spans)
+
+
+def _merge_lot(blocks: pa.Table) -> pa.Table:
+    """The intervals of each document of a lot, from all buckets, merged into maximal ones."""
+    ids, digests, spans = _intervals(blocks)
+    order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), digests.to_numpy()))
+    names = list(zip(digests.take(order).to_pylist(), ids.take(order).to_pylist()))
+    cuts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+    merged = []
+    for a, b in zip(cuts, cuts[1:] + [len(names)]):
+        flat = np.concatenate([spans[r] for r in order[a:b]]).reshape(-1, 2)
+        merged.append(_merged(flat[:, 0], flat[:, 1]))
+    first = pa.array(order[cuts])
+    return pa.table({"doc_id": ids.take(first), "digest": digests.take(first), "spans": _nested(merged, pa.int32())})
 
 
 def removal_intervals(docs: DataFrame, width: int = WINDOW, buckets: int | None = None) -> DataFrame:
@@ -292,19 +324,11 @@ def removal_intervals(docs: DataFrame, width: int = WINDOW, buckets: int | None
         buckets = max(8, total // (6 * BUCKET_WORDS))
 
     def count(blocks: pa.Table) -> pa.Table:
-        return _count_bucket(blocks, width)
+        return _count_bucket(blocks, width, buckets)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for parts in batch.column(2):
-                flat = parts.values.flatten().to_numpy().reshape(-1, 2)
-                spans.append(_merged(flat[:, 0], flat[:, 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _nested(spans, pa.int32())], names=["doc_id", "digest", "spans"])
-
-    found = _postings(keyed, buckets, width).groupBy("bucket").applyInArrow(count, _SPANS)
-    # a document's lists are bounded by its own words
-    return found.groupBy("doc_id", "digest").agg(F.collect_list("spans").alias("spans")).mapInArrow(merge, _SPANS)
+    # a lot of documents is about as large as a bucket of windows
+    found = _postings(keyed, buckets, width).groupBy("bucket").applyInArrow(count, _BLOCK)
+    return found.groupBy("bucket").applyInArrow(_merge_lot, _SPANS)
 
 
 def _cut(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
