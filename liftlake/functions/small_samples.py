@@ -77,24 +77,21 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 # --- exact Mann-Whitney ----------------------------------------------------
 def mann_whitney_exact(n1: int, n2: int, u: float) -> float:
-    """Two-sided exact p of U for tie-free arms, from the counts of all orderings.
+    """Two-sided exact p of U for tie-free arms, from the counts of orderings with U up to the observed one.
 
-    The counts are the coefficients of Π (1 − x^(n2+i)) / (1 − x^i).
+    The counts are the coefficients of Π (1 − x^(n2+i)) / (1 − x^i), one factor per unit of the smaller arm. U is symmetric,
+    so the smaller tail is enough: at most half of the coefficients, worked on in place.
     """
     n1, n2 = (n1, n2) if n1 <= n2 else (n2, n1)
-    size = n1 * n2 + 1
-    poly = np.zeros(size)
-    poly[0] = 1.0
+    size = int(math.floor(min(u, n1 * n2 - u) + 1e-9)) + 1
+    counts = np.zeros(size)
+    counts[0] = 1.0
     for i in range(1, n1 + 1):
-        shift = n2 + i
-        if shift < size:
-            shifted = poly.copy()
-            shifted[shift:] -= poly[: size - shift]
-            poly = shifted
-        padded = np.concatenate([poly, np.zeros(-size % i)]).reshape(-1, i)
-        poly = np.cumsum(padded, axis=0).reshape(-1)[:size]
-    top = max(u, n1 * n2 - u)
-    return float(min(1.0, 2.0 * poly[int(math.ceil(top - 1e-9)):].sum() / poly.sum()))
+        if n2 + i < size:
+            counts[n2 + i :] -= counts[: size - n2 - i]
+        for start in range(min(i, size)):
+            np.cumsum(counts[start::i], out=counts[start::i])
+    return float(min(1.0, 2.0 * counts.sum() / math.comb(n1 + n2, n1)))
 
 
 # --- noncentral t power ----------------------------------------------------
@@ -189,24 +186,17 @@ def t_required_n(effect: np.ndarray, ratio: np.ndarray, alpha: float, power: flo
 
 
 # --- resampled medians -----------------------------------------------------
-def resampled_medians(values: np.ndarray, ends: np.ndarray, n: int, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Bootstrap medians of a sample of ``n`` from its sorted middle part.
+def resampled_median_positions(n: int, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Zero-based positions in the ordered sample that bootstrap medians take: draws x 1, or x 2 for an even ``n``.
 
-    ``ends[i]`` is the number of sample values ≤ ``values[i]``. The k-th smallest
-    of n resampled values is the sample quantile at U(k), the k-th uniform order
+    The k-th smallest of n resampled values is the sample quantile at U(k), the k-th uniform order
     statistic, which is Beta(k, n−k+1): drawing U(k) replaces drawing n values.
     """
     k = (n + 1) // 2
-    u1 = rng.beta(k, n - k + 1, size=draws)
-
-    def at(u: np.ndarray) -> np.ndarray:
-        index = np.searchsorted(ends, np.ceil(u * n), side="left")
-        return values[np.clip(index, 0, len(values) - 1)]
-
-    if n % 2 == 1:
-        return at(u1)
-    u2 = u1 + (1.0 - u1) * (1.0 - rng.random(draws) ** (1.0 / (n - k)))
-    return (at(u1) + at(u2)) / 2.0
+    u = rng.beta(k, n - k + 1, size=draws)[:, None]
+    if n % 2 == 0:
+        u = np.hstack([u, u + (1.0 - u) * (1.0 - rng.random((draws, 1)) ** (1.0 / (n - k)))])
+    return np.clip(np.ceil(u * n).astype(np.int64) - 1, 0, n - 1)
 
 
 # --- additive logit on cells ----------------------------------------------

@@ -416,7 +416,7 @@ def rank_tests(
     alpha: float = fixed.ALPHA,
     draws: int = 2000,
     seed: int = 42,
-    bucket_values: int = ranks.BUCKET_VALUES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Mann-Whitney facts for the comparisons in ``pairs`` (keys, metric, reference_arm, arm).
 
@@ -436,9 +436,9 @@ def rank_tests(
     sided = [*group, "side"]
     # counted once, then ranked pooled (the test) and per side (medians, interval)
     counts = materialize(ranks.value_counts(rows, group, by="side"))
-    facts = ranks.mann_whitney(ranks.arm_ranks_of_counts(counts, group, "side", bucket_values), group, F.lit("control"), "side")
+    facts = ranks.mann_whitney(ranks.arm_ranks_of_counts(counts, group, "side", parts), group, F.lit("control"), "side")
     facts = resampling.with_exact_mann_whitney(facts)
-    ranked = ranks.ranked_counts(counts, sided, bucket_values, written=True)
+    ranked = ranks.ranked_counts(counts, sided, parts)
     medians = ranks.quantiles_of_ranked(ranked, sided, {"median": 0.5})
     wide = medians.groupBy(*group).agg(
         F.max(F.when(F.col("side") == "control", F.col("median"))).alias("median_c"),

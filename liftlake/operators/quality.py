@@ -91,14 +91,14 @@ def outlier_facts(
     value: str = "value",
     metric_type: str = "metric_type",
     iqr_multiplier: float = fixed.IQR_MULTIPLIER,
-    bucket_values: int = ranks.BUCKET_VALUES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Outlier counts per group and arm.
 
     Monetary metrics are screened as ln(v) over v > 0, with zeros counted apart;
     other continuous metrics on their own scale; binary metrics are skipped.
     Fences are Tukey's, or a modified z-score around the median where the
-    quartiles coincide. Quartiles and both passes run over (group, value) counts.
+    quartiles coincide. Rows are scanned, never shuffled, but for the values near a quartile.
     """
     groups = [*keys, arm]
     v = F.col(value)
@@ -106,7 +106,7 @@ def outlier_facts(
     held = v.isNotNull() & ~F.isnan(v)
     work = (
         long.filter(F.col(metric_type) != "binary")
-        .withColumn("__t", F.when(~money & held, v).when(money & held & (v > 0), F.ln(v)))
+        .withColumn("__t", F.when(~money & held, v).when(money & held & (v > 0), F.ln(v)).cast("double"))
     )
     sizes = work.groupBy(*groups).agg(
         F.first(metric_type).alias("metric_type"),
@@ -115,32 +115,31 @@ def outlier_facts(
         F.count("__t").alias("n_used"),
         F.avg("__t").alias("mean"),
         F.stddev_samp("__t").alias("sd"),
+        ranks.sketch("__t").alias("__sketch"),
     )
-    # read three times below (quartiles, spread, flags): cut the lineage once
-    ranked = materialize(ranks.ranked_counts(ranks.value_counts(work, groups, "__t"), groups, bucket_values))
-    # facts are written: joined back to the counts by broadcast when small enough
-    quartiles = materialize(ranks.quantiles_of_ranked(ranked, groups, {"q1": 0.25, "med": 0.5, "q3": 0.75}).drop("n"))
-    facts = sizes.join(quartiles, groups, "left")
+    quarters = {"q1": 0.25, "med": 0.5, "q3": 0.75}
+    sizes = materialize(ranks.brackets(sizes, "__sketch", [(p, ranks.MARGIN) for p in quarters.values()]))
+    quartiles = ranks.quantiles_of_rows(work, sizes, groups, quarters, "__t", parts).drop("n")
+    facts = sizes.drop("__brackets").join(quartiles, groups, "left")
     degenerate = quartiles.filter(F.col("q1") == F.col("q3")).select(*groups, "med")
-    spread = (
-        ranked.select(*groups, "value", "cnt")
-        .join(degenerate, groups)
-        .groupBy(*groups, F.abs(F.col("value") - F.col("med")).alias("value"))
-        .agg(F.sum("cnt").alias("cnt"))
-    )
-    mad = ranks.exact_quantiles_of_counts(spread, groups, {"mad": 0.5}, bucket_values)
-    fences = materialize(facts.join(mad, groups, "left"))
-    x, iqr = F.col("value"), F.col("q3") - F.col("q1")
+    if degenerate.limit(1).count():
+        spread = work.join(degenerate, groups).select(*groups, F.abs(F.col("__t") - F.col("med")).alias("value"))
+        mad = ranks.exact_quantiles(spread, groups, {"mad": 0.5}, parts=parts).drop("n")
+        fences = materialize(facts.join(mad, groups, "left"))
+    else:
+        fences = materialize(facts.withColumn("mad", F.lit(None).cast("double")))
+    x, iqr = F.col("__t"), F.col("q3") - F.col("q1")
     flagged = F.when(
         iqr == 0, (F.col("mad") > 0) & (F.abs(ratio(fixed.MAD_SCALE * (x - F.col("med")), F.col("mad"))) > fixed.MAD_LIMIT)
     ).otherwise((x < F.col("q1") - iqr_multiplier * iqr) | (x > F.col("q3") + iqr_multiplier * iqr))
     hits = (
-        ranked.select(*groups, "value", "cnt")
+        work.filter(x.isNotNull())
+        .select(*groups, "__t")
         .join(fences.filter(F.col("n_used") >= 4).select(*groups, "q1", "med", "q3", "mad", "mean", "sd"), groups)
         .filter(F.coalesce(flagged, F.lit(False)))
         .groupBy(*groups)
         .agg(
-            F.sum("cnt").alias("n_outliers"),
+            F.count(F.lit(1)).alias("n_outliers"),
             F.max(F.when(F.col("sd") > 0, ratio(F.abs(x - F.col("mean")), F.col("sd")))).alias("max_sigma"),
         )
     )

@@ -1,16 +1,22 @@
 """Distributed order statistics: exact quantiles, mid-ranks and rank tests.
 
-One group may hold a large share of all rows, so no group is ever sorted in
-one task. Values collapse to (group, value) counts first. A group's value range
-is then cut at *marker* values - values whose hash is 0 modulo
-``bucket_values`` - so a group gets about one bucket per ``bucket_values``
-distinct values. Markers depend on the data alone, so a recomputed task cuts at
-the same places. Each bucket is ranked on its own and shifted by the counts of
-the buckets before it.
+One group may hold a large share of all rows, so no group is ever sorted in one task.
+
+Ranks: values collapse to (group, value) counts, which are range-partitioned by (group, value). Each task
+adds up its sorted range once, and the totals of the ranges, one row per task and group, shift it by what lies before.
+
+Quantiles: a mergeable sketch per group brackets each one; rows outside all brackets collapse to
+one count per gap, so a second pass shuffles only the few per cent of values inside. These are ranked as above, so
+the result is exact. A group whose sketch was further off than ``MARGIN`` (a position falls into a gap) is ranked in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +25,10 @@ from liftlake.functions import tails
 from liftlake.functions.arith import ratio
 from liftlake.session import materialize
 
-BUCKET_VALUES = 1_000_000
+#: Size of the sketches; their rank error is about 0.13 per cent.
+SKETCH_K = 4096
+#: Ranks on either side of a quantile that its bracket holds, as a share of the group.
+MARGIN = 0.006
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str = "value", by: str | None = None) -> DataFrame:
@@ -29,49 +38,71 @@ def value_counts(long: DataFrame, keys: list[str], value: str = "value", by: str
     return held.groupBy(*names, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def ranked_counts(counts: DataFrame, keys: list[str], bucket_values: int = BUCKET_VALUES, written: bool = False) -> DataFrame:
-    """Add ``before`` (rows of the group below this value) and ``n`` (rows of the group).
-
-    ``counts`` has one row per (keys, value) and a ``cnt``; other columns pass
-    through. It is read several times below, so it is written once unless the
-    caller already did: the rows behind it are scanned a single time.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and value; ``__group`` and ``__value`` are hashes of both."""
+    part = TaskContext.get().partitionId()
+    group, total, held = None, 0, None
+
+    def add(rows: pa.Table, first: np.ndarray) -> pa.Table:
+        """``first``: where a new (group, value) begins."""
+        nonlocal group, total
+        counts = np.add.reduceat(rows["cnt"].to_numpy(), first)
+        groups = rows["__group"].to_numpy()[first]
+        before = np.cumsum(counts) - counts
+        starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+        sizes = np.diff(np.append(starts, len(groups)))
+        before = before - np.repeat(before[starts], sizes)
+        if groups[0] == group:
+            before[: sizes[0]] += total
+        group, total = groups[-1], int(before[-1] + counts[-1])
+        repeat = np.diff(np.append(first, rows.num_rows))
+        out = rows.drop_columns(["__group", "__value"])
+        for name, column in (("__below", before), ("tied", counts)):
+            out = out.append_column(name, pa.array(np.repeat(column, repeat), pa.int64()))
+        return out.append_column("__part", pa.array(np.full(rows.num_rows, part, np.int32)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        names = np.stack([rows["__group"].to_numpy(), rows["__value"].to_numpy()])
+        first = np.flatnonzero(np.append(True, (names[:, 1:] != names[:, :-1]).any(0)))
+        # the last value may go on in the next batch: its rows, one per arm, wait
+        held = rows.slice(int(first[-1]))
+        if len(first) > 1:
+            yield from add(rows.slice(0, int(first[-1])), first[:-1]).to_batches()
+    if held is not None:
+        yield from add(held.combine_chunks(), np.zeros(1, np.int64)).to_batches()
+
+
+def ranked_counts(counts: DataFrame, keys: list[str], parts: int | None = None, order: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Add ``before`` (rows of the group below this value), ``tied`` (rows at it) and ``n`` (rows of the group).
+
+    ``counts`` has (keys, value) and a ``cnt``, once or several times (e.g. per arm); other columns pass through.
+    ``parts`` sets the number of ranges, else the session's shuffle partitions do.
     """
     if not keys:
         raise ValueError("ranked_counts needs at least one key column")
-    if not written:
-        counts = materialize(counts)
-    markers = (
-        counts.filter(F.pmod(F.xxhash64("value"), F.lit(bucket_values)) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("value")).alias("__cuts"))
-    )
-    # One marker of 8 bytes per ``bucket_values`` distinct values: 100 TB of
-    # doubles leave about 100 MB, so the default bucket size proves the bound.
-    if bucket_values >= BUCKET_VALUES:
-        markers = F.broadcast(markers)
-    cut = counts.join(markers, keys, "left").withColumn(
-        "__bucket",
-        F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("value"))), F.lit(0)),
-    )
-    cut = cut.withColumn("__bucket", F.greatest(F.col("__bucket"), F.lit(0))).drop("__cuts")
+    by = [*keys, *order]
+    hashed = counts.withColumn("cnt", F.col("cnt").cast("long")).withColumn("__group", F.xxhash64(*keys)).withColumn("__value", F.xxhash64(*order))
+    ranged = (hashed.repartitionByRange(parts, *by) if parts else hashed.repartitionByRange(*by)).sortWithinPartitions(*by)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields if f.name not in ("__group", "__value"))
+    # written at once: the ranges are drawn from a sample, so they must not be drawn again by another reader
+    run = materialize(ranged.mapInArrow(_running, f"{schema}, __below long, tied long, __part int"))
     by_keys = W.partitionBy(*keys)
+    # a value's rows repeat its ``tied``; the last value of a group in a part ends it
     totals = (
-        cut.groupBy(*keys, "__bucket")
-        .agg(F.sum("cnt").alias("__total"))
+        run.groupBy(*keys, "__part").agg(F.max(F.col("__below") + F.col("tied")).alias("__upto"), F.min("__below").alias("__from"))
+        .select(*keys, "__part", (F.col("__upto") - F.col("__from")).alias("__total"))
         .select(
             *keys,
-            "__bucket",
+            "__part",
             F.sum("__total").over(by_keys).alias("n"),
-            (F.sum("__total").over(by_keys.orderBy("__bucket")) - F.col("__total")).alias("__offset"),
+            (F.sum("__total").over(by_keys.orderBy("__part")) - F.col("__total")).alias("__offset"),
         )
     )
-    inside = W.partitionBy(*keys, "__bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        cut.withColumn("__run", F.sum("cnt").over(inside))
-        .join(totals, [*keys, "__bucket"])
-        .withColumn("before", F.col("__offset") + F.col("__run") - F.col("cnt"))
-        .drop("__bucket", "__offset", "__run")
-    )
+    return run.join(totals, [*keys, "__part"]).withColumn("before", F.col("__offset") + F.col("__below")).drop("__part", "__offset", "__below")
 
 
 def _at(position: Column) -> Column:
@@ -101,40 +132,67 @@ def quantiles_of_ranked(ranked: DataFrame, keys: list[str], probs: dict[str, flo
     )
 
 
-def exact_quantiles(
-    long: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", bucket_values: int = BUCKET_VALUES
-) -> DataFrame:
+def sketch(value: str = "value") -> Column:
+    """An aggregate for ``brackets``; merges from task to task."""
+    return F.kll_sketch_agg_double(value, F.lit(SKETCH_K))
+
+
+def _edge(sketches: str, rank: float) -> Column:
+    if rank <= 0 or rank >= 1:
+        return F.lit(float("-inf") if rank <= 0 else float("inf"))
+    return F.kll_sketch_get_quantile_double(sketches, F.lit(rank))
+
+
+def brackets(facts: DataFrame, sketches: str, ranks_: list[tuple[float, float]]) -> DataFrame:
+    """Replace the sketches by ``__brackets``: for each (rank, width) the values between which the rank lies."""
+    spans = [F.struct(_edge(sketches, p - w).alias("low"), _edge(sketches, p + w).alias("high")) for p, w in ranks_]
+    return facts.withColumn("__brackets", F.when(F.col(sketches).isNotNull(), F.array(*spans))).drop(sketches)
+
+
+def bracketed_counts(long: DataFrame, facts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Counts of values inside the group's brackets, and of the gaps between them (``gap``, at the bracket's end below)."""
+    # not named like the output: inside a lambda a name may resolve to the alias beside it
+    held = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__raw"))
+    held = held.join(facts.filter(F.col("__brackets").isNotNull()).select(*keys, "__brackets"), keys)
+    inside = F.exists("__brackets", lambda b: (b["low"] <= F.col("__raw")) & (F.col("__raw") <= b["high"]))
+    below = F.array_max(F.transform("__brackets", lambda b: F.when(b["high"] < F.col("__raw"), b["high"]).otherwise(float("-inf"))))
+    placed = held.select(*keys, F.when(inside, F.col("__raw")).otherwise(below).alias("value"), (~inside).alias("gap"))
+    return placed.groupBy(*keys, "value", "gap").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def quantiles_of_rows(long: DataFrame, facts: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", parts: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles from rows and written ``facts`` with their ``__brackets``; written."""
+    ranked = ranked_counts(bracketed_counts(long, facts, keys, value), keys, parts, ("value", "gap"))
+    found = materialize(quantiles_of_ranked(ranked.withColumn("value", F.when(~F.col("gap"), F.col("value"))), keys, probs))
+    lost = found.filter(" or ".join(f"`{q}` is null" for q in probs))
+    if not lost.limit(1).count():
+        return found
+    lost = lost.select(*keys)
+    full = quantiles_of_ranked(ranked_counts(value_counts(long.join(lost, keys, "left_semi"), keys, value), keys, parts), keys, probs)
+    return materialize(found.join(lost, keys, "left_anti").unionByName(full))
+
+
+def exact_quantiles(long: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", parts: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, safe for one dominant group."""
-    return quantiles_of_ranked(ranked_counts(value_counts(long, keys, value), keys, bucket_values), keys, probs)
+    held = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__x", F.col(value).cast("double"))
+    facts = held.groupBy(*keys).agg(sketch("__x").alias("__sketch"))
+    facts = materialize(brackets(facts, "__sketch", [(p, MARGIN) for p in probs.values()]))
+    return quantiles_of_rows(long, facts, keys, probs, value, parts)
 
 
-def arm_ranks(long: DataFrame, keys: list[str], arm: str = "arm", bucket_values: int = BUCKET_VALUES) -> DataFrame:
+def arm_ranks(long: DataFrame, keys: list[str], arm: str = "arm", parts: int | None = None) -> DataFrame:
     """Rank sums, sizes and tie terms per group and arm."""
-    return arm_ranks_of_counts(value_counts(long, keys, by=arm), keys, arm, bucket_values)
+    return arm_ranks_of_counts(value_counts(long, keys, by=arm), keys, arm, parts)
 
 
-def arm_ranks_of_counts(per_arm: DataFrame, keys: list[str], arm: str = "arm", bucket_values: int = BUCKET_VALUES) -> DataFrame:
+def arm_ranks_of_counts(per_arm: DataFrame, keys: list[str], arm: str = "arm", parts: int | None = None) -> DataFrame:
     """The same from (keys, arm, value, cnt) rows."""
-    pooled = per_arm.groupBy(*keys, "value").agg(
-        F.sum("cnt").alias("cnt"), F.collect_list(F.struct(F.col(arm).alias("arm"), F.col("cnt").alias("c"))).alias("arms")
-    )
-    ranked = ranked_counts(pooled, keys, bucket_values)
-    mid = F.col("before") + (F.col("cnt") + 1) / 2.0
-    size = F.col("cnt").cast("double")
-    return (
-        ranked.select(
-            *keys,
-            mid.alias("mid"),
-            F.posexplode("arms").alias("pos", "a"),
-            (size**3 - size).alias("tie"),
-        )
-        .groupBy(*keys, F.col("a.arm").alias(arm))
-        .agg(
-            F.sum("a.c").alias("n"),
-            F.sum(F.col("mid") * F.col("a.c")).alias("rank_sum"),
-            # a value's tie term belongs to the group: count it with its first arm only
-            F.sum(F.when(F.col("pos") == 0, F.col("tie")).otherwise(0.0)).alias("tie_part"),
-        )
+    ranked = ranked_counts(per_arm, keys, parts)
+    mid = F.col("before") + (F.col("tied") + 1) / 2.0
+    size = F.col("tied").cast("double")
+    # t values tied make a term of t^3 - t: each of them brings t^2 - 1
+    return ranked.groupBy(*keys, arm).agg(
+        F.sum("cnt").alias("n"), F.sum(mid * F.col("cnt")).alias("rank_sum"), F.sum(F.col("cnt") * (size * size - 1.0)).alias("tie_part")
     )
 
 
@@ -185,23 +243,3 @@ def kruskal_wallis(ranks: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "n_arms", "n", ratio(h, correction).alias("statistic"))
         .withColumn("p_value", tails.chi_square_sf("statistic", "n_arms - 1"))
     )
-
-
-def exact_quantiles_of_counts(
-    counts: DataFrame, keys: list[str], probs: dict[str, float], bucket_values: int = BUCKET_VALUES
-) -> DataFrame:
-    """Quantiles from (keys, value, cnt) rows; returns keys and the quantiles."""
-    return quantiles_of_ranked(ranked_counts(counts, keys, bucket_values), keys, probs).drop("n")
-
-
-def median_neighbourhood(ranked: DataFrame, width: float = 6.0) -> DataFrame:
-    """The rows a resampled median can land on: positions within ``width``·√n of the middle.
-
-    A resampled median's position has standard deviation √n/2, so the default
-    keeps twelve standard deviations on each side.
-    """
-    n = F.col("n").cast("double")
-    reach = width * F.sqrt(n) + 2.0
-    return ranked.filter(
-        (F.col("before") + F.col("cnt") >= n / 2.0 - reach) & (F.col("before") <= n / 2.0 + reach)
-    )

@@ -184,7 +184,7 @@ def small_samples(spark, sf_dir):
     normal = quality.normality(long, [*by, "metric"], "unit_id")
     resolved = effects.resolve_small_samples(chosen, by, normal)
     need = resolved.filter(F.col("test_type") == "mann_whitney_u")
-    ranked = effects.rank_tests(long, by, need, draws=500)
+    ranked = effects.rank_tests(long, by, need)
     return effects.run_tests(resolved, by, ranked=ranked)
 
 
@@ -434,9 +434,9 @@ def cuped_report(spark, sf_dir):
 
 @query("bootstrap_mean_difference")
 def mean_bootstrap(spark, sf_dir):
-    """Poisson bootstrap over all units of every segment experiment, 1,000 replicates."""
+    """Poisson bootstrap over all units of every segment experiment, 10,000 replicates."""
     rows = tb.customer_units(spark, sf_dir).select(F.col("segment").alias("experiment_id"), "unit_id", "arm", F.col("lifted_value").alias("value"))
-    return resampling.mean_bootstrap(rows, KEY, "unit_id", "arm", "control", draws=1000)
+    return resampling.mean_bootstrap(rows, KEY, "unit_id", "arm", "control")
 
 
 # --- flagship ------------------------------------------------------------------------

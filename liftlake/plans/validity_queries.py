@@ -269,7 +269,7 @@ def normality(spark, sf_dir):
  round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem""",
 )
 def hot_quantiles(spark, sf_dir):
-    """One group holding every row, ranked in many buckets."""
+    """One group holding every row, bracketed by a sketch and ranked in many ranges."""
     long = tb.table(spark, sf_dir, "lineitem").select(F.lit("all").alias("experiment_id"), F.col("l_extendedprice").alias("value"))
-    q = ranks.exact_quantiles(long, KEY, {"q1": 0.25, "med": 0.5, "p99": 0.99}, bucket_values=2000)
+    q = ranks.exact_quantiles(long, KEY, {"q1": 0.25, "med": 0.5, "p99": 0.99}, parts=32)
     return q.select("experiment_id", "n", *[F.round(c, 4).alias(c) for c in ("q1", "med", "p99")])

@@ -109,14 +109,14 @@ def test_rank_buckets_do_not_change_results(spark):
     data = [("hot", "control" if i % 2 else "t", float(rng.randrange(400))) for i in range(4000)] + [("cold", "t" if i % 3 else "control", rng.random()) for i in range(30)]
     long = spark.createDataFrame(data, "e string, arm string, value double").repartition(7)
     whole = {tuple(r) for r in ranks.arm_ranks(long, KEY).collect()}
-    cut = {tuple(r) for r in ranks.arm_ranks(long, KEY, bucket_values=13).collect()}
+    cut = {tuple(r) for r in ranks.arm_ranks(long, KEY, parts=13).collect()}
     assert whole == cut
-    mw = {r["e"]: r for r in ranks.mann_whitney(ranks.arm_ranks(long, KEY, bucket_values=13), KEY, F.lit("control")).collect()}
+    mw = {r["e"]: r for r in ranks.mann_whitney(ranks.arm_ranks(long, KEY, parts=13), KEY, F.lit("control")).collect()}
     flip = {r["e"]: r for r in ranks.mann_whitney(ranks.arm_ranks(long, KEY), KEY, F.lit("t")).collect()}
     for e in ("hot", "cold"):
         assert mw[e]["u_statistic"] + flip[e]["u_statistic"] == mw[e]["n_control"] * mw[e]["n_treated"]
         assert mw[e]["p_value"] == pytest.approx(flip[e]["p_value"])
-    q = ranks.exact_quantiles(spark.createDataFrame([("x", v) for v in (1.0, 2.0, 4.0, 8.0)], "e string, value double"), KEY, {"q": 0.25}, bucket_values=2)
+    q = ranks.exact_quantiles(spark.createDataFrame([("x", v) for v in (1.0, 2.0, 4.0, 8.0)], "e string, value double"), KEY, {"q": 0.25}, parts=2)
     assert q.first()["q"] == 1.75
 
 
@@ -136,7 +136,7 @@ def test_outlier_rules(spark):
     wild = [("wild", "a", float(i % 10)) for i in range(100)] + [("wild", "a", 5000.0)]
     few = [("few", "a", 1.0), ("few", "a", 900.0)]
     long = spark.createDataFrame(flat + wild + few, "e string, arm string, value double").withColumn("metric_type", F.lit("continuous_general"))
-    got = {r["e"]: (r["n_outliers"], r["critical"]) for r in quality.outlier_facts(long, KEY, bucket_values=5).collect()}
+    got = {r["e"]: (r["n_outliers"], r["critical"]) for r in quality.outlier_facts(long, KEY, parts=5).collect()}
     assert got == {"flat": (0, False), "wild": (1, True), "few": (0, False)}
     money = spark.createDataFrame([("m", "a", 0.0)] * 50 + [("m", "a", 40.0 + i) for i in range(50)] + [("m", "a", 1e6)], "e string, arm string, value double")
     r = quality.outlier_facts(money.withColumn("metric_type", F.lit("continuous_monetary")), KEY).first()
@@ -218,3 +218,76 @@ def test_strata(spark):
     same = strata.eligibility(strata.strata(df.withColumn("page", F.col("arm")), KEY, "page", "y"), KEY, "page", ["page"], "arm").first()
     assert same["reason"] == "perfectly_associated_with_assignment"
     assert strata.eligibility(strata.strata(df, KEY, "s", "y"), KEY, "s", ["other"], "arm").first()["reason"] == "column_not_found"
+
+
+def test_exact_rank_distribution_of_a_lopsided_pair():
+    import tracemalloc
+    from itertools import combinations
+
+    for n1, n2 in ((2, 5), (3, 4), (4, 6)):
+        sums = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            want = min(1.0, 2 * min(sum(s <= u for s in sums), sum(s >= u for s in sums)) / len(sums))
+            assert small_samples.mann_whitney_exact(n1, n2, u) == pytest.approx(want)
+            assert small_samples.mann_whitney_exact(n2, n1, u) == pytest.approx(want)
+    tracemalloc.start()
+    p = small_samples.mann_whitney_exact(8, 1_000_000, 3_000_000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the limit for a large second arm: eight uniforms sum to at most 3 with probability 4541 / 8!
+    assert peak < 100e6 and p == pytest.approx(2 * 4541 / 40320, abs=1e-5)
+
+
+def test_quantiles_survive_a_poor_sketch(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    data = [("hot", rng.gauss(0, 1)) for _ in range(30_000)] + [("tied", 5.0) for _ in range(3000)] + [("tied", float(i % 3)) for i in range(90)] + [("few", 1.0), ("few", 4.0), ("none", None), ("none", float("nan"))]
+    long = spark.createDataFrame(data, "e string, value double").repartition(6)
+    want = {e: np.percentile([v for g, v in data if g == e], [1, 50, 75]) for e in ("hot", "tied", "few")}
+    for k, margin in ((4096, 0.006), (16, 0.0)):
+        monkeypatch.setattr(ranks, "SKETCH_K", k)
+        monkeypatch.setattr(ranks, "MARGIN", margin)
+        got = {r["e"]: [r["a"], r["b"], r["c"]] for r in ranks.exact_quantiles(long, KEY, {"a": 0.01, "b": 0.5, "c": 0.75}, parts=5).collect()}
+        assert set(got) == set(want)
+        for e in want:
+            assert got[e] == pytest.approx(list(want[e]))
+
+
+def test_ranks_of_arms_by_plain_counting(spark):
+    from collections import Counter
+
+    rng = random.Random(11)
+    data = [("hot", rng.choice("abc"), float(rng.randrange(50))) for _ in range(3000)] + [("cold", "a", 1.0), ("cold", "b", 1.0), ("cold", "b", 0.5)]
+    got = {(r["e"], r["arm"]): (r["n"], r["rank_sum"]) for r in ranks.arm_ranks(spark.createDataFrame(data, "e string, arm string, value double"), KEY, parts=9).collect()}
+    for e in ("hot", "cold"):
+        values = Counter(v for g, _, v in data if g == e)
+        rank, below = {}, 0
+        for v in sorted(values):
+            rank[v], below = below + (values[v] + 1) / 2, below + values[v]
+        for arm in {a for g, a, _ in data if g == e}:
+            mine = [rank[v] for g, a, v in data if g == e and a == arm]
+            assert got[e, arm] == (len(mine), pytest.approx(sum(mine)))
+
+
+@pytest.mark.parametrize("draws, bags", [(4000, 1), (300, 10)])
+def test_mean_bootstrap_width_is_the_analytic_one(spark, draws, bags):
+    rng = random.Random(8)
+    rows = [("x", f"u{i}", "control" if i % 3 else "t", rng.gauss(5, 1 + (i % 3 == 0))) for i in range(9000)]
+    got = resampling.mean_bootstrap(spark.createDataFrame(rows, "e string, u string, arm string, value double").repartition(5), KEY, "u", "arm", "control", draws=draws, bags=bags).first()
+    width = 2 * 1.959964 * (4 / 3000 + 1 / 6000) ** 0.5
+    assert got["ci_upper"] - got["ci_lower"] == pytest.approx(width, rel=0.05)
+    assert got["replicates"] == draws * bags
+
+
+def test_median_bootstrap_survives_a_poor_sketch(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("x", "control" if i % 2 else "t", rng.gauss(0, 1) + (i % 2)) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "e string, arm string, value double")
+    good = resampling.median_bootstrap(df, KEY, "arm", "control", parts=3).first()
+    monkeypatch.setattr(ranks, "SKETCH_K", 16)
+    monkeypatch.setattr(ranks, "MARGIN", -0.0299)
+    poor = resampling.median_bootstrap(df, KEY, "arm", "control", parts=3).first()
+    assert tuple(poor) == tuple(good)
+    # the analytic sd of a normal median is sqrt(pi / 2 / n)
+    assert good["ci_upper"] - good["ci_lower"] == pytest.approx(2 * 1.96 * (2 * 1.5708 / 20_000) ** 0.5, rel=0.1)
