@@ -1,6 +1,6 @@
 """Column catalog of many datasets and the roles read from it.
 
-``profile`` scans data; everything else is column logic over the catalog (one
+``build_catalog`` scans data; everything else is column logic over the catalog (one
 row per dataset and column), so a lake of datasets is classified in one job.
 Vocabularies are fixed lists of a few dozen words and are broadcast.
 """
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
 from liftlake.operators.effects import metric_kind
+from liftlake.session import materialize
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-LOW_CARDINALITY = 64  # every rule's cut-off is at most 20
+LOW_CARDINALITY = 64  # columns whose values are listed; every rule's cut-off is at most 20
 
 CATALOG_SCHEMA = (
     "dataset string, position int, column_name string, is_numeric boolean, n_rows bigint, n_null bigint, "
@@ -29,77 +30,67 @@ def _is_numeric(kind: str) -> bool:
     return kind in _NUMERIC or kind.startswith("decimal")
 
 
-def profile(df: DataFrame, dataset: str, exact_distinct: list[str] | None = None) -> DataFrame:
-    """Catalog rows of one table.
+def _cells(df: DataFrame, dataset: str) -> DataFrame:
+    """One row per row and column: dataset, position, value (as text; null also for NaN), number (of numeric columns)."""
+    cells = []
+    for i, (name, kind) in enumerate(_plain(df)):
+        v = F.col(f"`{name}`")
+        v = F.when(~F.isnan(v), v) if kind in ("double", "float") else v
+        number = v.cast("double") if _is_numeric(kind) else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(i + 1).alias("position"), v.cast("string").alias("value"), number.alias("number")))
+    return df.select(F.lit(dataset).alias("dataset"), F.explode(F.array(*cells)).alias("c")).select("dataset", "c.*")
 
-    Pass 1 screens every column in a single aggregate with a distinct-count
-    sketch. Pass 2 collects the value sets of the columns the sketch found
-    small: they are bounded by twice ``LOW_CARDINALITY`` values, so the sets
-    combine map-side with no row expansion. Larger columns get a null
-    ``n_distinct`` ("more than any rule's cut-off"), unless named in
-    ``exact_distinct`` (unit ids), which are counted by a two-level group-by.
-    """
-    kinds = dict(df.dtypes)
-    columns = [c for c in df.columns if not kinds[c].startswith(("array", "map", "struct"))]
-
-    def clean(c: str) -> Column:
-        col = F.col(f"`{c}`")
-        return F.when(~F.isnan(col), col) if kinds[c] in ("double", "float") else col
-
-    screen = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(columns):
-        v = clean(c)
-        screen += [F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.02).alias(f"a{i}")]
-        if _is_numeric(kinds[c]):
-            screen += [F.sum(v.cast("double")).alias(f"s{i}"), F.bool_and((v == 0) | (v == 1)).alias(f"z{i}")]
-    seen = df.agg(*screen).first()  # one summary row per table
-    small = [i for i in range(len(columns)) if seen[f"a{i}"] <= 2 * LOW_CARDINALITY]
-    exact = [c for c in exact_distinct or [] if columns.index(c) not in small]
-    second = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.array_sort(F.collect_set(clean(columns[i]).cast("string"))).alias(f"v{i}") for i in small],
-        *[F.count_distinct(clean(c)).alias(f"x{columns.index(c)}") for c in exact],
-    )
-
-    def row(i: int, c: str) -> Column:
-        n_rows, held = seen["n_rows"], seen[f"n{i}"]
-        values = F.col(f"v{i}") if i in small else F.lit(None).cast("array<string>")
-        if c in exact:
-            distinct = F.col(f"x{i}")
-        elif i in small:
-            distinct = F.when(F.size(values) <= LOW_CARDINALITY, F.size(values).cast("bigint"))
-            if c in (exact_distinct or []):
-                distinct = F.size(values).cast("bigint")
-        else:
-            distinct = F.lit(None).cast("bigint")
-        numeric = _is_numeric(kinds[c])
-        zero_one = held == 0 or (numeric and bool(seen[f"z{i}"]))
-        total = float(seen[f"s{i}"]) if numeric and seen[f"s{i}"] is not None else None
-        return F.struct(
-            F.lit(dataset).alias("dataset"),
-            F.lit(i + 1).alias("position"),
-            F.lit(c).alias("column_name"),
-            F.lit(numeric).alias("is_numeric"),
-            F.lit(n_rows).cast("bigint").alias("n_rows"),
-            F.lit(n_rows - held).cast("bigint").alias("n_null"),
-            F.lit((n_rows - held) / n_rows if n_rows else 1.0).alias("null_fraction"),
-            distinct.alias("n_distinct"),
-            F.lit(zero_one).alias("zero_one"),
-            F.lit(total).cast("double").alias("column_sum"),
-            values.alias("values"),
-        )
 
-    return second.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+def _plain(df: DataFrame) -> list[tuple[str, str]]:
+    return [(c, kind) for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct"))]
 
 
 def build_catalog(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Catalog of several datasets; user-id columns are counted exactly."""
-    parts = []
-    for name, df in datasets.items():
-        lowered = {c.lower(): c for c in df.columns}
-        user = next((lowered[u] for u in fixed.USER_NAMES if u in lowered), None)
-        parts.append(profile(df, name, [user] if user else None))
-    return reduce(DataFrame.unionByName, parts)
+    """Catalog of any number of datasets in one aggregate over all their cells.
+
+    Cells are counted by (dataset, column, value), combined before the shuffle, so ``n_distinct`` is exact for every column
+    and a frequent value is no hot key. The value counts are written; columns are summed up from them, and the value sets
+    are gathered of columns with at most ``LOW_CARDINALITY`` values (null for others).
+    """
+    held = {name: df for name, df in datasets.items() if _plain(df)}
+    if not held:
+        raise ValueError("no dataset has a plain column")
+    spark = next(iter(held.values())).sparkSession
+    by = ["dataset", "position"]
+    counts = reduce(DataFrame.unionByName, [_cells(df, name) for name, df in held.items()])
+    counts = materialize(counts.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("cnt"), F.max("number").alias("number")))
+    facts = counts.groupBy(*by).agg(
+        F.sum("cnt").alias("n_rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("n_null"),
+        F.count("value").alias("n_distinct"),
+        F.bool_and(F.when(F.col("value").isNotNull(), F.col("number").isNotNull() & F.col("number").isin(0.0, 1.0))).alias("zero_one"),
+        F.sum(F.col("number") * F.col("cnt")).alias("column_sum"),
+    )
+    facts = materialize(facts)
+    small = facts.filter(F.col("n_distinct") <= LOW_CARDINALITY).select(*by)
+    # bounded by LOW_CARDINALITY values a column
+    values = counts.filter(F.col("value").isNotNull()).join(F.broadcast(small), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("values"))
+    listed = [(name, i + 1, c, _is_numeric(kind)) for name, df in held.items() for i, (c, kind) in enumerate(_plain(df))]
+    columns = spark.createDataFrame(listed, "dataset string, position int, column_name string, is_numeric boolean")
+    n, missing = F.coalesce("n_rows", F.lit(0)), F.coalesce("n_null", F.lit(0))
+    distinct = F.coalesce("n_distinct", F.lit(0))
+    return columns.join(facts, by, "left").join(values, by, "left").select(
+        *by,
+        "column_name",
+        "is_numeric",
+        n.alias("n_rows"),
+        missing.alias("n_null"),
+        F.when(n > 0, missing / n).otherwise(1.0).alias("null_fraction"),
+        distinct.alias("n_distinct"),
+        F.coalesce("zero_one", F.lit(True)).alias("zero_one"),
+        "column_sum",
+        F.when(distinct <= LOW_CARDINALITY, F.coalesce("values", F.array().cast("array<string>"))).alias("values"),
+    )
+
+
+def profile(df: DataFrame, dataset: str) -> DataFrame:
+    """Catalog rows of one table."""
+    return build_catalog({dataset: df})
 
 
 # --- names -------------------------------------------------------------------
@@ -483,10 +474,7 @@ def covariates(catalog: DataFrame, roles: DataFrame, metric: DataFrame) -> DataF
 def funnel_tables(catalog: DataFrame, roles: DataFrame) -> DataFrame:
     """Datasets a funnel can run on: user, event with two or more values, timestamp."""
     c = catalog.drop("n_rows").join(roles, "dataset")
-    # a null distinct count means "many"
-    event_values = F.max(
-        F.when(F.col("column_name").eqNullSafe(F.col("funnel_event_column")), F.coalesce("n_distinct", F.lit(LOW_CARDINALITY + 1)))
-    )
+    event_values = F.max(F.when(F.col("column_name").eqNullSafe(F.col("funnel_event_column")), F.col("n_distinct")))
     g = c.groupBy("dataset", "user_column", "funnel_event_column", "timestamp_column", "variant_column").agg(event_values.alias("__ev"))
     return g.select(
         "dataset",

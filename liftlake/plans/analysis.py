@@ -109,9 +109,13 @@ def analyze(
     small = effects.choose_test(paired).filter(F.col("test_type") == "needs_normality").select(*by)
     continuous = moments.filter(is_primary & (F.col("metric_type") != "binary")).select(*by)
     wanted = materialize(small.union(continuous).distinct())
-    assigned = rows.filter(F.col(arm).isNotNull()).select(*keys, F.col(arm).cast("string").alias("arm"), *metrics)
-    values = units.metrics_long(assigned, [*keys, "arm"], metrics).join(wanted, by, "left_semi")
-    normal = materialize(quality.normality(values.withColumn("__row", F.col("value")), by, "__row"))
+    # a row is known by the hash of all its columns, so samples do not depend on the values of one metric
+    assigned = rows.filter(F.col(arm).isNotNull()).select(*keys, F.col(arm).cast("string").alias("arm"), F.xxhash64(*rows.columns).alias("__row"), *metrics)
+    values = units.metrics_long(assigned, [*keys, "arm", "__row"], metrics).join(wanted, by, "left_semi")
+    if wanted.limit(1).count():
+        normal = materialize(quality.normality(values, by, "__row"))
+    else:
+        normal = rows.sparkSession.createDataFrame([], quality.normality(values, by, "__row").schema)
 
     q = quality_from_moments(moments, keys, primary)
     if continuous.limit(1).count():

@@ -24,8 +24,8 @@ DATASETS = {
         [("user_id", 1), ("variant", 0), ("converted", 1), ("order_value", 1), ("order_value_pre", 1), ("device", 0), ("refund_amount", 1), ("age", 1), ("plan", 0)],
     ),
     "event_log": (
-        "SELECT user_id, event_type, ts AS timestamp, value AS latency FROM events",
-        [("user_id", 1), ("event_type", 0), ("timestamp", 0), ("latency", 1)],
+        "SELECT event_id, user_id, event_type, ts AS timestamp, value AS latency, props FROM events",
+        [("event_id", 1), ("user_id", 1), ("event_type", 0), ("timestamp", 0), ("latency", 1), ("props", 0)],
     ),
     "anonymous_log": (
         "SELECT event_type, ts AS timestamp, value AS amount FROM events",
@@ -48,8 +48,8 @@ DATASETS = {
         [("customer_id", 1), ("group", 0), ("order_total", 1), ("pre_metric", 1)],
     ),
     "line_items": (
-        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem",
-        [("l_orderkey", 1), ("l_partkey", 1), ("l_suppkey", 1), ("l_linenumber", 1), ("l_quantity", 1), ("l_extendedprice", 1), ("l_discount", 1), ("l_tax", 1), ("l_returnflag", 0), ("l_linestatus", 0)],
+        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem",
+        [("l_orderkey", 1), ("l_partkey", 1), ("l_suppkey", 1), ("l_linenumber", 1), ("l_quantity", 1), ("l_extendedprice", 1), ("l_discount", 1), ("l_tax", 1), ("l_returnflag", 0), ("l_linestatus", 0), ("l_shipdate", 0)],
     ),
 }
 
@@ -63,7 +63,7 @@ def lake(spark, sf_dir) -> dict[str, DataFrame]:
             c("unit_id").alias("user_id"), c("arm").alias("variant"), "converted", "order_value", "order_value_pre", c("channel").alias("device"),
             c("balance").alias("refund_amount"), c("nation").alias("age"), c("segment").alias("plan"),
         ),
-        "event_log": ev.select("user_id", "event_type", c("ts").alias("timestamp"), c("value").alias("latency")),
+        "event_log": ev.select("event_id", "user_id", "event_type", c("ts").alias("timestamp"), c("value").alias("latency"), "props"),
         "anonymous_log": ev.select("event_type", c("ts").alias("timestamp"), c("value").alias("amount")),
         "arm_summary": cu.groupBy(c("arm").alias("variant")).agg(
             F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"), F.round(F.sum("lifted_value")).alias("revenue")
@@ -74,7 +74,7 @@ def lake(spark, sf_dir) -> dict[str, DataFrame]:
             c("lifted_converted").alias("conversion"), c("lifted_value").alias("spend"), c("balance").alias("page_load_ms"),
         ),
         "single_arm": cu.select(c("unit_id").alias("customer_id"), F.lit("A").alias("group"), c("lifted_value").alias("order_total"), c("balance").alias("pre_metric")),
-        "line_items": tb.table(spark, sf_dir, "lineitem").drop("l_shipdate"),
+        "line_items": tb.table(spark, sf_dir, "lineitem"),
     }
 
 
@@ -92,12 +92,9 @@ def _catalog_sql() -> str:
     bodies = ",\n".join(f"ds_{d} AS ({body})" for d, (body, _) in DATASETS.items())
     rows = []
     for d, (_, columns) in DATASETS.items():
-        users = [c for c, _ in columns if c in fixed.USER_NAMES]
         for i, (c, numeric) in enumerate(columns):
             q = f'"{c}"'
             distinct = f"count(DISTINCT {q})"
-            if c not in users[:1]:
-                distinct = f"CASE WHEN count(DISTINCT {q}) <= 64 THEN count(DISTINCT {q}) END"
             zero_one = f"coalesce(bool_and({q} IN (0, 1)), true)" if numeric else f"count({q}) = 0"
             total = f"CAST(sum({q}) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
             values = f"CASE WHEN count(DISTINCT {q}) <= 64 THEN string_agg(DISTINCT CAST({q} AS VARCHAR), ',' ORDER BY CAST({q} AS VARCHAR)) END"
@@ -365,7 +362,7 @@ def covariates(spark, sf_dir):
 @query(
     "catalog_funnel_tables",
     ROLES
-    + """ SELECT dataset, any_value(user_column) IS NOT NULL AND any_value(timestamp_column) IS NOT NULL AND coalesce(max(CASE WHEN column_name = funnel_event_column THEN coalesce(n_distinct, 65) END) >= 2, false) AS is_funnel,
+    + """ SELECT dataset, any_value(user_column) IS NOT NULL AND any_value(timestamp_column) IS NOT NULL AND coalesce(max(CASE WHEN column_name = funnel_event_column THEN n_distinct END) >= 2, false) AS is_funnel,
  any_value(funnel_event_column) AS event_column, any_value(timestamp_column) AS timestamp_column, any_value(variant_column) AS group_column FROM cs GROUP BY 1""",
 )
 def funnel_tables(spark, sf_dir):

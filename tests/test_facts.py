@@ -227,3 +227,26 @@ def test_judges_and_numbers(spark):
     assert r["sd_score"] == pytest.approx(0.4330127)
     rows = spark.createDataFrame([("up 8.4% on 12,400 users, p 0.03", "lift=8.4 n=12400")], "p string, f string")
     assert evaluate.unsupported_numbers(rows, "p", "f").first()["unsupported"] == "0.03"
+
+
+def test_catalog_of_odd_columns(spark):
+    from liftlake.operators import catalog
+
+    rows = [(i, float(i % 2) if i % 5 else float("nan"), None, f"s{i % 200}", [i]) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, `flag.x` double, nothing string, many string, list array<long>").repartition(3)
+    got = {(r["dataset"], r["column_name"]): r for r in catalog.build_catalog({"t": table, "empty": table.limit(0), "other": table.select("id")}).collect()}
+    assert [got["t", c]["n_distinct"] for c in ("id", "flag.x", "nothing", "many")] == [300, 2, 0, 200]
+    assert got["t", "flag.x"]["zero_one"] and got["t", "flag.x"]["n_null"] == 60 and got["t", "flag.x"]["values"] == ["0.0", "1.0"]
+    assert got["t", "nothing"]["zero_one"] and got["t", "nothing"]["values"] == [] and got["t", "nothing"]["null_fraction"] == 1.0
+    assert got["t", "many"]["values"] is None and not got["t", "many"]["zero_one"] and got["t", "id"]["column_sum"] == sum(range(300))
+    assert got["empty", "id"]["n_rows"] == 0 and got["empty", "id"]["null_fraction"] == 1.0 and len(got) == 9
+
+
+def test_catalog_of_many_tables_takes_no_job_per_table(spark):
+    from liftlake.operators import catalog
+
+    spark.sparkContext.setJobGroup("catalog", "")
+    catalog.build_catalog({f"t{i}": spark.range(20).selectExpr("id", "id % 2 as odd") for i in range(40)}).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("catalog"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 30
