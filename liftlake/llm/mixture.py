@@ -6,6 +6,9 @@ source's slots are numbered through all shards, mapped to its blocks through one
 pseudorandom permutation of the block numbers for each pass over the source, and the
 drawn blocks are joined to the documents by (source, block).
 
+A row is known by a 128-bit digest of all its columns (maps apart), not by its doc_id, so rows without an id and
+different rows of one id stay apart. Rows that are alike in all columns are counted as copies and placed one after the other.
+
 The draw is the multinomial one conditioned on the source totals: all slots of the mix
 are shuffled by a permutation, and a shard counts the sources among its share. So the
 totals meet the targets to the word (plain draws would stray by the square root of the
@@ -31,6 +34,9 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 ROUNDS = 16
 _CELL = 65_536
+#: Rows of a bucket of prefix sums, and copies of one row that a task lists.
+_BUCKET_ROWS = 2048
+_COPIES = 4096
 _PRIME = 2_147_483_647
 
 
@@ -54,7 +60,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     limit over weight, the sources below the level come first.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     s = s.withColumn("source_no", F.row_number().over(by_name) - 1)
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("source_no") % len(weights) + 1))
     s = s.withColumn("limit", F.col("source_size") * F.lit(float(max_repeat)))
@@ -85,6 +91,8 @@ def drawn_blocks(targets: DataFrame, seed: int = 7) -> DataFrame:
     counts = shuffled.join(held, "cell").where("ticket >= first_slot and ticket < end_slot").groupBy("shard", "source_no").agg(F.count("*").alias("drawn"))
     ahead = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = counts.withColumn("first", F.sum("drawn").over(ahead) - F.col("drawn"))
+    # a row for each shard and source: their slots are made wherever these rows go
+    slots = slots.repartition("shard", "source_no")
     slots = slots.select("shard", "source_no", F.explode(F.expr("sequence(first, first + drawn - 1)")).alias("slot"))
     slots = slots.join(targets.select("source_no", "source_size", "words", "blocks"), "source_no")
     slots = slots.selectExpr("shard", "source_no", "source_size", "words", "slot div blocks as pass", "slot % blocks as place", f"source_size div {BLOCK_WORDS} as filled")
@@ -95,16 +103,31 @@ def drawn_blocks(targets: DataFrame, seed: int = 7) -> DataFrame:
     return slots.select("shard", "source_no", "pass", block.alias("block"), F.least(length, left).alias("take"))
 
 
-def _placed(docs: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:
-    """Each document's place in its source's stream. Prefix sums go over buckets of ids first, so a hot source is many small groups."""
+def _keys(docs: DataFrame) -> list[Column]:
+    """Two independent hashes of a row; nulls are told apart from each other and from empty values."""
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    flags = [c.isNull() for c in columns]
+    return [F.xxhash64(F.lit(no), *flags, *columns).alias(f"__key{no}") for no in (1, 2)]
+
+
+def _placed(targets: DataFrame, sized: DataFrame) -> DataFrame:
+    """Each row's place in its source's stream. Prefix sums go over buckets of rows first, so a hot source is many small groups."""
     rows = sized.join(targets.select("source", "source_no"), sized.source.eqNullSafe(targets.source)).drop(targets.source)
-    rows = rows.withColumn("bucket", F.expr("(pmod(coalesce(doc_id, 0), 2147483648) * 1103515245) % 2147483648 div 524288"))
+    buckets = max(64, sized.count() // _BUCKET_ROWS)
+    rows = rows.withColumn("bucket", F.pmod("__key1", F.lit(buckets))).withColumn("words", F.col("size") * F.col("copies"))
     running = Window.unboundedPreceding, Window.currentRow
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("sum"))
+    sums = rows.groupBy("source_no", "bucket").agg(F.sum("words").alias("sum"))
     sums = sums.withColumn("base", F.sum("sum").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(*running)) - F.col("sum")).drop("sum")
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(*running)
-    rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    return rows.join(sums, ["source_no", "bucket"]).select("doc_id", "source_no", "size", (F.col("base") + F.col("inside")).alias("start"))
+    inside = Window.partitionBy("source_no", "bucket").orderBy("__key1", "__key2").rowsBetween(*running)
+    rows = rows.withColumn("inside", F.sum("words").over(inside) - F.col("words"))
+    return rows.join(sums, ["source_no", "bucket"]).select("doc_id", "__key1", "__key2", "copies", "source_no", "size", (F.col("base") + F.col("inside")).alias("start"))
+
+
+def _each_copy(placed: DataFrame) -> DataFrame:
+    """A row for each copy, at its own place; very many copies are listed by many tasks."""
+    lots = placed.withColumn("lot", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_COPIES})"))).repartition("source_no", "__key1", "lot")
+    copy = F.explode(F.expr(f"sequence(lot * {_COPIES}, least(copies, (lot + 1) * {_COPIES}) - 1)"))
+    return lots.withColumn("copy", copy).withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("lot", "copies")
 
 
 def _pieces(placed: DataFrame) -> DataFrame:
@@ -117,9 +140,10 @@ def _pieces(placed: DataFrame) -> DataFrame:
 
 def _prepared(docs: DataFrame, weights: tuple[float, ...], max_repeat: int) -> tuple[DataFrame, DataFrame]:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size")))
+    sized = docs.select("doc_id", "source", size.alias("size"), *_keys(docs)).groupBy("doc_id", "source", "size", "__key1", "__key2")
+    sized = materialize(sized.agg(F.count(F.lit(1)).alias("copies")))
     targets = materialize(source_targets(sized, weights, max_repeat))
-    return targets, materialize(_placed(docs, targets, sized))
+    return targets, materialize(_placed(targets, sized))
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
@@ -131,27 +155,34 @@ def mix_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat
     targets, placed = _prepared(docs, weights, max_repeat)
     drawn = drawn_blocks(targets, seed)
     took = F.when(F.col("take") > F.col("from"), F.least("to", "take") - F.col("from")).otherwise(0)
-    hits = _pieces(placed).join(drawn.select("source_no", "block", "take"), ["source_no", "block"], "left")
+    copies = _each_copy(placed)
+    hits = _pieces(copies).join(drawn.select("source_no", "block", "take"), ["source_no", "block"], "left")
     taken = hits.groupBy("source_no", "start", "doc_id", "size").agg(F.sum(took).alias("taken"))
-    rows = taken.select("doc_id", "source_no", "size", "taken").unionByName(placed.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken")))
+    rows = taken.select("doc_id", "source_no", "size", "taken").unionByName(copies.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken")))
     return rows.join(targets.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 7) -> DataFrame:
-    """The mix as documents: for each pass over its source, what the mix takes of a document, in its order.
+    """The mix as documents: for each pass over its source, what the mix takes of a row, in its order.
 
-    A document that is taken whole keeps its text as it is; of one at the edge of a taken
-    block the taken words stay, joined by single spaces (n_chars follows). doc_id must be unique. Columns are those of
-    ``docs``; texts without words are taken by no block.
+    A row that is taken whole keeps its text as it is; of one at the edge of a taken
+    block the taken words stay, joined by single spaces (n_chars follows). Columns are those of
+    ``docs``; texts without words are taken by no block. Null and shared ids and repeated rows are rows like others.
     """
     targets, placed = _prepared(docs, weights, max_repeat)
     drawn = drawn_blocks(targets, seed)
-    hits = _pieces(placed).join(drawn.select("source_no", "block", "pass", "take"), ["source_no", "block"]).where("least(to, take) > from")
+    hits = _pieces(_each_copy(placed)).join(drawn.select("source_no", "block", "pass", "take"), ["source_no", "block"]).where("least(to, take) > from")
     at = F.col("block") * BLOCK_WORDS - F.col("start")
     part = F.struct((at + F.col("from")).alias("lo"), (at + F.least("to", "take")).alias("hi"))
-    parts = hits.groupBy("doc_id", "pass", "size").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.least("to", "take") - F.col("from")).alias("took"))
-    parts = parts.select(F.col("doc_id").alias("__mix_id"), F.struct("parts", "took", "size").alias("__mix"))
-    rows = docs.join(parts, docs.doc_id.eqNullSafe(F.col("__mix_id")))
+    parts = hits.groupBy("__key1", "__key2", "copy", "pass", "size").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.least("to", "take") - F.col("from")).alias("took"))
+    parts = parts.select("__key1", "__key2", F.struct("parts", "took", "size").alias("__mix"))
+    keyed = docs.select("*", *_keys(docs))
+    repeated = materialize(placed.where("copies > 1 and size > 0").select("__key1", "__key2"))
+    if repeated.limit(1).count():
+        # copies are placed one by one, so one of the rows stands for all
+        by = ["__key1", "__key2"]
+        keyed = keyed.join(repeated, by, "left_anti").unionByName(keyed.join(repeated, by, "left_semi").dropDuplicates(by))
+    rows = keyed.join(parts, ["__key1", "__key2"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__mix.parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
     rows = rows.withColumn("text", F.when(F.col("__mix.took") == F.col("__mix.size"), F.col("text")).otherwise(cut))

@@ -1,11 +1,14 @@
 """The stages of the pipeline with null and repeated ids, against plain Python."""
 
+import base64
 import collections
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 
 import corpus_pipeline
-from liftlake.llm import toxicity
+from liftlake.llm import mixture, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -48,3 +51,38 @@ def test_toxicity_and_secrets_are_decided_per_row(spark, monkeypatch):
     assert not any("hunter" in (t or "") or "AKIA" in (t or "") for _, t in got)
     assert got[(None, "nothing of that sort is in here")] == got[(5, "nothing of that sort is in here")] == got[(None, None)] == 1
     assert all(len(t) == len(rows[1][1]) and t.startswith("é ") and t.endswith(" and more") for _, t in got if t and t.startswith("é"))
+
+
+def test_mixing_and_encoding_of_null_and_shared_ids(spark):
+    rows = [(None, prose(i, 101), "s") for i in range(5)] + [(1, prose(20, 101), "s"), (1, prose(21, 101), "s"), (2, prose(22, 101), "t"), (2, prose(22, 101), "t"), (None, None, "t"), (3, "", None), (4, "w1 w2", None)]
+    rows += [(5, prose(23, 5000), "t")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    mixed = corpus_pipeline.mixing(spark, docs, "").cache()
+    report = mixture.mix_report(docs).collect()
+    assert sorted((r.doc_id or -1, r["size"]) for r in report) == sorted((i or -1, len((t or "").split())) for i, t, _ in rows)
+    got = collections.Counter()
+    whole = {(i, s): set() for i, _, s in rows}
+    for i, t, s in rows:
+        whole[i, s].add(t)
+    for r in mixed.collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        # a whole text, or a run of words of one
+        assert any(t and f" {' '.join(r.text.split())} " in f" {' '.join(t.split())} " for t in whole[r.doc_id, r.source])
+    want = collections.Counter()
+    for r in report:
+        source = next(s for i, t, s in rows if i == r.doc_id and len((t or "").split()) == r["size"])
+        want[r.doc_id, source] += r.taken
+    assert +got == +want and sum(want.values()) > 0
+    encoded = corpus_pipeline.encoding(spark, mixed, "").collect()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))})
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in encoded) == collections.Counter((r.doc_id, len(library.encode_ordinary(r.text))) for r in mixed.collect())
+
+
+def test_the_whole_pipeline_runs_on_odd_rows(spark, monkeypatch):
+    model = toxicity.fit(["fine words here"] * 20 + ["you grobnik here"] * 20, [0] * 20 + [1] * 20)
+    monkeypatch.setattr(corpus_pipeline, "train", lambda *_: model)
+    rows = [(None, prose(1), "s"), (None, prose(1), "s"), (1, prose(2), None), (1, prose(3), "s"), (2, "you grobnik here", "s"), (3, None, None), (4, prose(2) + " password=hunter2x", "t")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda _, __, name: docs if name == "documents" else None)
+    out = corpus_pipeline.run(spark, "").collect()
+    assert out and 2 not in {r.doc_id for r in out}
