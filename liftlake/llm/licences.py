@@ -2,9 +2,9 @@
 
 A text is brought to one canonical form: lower case, copyright lines gone, equivalent
 spellings made one, everything but letters and digits a single space. The digest of
-the whole form is looked up among those of known licences; so is that of each line,
-since documents quote a notice as a line of its own. The known digests are a small
-table (one row per notice), which the join broadcasts.
+the whole form is looked up among those of known licences; so is that of each line and each paragraph,
+since documents quote a notice as a line of its own, or wrapped over some. The known digests are a small
+table (one row per notice), which the join broadcasts; lines and paragraphs are looked up inside their row.
 """
 
 from __future__ import annotations
@@ -26,6 +26,18 @@ NOTICES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    # whole texts, without their copyright lines
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "0BSD-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 SPELLINGS = {"licence": "license", "licenced": "licensed", "organisation": "organization", "favour": "favor", "whilst": "while", "v": "version"}
 _COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
@@ -53,18 +65,21 @@ def known_digests(spark: SparkSession, notices: dict[str, str] = NOTICES) -> Dat
 
 
 def license_report(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """doc_id, license (of the entire text, else null), n_license_lines, line_licenses (sorted, distinct, comma-joined).
+    """doc_id, license (of the entire text, else null), n_license_lines, line_licenses, paragraph_licenses (sorted, distinct, comma-joined).
 
-    Null and empty texts: null, 0, "". Repeated rows of a doc_id: counted together in one row each.
-    A line shorter than the shortest notice is not looked up, since no digest can be its own.
+    A paragraph lies between empty lines. Null and empty texts: null, 0, "", "". Each row stands for itself, also where a doc_id is null or repeated.
+    A line shorter than half of the shortest notice is not looked up, since no digest can be its own.
     """
     known = known_digests(docs.sparkSession, notices)
     shortest = min(len(n) for n in notices.values()) // 2
+    # as many entries as notices
+    names = F.create_map(*[F.lit(x) for r in known.select("digest", "license").collect() for x in (r.digest, r.license)])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = texts.select("doc_id", digest(F.col("text")).alias("digest"))
-    whole = whole.join(F.broadcast(known.select("digest", "license")), "digest", "left").select("doc_id", "license")
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= shortest)
-    lines = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(F.broadcast(known.select("digest", F.col("license").alias("line_license"))), "digest")
-    found = lines.groupBy(F.col("doc_id").alias("found_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("line_license")), ",").alias("names"))
-    rows = whole.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-    return rows.select("doc_id", "license", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
+    parts = lambda cut: F.filter(F.split("text", cut), lambda part: F.length(part) >= shortest)
+    looked = lambda cut: F.filter(F.transform(parts(cut), lambda part: names[digest(part)]), lambda name: name.isNotNull())
+    # one projection a step: inside one expression the digests would be computed again for each mention
+    texts = texts.withColumn("lines", looked("\n")).withColumn("paragraphs", looked(r"\n[ \t\r]*\n"))
+    joined = lambda found: F.array_join(F.array_sort(F.array_distinct(found)), ",")
+    rows = texts.select("doc_id", digest(F.col("text")).alias("digest"), F.size("lines").cast("long").alias("n_license_lines"), joined("lines").alias("line_licenses"), joined("paragraphs").alias("paragraph_licenses"))
+    rows = rows.join(F.broadcast(known.select("digest", "license")), "digest", "left")
+    return rows.select("doc_id", "license", "n_license_lines", "line_licenses", "paragraph_licenses")

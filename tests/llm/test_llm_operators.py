@@ -290,3 +290,23 @@ def test_toxicity_restores_look_alikes_at_the_ends():
         assert model.score(text) >= 0.7, text
     for text in ("fine river!", "stone cloud 1 2 3 end!", "maple3 ember!!! (delta)", "u s a of stone"):
         assert model.score(text) < 0.7, text
+
+
+def test_spot_signatures_of_ids_at_the_ends_of_their_range(spark):
+    ids = [-(1 << 63), (1 << 63) - 1, 0, 5, None]
+    texts = {i: prose(200 + k, 80) for k, i in enumerate(ids)}
+    got = {r.doc_id: r for r in spot_signatures.fingerprint_report(spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")).collect()}
+    down = [(1 << 63) - 1, 5, 0, -(1 << 63), None]
+    for one, following in zip(down, down[1:] + down[:1]):
+        half = len(texts[one]) // 2
+        edited = texts[one][: len(texts[one]) - half] + texts[following][:half]
+        assert got[one].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_license_counts_stay_with_their_rows(spark):
+    notice, wrapped = "Released under the MIT License.", "This work is licensed under the GNU General Public License,\nversion 2."
+    whole = "Copyright 2020 A. B.\n\n" + licences.NOTICES["MIT-text"].replace("merge, publish", "merge,\n publish")
+    rows = [(None, f"one\n{notice}\n{notice}"), (None, "two lines\nof something else"), (1, f"x\n{notice}"), (1, f"x\n{notice}"), (1, "plain text without any"), (2, None), (3, whole), (4, f"Intro of some length.\n\n{wrapped}\n\nmore"), (5, notice)]
+    got = collections.Counter((r.doc_id, r.license, r.n_license_lines, r.line_licenses, r.paragraph_licenses) for r in licences.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(None, None, 2, "MIT", ""), (None, None, 0, "", ""), *[(1, None, 1, "MIT", "")] * 2, (1, None, 0, "", ""), (2, None, 0, "", ""), (3, "MIT-text", 0, "", ""), (4, None, 0, "", "GPL-2.0"), (5, "MIT", 1, "MIT", "MIT")]
+    assert got == collections.Counter(want)
