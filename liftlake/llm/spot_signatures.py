@@ -84,7 +84,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """
     ids = docs.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, width = ids.lo or 0, max(1, -(-((ids.hi or 0) - (ids.lo or 0) + 1) * CELL_ROWS // max(ids.n, 1)))
-    cell = F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1).cast("long"))
+    # in decimals: the range of ids may be wider than a long
+    cell = F.coalesce(F.expr(f"(cast(doc_id as decimal(20, 0)) - cast('{lo}' as decimal(20, 0))) div cast('{width}' as decimal(24, 0))"), F.lit(-1).cast("long"))
     tops = docs.groupBy(cell.alias("cell")).agg(F.max("doc_id").alias("top"))
     down = Window.orderBy(F.desc("cell"))
     ahead = F.coalesce(F.lead(F.struct("cell", "top")).over(down), F.first(F.struct("cell", "top")).over(down))
