@@ -310,3 +310,39 @@ def test_license_counts_stay_with_their_rows(spark):
     got = collections.Counter((r.doc_id, r.license, r.n_license_lines, r.line_licenses, r.paragraph_licenses) for r in licences.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = [(None, None, 2, "MIT", ""), (None, None, 0, "", ""), *[(1, None, 1, "MIT", "")] * 2, (1, None, 0, "", ""), (2, None, 0, "", ""), (3, "MIT-text", 0, "", ""), (4, None, 0, "", "GPL-2.0"), (5, "MIT", 1, "MIT", "MIT")]
     assert got == collections.Counter(want)
+
+
+ORDINARY = (
+    "getUserAccountSettingsByOrganizationId HttpServletRequestWrapper test_user_login_with_invalid_password src/main/java/org/example/App Donaudampfschifffahrtsgesellschaft "
+    "AbstractSingletonProxyFactoryBean MAX_CONNECTION_RETRY_COUNT internationalization uncharacteristically my-super-long-package-name calculateTotalPriceWithDiscount "
+    "application/x-www-form-urlencoded Rindfleischetikettierungsgesetz anticonstitutionnellement user_profile_image_url_https updateCustomerShippingAddress2"
+).split()
+
+
+def test_secret_models_on_held_out_samples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = docs.where("pmod(xxhash64(doc_id, 1), 3) = 0")
+    ratios = secret_scan.train_models(docs.where("pmod(xxhash64(doc_id, 1), 3) <> 0"))
+    samples = [secret_scan.labelled_samples((r.text or "").encode()) for r in held.collect()]
+    rng = np.random.default_rng(4)
+    secrets = [s for random, _ in samples for s in random if len(s) >= 20]
+    for alphabet, n in ((secret_scan.ALPHABET[:62], 20), (secret_scan.ALPHABET[:64], 40), (secret_scan.ALPHABET[26:62], 24), (b"0123456789ABCDEF", 32)):
+        secrets += [bytes(alphabet[i] for i in rng.integers(0, len(alphabet), n)) for _ in range(200)]
+    ordinary = [s for _, own in samples for s in own[1:] if len(s) >= secret_scan.RUN_LEAST][:5000] + [w.encode() for w in ORDINARY]
+
+    def flagged(strings):
+        # each on a line of its own; what the rules find counts as found
+        spans = secret_scan._span_lists(secret_scan.pa.array([s.decode() for s in strings]), ratios, secret_scan.LEAST_RATIO)
+        return [bool(s) for s in spans]
+
+    found, wrong = sum(flagged(secrets)), sum(flagged(ordinary))
+    assert found >= 0.95 * len(secrets) and found >= 0.95 * (found + wrong)
+    assert not any(flagged([w.encode() for w in ORDINARY]))
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "é password=hunter2x " * 60_000
+    row = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), np.full((69, 69), -1.0)).first()
+    assert row.n_assign == 60_000 and row.spans.endswith(f"assign:{len(text) - 18}:{len(text) - 1}")
+    masked = secret_scan.mask_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), np.full((69, 69), -1.0)).first().text
+    assert masked == "é ***************** " * 60_000
