@@ -32,11 +32,11 @@ from liftlake.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
 FREQUENT = 65_536
 LOCAL_REPEATS = 3
-LOCAL_BYTES = 32 << 20
+LOCAL_BYTES = 16 << 20
 SALTS = 64
 #: Documents in a block of the second step.
 BLOCK = 64
@@ -62,14 +62,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[1:] &= ~inside[:-1]
     rows = offsets[:-1][offsets[:-1] < len(data)]
     first[rows] = inside[rows]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(inside).astype(np.int32)
     starts = np.flatnonzero(first)
     before = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), before
     word_of = np.searchsorted(at, starts)
     sizes = np.diff(np.append(word_of, len(at)))
-    place = np.arange(len(at)) - np.repeat(word_of, sizes)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(word_of.astype(np.int32), sizes)
     power = np.full(int(sizes.max()), _GOLDEN | np.uint64(1))
     power[0] = 1
     power = np.multiply.accumulate(power)
