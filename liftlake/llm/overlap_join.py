@@ -40,7 +40,7 @@ LOCAL_BYTES = 16 << 20
 SALTS = 64
 #: Documents in a block of the second step.
 BLOCK = 64
-#: Ids that may be broadcast to fetch candidate texts (8 bytes each); more are joined by a shuffle.
+#: Rows of ids, keys or labels (40 bytes at most) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -122,18 +122,49 @@ def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     return found[np.argsort(found[:, 0])]
 
 
+def packed_bins(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``K`` bins, four bits a bin, a quarter to half as many bins as hashes.
+
+    Counts above 15 are stored as 15; what is cut is the size of the set less the sum of the bins.
+    """
+    size = max(2, 1 << max(0, (len(hashes) // 2).bit_length() - 1))
+    counts = np.minimum(np.bincount((hashes & (size - 1)).astype(np.int64), minlength=size), 15).astype(np.uint8)
+    return (counts[: size // 2] | (counts[size // 2 :] << 4)).tobytes()
+
+
+def _bins(packed: bytes) -> np.ndarray:
+    both = np.frombuffer(packed, np.uint8)
+    return np.concatenate([both & 15, both >> 4]).astype(np.int32)
+
+
+def may_reach(n_one: int, one: bytes, n_other: int, other: bytes, threshold: int) -> bool:
+    """Whether two sets can reach the threshold: in no bin can more be common than the smaller count.
+
+    Never false for sets that do. Halves of the finer bins are added until both have as many;
+    what was cut from the counts of either is taken as common.
+    """
+    x, y = _bins(one), _bins(other)
+    cut = (n_one - int(x.sum())) + (n_other - int(y.sum()))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return (int(np.minimum(x, y).sum()) + cut) * (100 + threshold) >= (n_one + n_other) * threshold
+
+
 def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """doc_id, n, key (digest of the set), the document's short lists (hot ones apart) and the place of the last of them in the order."""
-    schema = "doc_id long, n int, key binary, short array<long>, hot array<long>, last_df long, last_hash long"
+    """doc_id, n, key (digest of the set), the document's short lists (hot ones apart) and the bins of the set."""
+    schema = "doc_id long, n int, key binary, short array<long>, hot array<long>, bins binary"
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent[:, 0], frequent[:, 1]
         for batch in batches:
-            ids, sizes, keys, short, hot, last = batch.column(0), [], [], [], [], []
+            ids, sizes, keys, short, hot, bins = batch.column(0), [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bins.append(packed_bins(s))
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -142,38 +173,46 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
                 is_hot = rank[best] > 0
                 short.append(s[best[~is_hot]])
                 hot.append(s[best[is_hot]])
-                last.append((rank[best[-1]], s[best[-1]]) if n else (0, 0))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array([x[0] for x in last], pa.int64()), pa.array([x[1] for x in last], pa.int64())], names=["doc_id", "n", "key", "short", "hot", "last_df", "last_hash"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "n", "key", "short", "hot", "bins"])
 
     return docs.select("doc_id", "text").mapInArrow(lists, schema)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast only behind a check of its number of rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _first_of_class(filled: DataFrame) -> DataFrame:
+    """key, first (smallest doc_id) and first_rows (rows with that id) of the sets that several rows have."""
+    rows = filled.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
+    found = rows.groupBy("key").agg(F.min(F.struct("doc_id", "rows")).alias("m"), F.sum("rows").alias("rows")).where("rows > 1")
+    return _small(materialize(found.select("key", F.col("m.doc_id").alias("first"), F.col("m.rows").alias("first_rows"))))
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the given documents; the ids are broadcast only behind a check of their number."""
-    ids = materialize(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    return docs.join(_small(materialize(ids)), "doc_id", "left_semi").select("doc_id", "text")
 
 
 def _occurring(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that share enough short lists to reach the threshold with the help of their long ones.
+    """The pairs whose whole sets, by the counts in their bins, may share enough to reach the threshold.
 
-    All common shingles up to the earlier of the two last short lists are counted; the
-    document that ends there has ``n - short`` long lists left at most. Only the low 16
-    bits of the shingles travel: equal shingles stay equal, and those of one document
-    that coincide are added as ``extra``, so the count is never too low.
+    Only the bins travel, an eighth to a quarter of a byte for each shingle; most pairs that
+    merely share a passage end here, before any text is moved.
     """
     pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = sets.join(ids, "doc_id", "left_semi")
-    low = F.transform(F.concat("short", "hot"), lambda h: (F.pmod(h, F.lit(65_536)) - 32_768).cast("smallint"))
-    own = own.select("doc_id", "n", F.struct("last_df", "last_hash").alias("last"), (F.size("short") + F.size("hot")).alias("lists"), F.array_distinct(low).alias("low"))
-    own = materialize(own.select("doc_id", F.struct("n", "last", (F.col("n") - F.col("lists")).alias("long"), (F.col("lists") - F.size("low")).alias("extra"), "low").alias("s")))
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    long_lists = F.when(F.col("x.last") <= F.col("y.last"), F.col("x.long")).otherwise(F.col("y.long"))
-    most = F.size(F.array_intersect("x.low", "y.low")) + F.least("x.extra", "y.extra") + long_lists
-    return both.where(most * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold).select("a", "b").distinct()
+    ids = _small(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
+    own = materialize(sets.join(ids, "doc_id", "left_semi").select("doc_id", "n", "bins").distinct())
+    both = pairs.join(own.toDF("a", "na", "bins_a"), "a").join(own.toDF("b", "nb", "bins_b"), "b").select("a", "b", "na", "bins_a", "nb", "bins_b")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
+            keep = pa.array([may_reach(*row, threshold) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+    return both.mapInArrow(probe, "a long, b long").distinct()
 
 
 def _reaches(one: np.ndarray, other: np.ndarray, threshold: int) -> bool:
@@ -246,9 +285,13 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     top = _frequent(docs, frequent)
     sets = materialize(_short_lists(docs, top, threshold))
 
-    # one node for equal sets
+    # one node for equal sets: the lists of its other rows are not moved
     filled = sets.where("n > 0 and doc_id is not null")
-    classes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "n", "short", "hot")).alias("m")).select("m.*")
+    firsts = _first_of_class(filled)
+    placed = filled.join(firsts, "key", "left").where("first is null or doc_id = first")
+    classes = placed.where("first_rows is null or first_rows = 1").select("doc_id", "n", "short", "hot")
+    again = placed.where("first_rows > 1").groupBy("key").agg(F.min(F.struct("doc_id", "n", "short", "hot")).alias("m")).select("m.*")
+    classes = classes.union(again)
     postings = classes.select("doc_id", "n", F.size("short").alias("cold"), F.posexplode(F.concat("short", "hot")).alias("at", "hash"))
     must = F.expr(f"n - cast(ceil({2 * threshold} * n / {100 + threshold}D) as int) + 1")
     salt = F.when(F.col("at") < F.col("cold"), 0).otherwise(F.pmod("doc_id", F.lit(SALTS)) + 1).cast("int")
@@ -273,7 +316,7 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     links = materialize(_verified(_occurring(near, sets, threshold), docs, threshold))
 
     # lists whose documents are still apart
-    label = components(links).select(F.col("node").alias("doc_id"), "component")
+    label = _small(components(links).select(F.col("node").alias("doc_id"), "component"))
     nodes = stars.select("hash", F.col("head").alias("doc_id"), F.col("head_n").alias("n"), F.lit(True).alias("strong"), "head").distinct()
     nodes = nodes.union(stars.select("hash", "doc_id", "n", "strong", "head"))
     nodes = nodes.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -298,8 +341,7 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     more = more.union(materialize(_linked_in_blocks(materialize(meeting), tops, docs, threshold)))
 
     # copies join their class, and a doc_id with several texts ties their classes
-    heads_of = filled.groupBy("key").agg(F.min("doc_id").alias("first"))
-    own = filled.select("doc_id", "key").join(heads_of, "key").select("doc_id", "first").where("doc_id <> first")
+    own = filled.select("doc_id", "key").join(firsts, "key").select("doc_id", "first").where("doc_id <> first")
     nodes = components(links.union(more).union(own.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
     out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     out = out.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")

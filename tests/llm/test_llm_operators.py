@@ -346,3 +346,23 @@ def test_secrets_of_a_very_long_text(spark):
     assert row.n_assign == 60_000 and row.spans.endswith(f"assign:{len(text) - 18}:{len(text) - 1}")
     masked = secret_scan.mask_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), np.full((69, 69), -1.0)).first().text
     assert masked == "é ***************** " * 60_000
+
+
+def test_bins_never_refuse_a_pair_that_reaches_the_threshold():
+    rng = np.random.default_rng(5)
+    refused = 0
+    for trial in range(400):
+        n = int(rng.integers(1, 400))
+        pool = rng.integers(-(2**63), 2**63 - 1, 3 * n, dtype=np.int64)
+        one = np.unique(pool[:n])
+        kept = one[rng.random(len(one)) < rng.choice([0.3, 0.8, 0.9, 1.0])]
+        other = np.unique(np.concatenate([kept, pool[n : n + int(rng.integers(0, n))]]))
+        if trial % 4 == 0:  # hashes crowded into few bins
+            one, other = np.unique(one & ~np.int64(63)), np.unique(other & ~np.int64(63))
+        if not len(other):
+            continue
+        passes = overlap_join.may_reach(len(one), overlap_join.packed_bins(one), len(other), overlap_join.packed_bins(other), 75)
+        if overlap_join._reaches(one, other, 75):
+            assert passes
+        refused += not passes
+    assert refused > 100
