@@ -33,6 +33,7 @@ from liftlake.session import materialize
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 BATCH_BYTES = 1 << 20
+PART_BYTES = 4 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
 FREQUENT = 65_536
 LOCAL_REPEATS = 3
@@ -100,6 +101,14 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``PART_BYTES`` of that column, since sets take several times the room of their texts."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
+        for lo, hi in spans_by_bytes(offsets, PART_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
 def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     """Shingles with the most documents, as (hash, count) columns.
 
@@ -158,7 +167,7 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = frequent[:, 0], frequent[:, 1]
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             ids, sizes, keys, short, hot, bins = batch.column(0), [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
@@ -260,7 +269,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text_b"):
             linked = []
             left = batch.column(1).dictionary_encode() if batch.num_rows else None
             lefts = shingle_sets(left.dictionary) if left is not None else []
