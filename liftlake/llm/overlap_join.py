@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from liftlake.llm.common import components, spans_by_bytes, text_buffer
+from liftlake.llm.common import components, in_parts, spans_by_bytes, text_buffer
 from liftlake.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 BATCH_BYTES = 1 << 20
-PART_BYTES = 4 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
 FREQUENT = 65_536
 LOCAL_REPEATS = 3
@@ -101,14 +100,6 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``PART_BYTES`` of that column, since sets take several times the room of their texts."""
-    for batch in batches:
-        _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for lo, hi in spans_by_bytes(offsets, PART_BYTES):
-            yield batch.slice(lo, hi - lo)
-
-
 def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     """Shingles with the most documents, as (hash, count) columns.
 
