@@ -13,8 +13,6 @@ from liftlake.session import materialize
 
 #: White space of the word rule, as bytes and as a pattern.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text that ``in_parts`` hands out at a time.
-PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +39,6 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``PART_BYTES`` of that column, for work that takes several times the room of the texts."""
-    for batch in batches:
-        _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for lo, hi in spans_by_bytes(offsets, PART_BYTES):
-            yield batch.slice(lo, hi - lo)
-
-
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge list: node, component (the smallest node reachable).
 
