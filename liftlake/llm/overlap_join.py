@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from liftlake.llm.common import components, spans_by_bytes, text_buffer
+from liftlake.llm.common import components, free_memory, spans_by_bytes, text_buffer
 from liftlake.session import materialize
 
 SHINGLE = 5
@@ -124,6 +124,7 @@ def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
                 hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
                 keep = counts >= LOCAL_REPEATS
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(counts[keep].astype(np.int64))], names=["hash", "df"])
+        free_memory()
 
     local = docs.select("text").mapInArrow(count, "hash long, df long")
     top = local.groupBy("hash").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "hash").limit(limit).collect()
@@ -183,6 +184,7 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
                 short.append(s[best[~is_hot]])
                 hot.append(s[best[is_hot]])
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64())), pa.array(bins, pa.binary())], names=["doc_id", "n", "key", "short", "hot", "bins"])
+        free_memory()
 
     return docs.select("doc_id", "text").mapInArrow(lists, schema)
 
@@ -278,6 +280,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
                 if _reaches(one, right, threshold):
                     linked.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(linked, pa.int32())), batch.column(2).take(pa.array(linked, pa.int32()))], names=["a", "b"])
+        free_memory()
 
     return rows.mapInArrow(probe, "a long, b long").distinct()
 

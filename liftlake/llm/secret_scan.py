@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.llm.common import spans_by_bytes, text_buffer
+from liftlake.llm.common import free_memory, spans_by_bytes, text_buffer
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 KINDS = ("assign", "access", "hex", "random")
 # The rules.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -186,6 +186,7 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
             text = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own) for own in spans]
             base = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own if k < 3).encode()).hexdigest() for own in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in count], pa.array(base, pa.string()), pa.array(text, pa.string())], names=names)
+        free_memory()
 
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
@@ -206,6 +207,7 @@ def mask_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
                 if parts:
                     texts[row] = "".join(parts) + texts[row][end:]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        free_memory()
 
     return docs.mapInArrow(mask, docs.schema)
 
