@@ -197,41 +197,3 @@ def resampled_median_positions(n: int, draws: int, rng: np.random.Generator) ->
     if n % 2 == 0:
         u = np.hstack([u, u + (1.0 - u) * (1.0 - rng.random((draws, 1)) ** (1.0 / (n - k)))])
     return np.clip(np.ceil(u * n).astype(np.int64) - 1, 0, n - 1)
-
-
-# --- additive logit on cells ----------------------------------------------
-def additive_logit_loglik(n: np.ndarray, successes: np.ndarray, arm: np.ndarray, segment: np.ndarray) -> float | None:
-    """Log-likelihood of logit(arm + segment) fitted on cells; None when it does not converge."""
-    levels = np.unique(segment)
-    design = np.column_stack([np.ones(len(n)), arm.astype(float), *[(segment == s).astype(float) for s in levels[1:]]])
-    beta = np.zeros(design.shape[1])
-    rate = successes.sum() / n.sum()
-    if rate <= 0 or rate >= 1:
-        return None
-    beta[0] = math.log(rate / (1 - rate))
-    for _ in range(60):
-        eta = design @ beta
-        mu = 1.0 / (1.0 + np.exp(-eta))
-        weight = n * mu * (1 - mu)
-        try:
-            step = np.linalg.solve(design.T @ (design * weight[:, None]), design.T @ (successes - n * mu))
-        except np.linalg.LinAlgError:
-            return None
-        beta = beta + step
-        if not np.all(np.isfinite(beta)) or np.max(np.abs(beta)) > 30:
-            return None
-        if np.max(np.abs(step)) < 1e-10:
-            mu = 1.0 / (1.0 + np.exp(-(design @ beta)))
-            return float((successes * np.log(mu) + (n - successes) * np.log1p(-mu)).sum())
-    return None
-
-
-def additive_fit_sse(n: np.ndarray, mean: np.ndarray, arm: np.ndarray, segment: np.ndarray) -> float | None:
-    """Between-cell squared error left by the weighted additive fit of cell means."""
-    levels = np.unique(segment)
-    design = np.column_stack([np.ones(len(n)), arm.astype(float), *[(segment == s).astype(float) for s in levels[1:]]])
-    if np.linalg.matrix_rank(design) < design.shape[1]:
-        return None
-    root = np.sqrt(n)[:, None]
-    beta, *_ = np.linalg.lstsq(design * root, mean * root[:, 0], rcond=None)
-    return float((n * (mean - design @ beta) ** 2).sum())

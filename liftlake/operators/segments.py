@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from liftlake.functions import fixed, small_samples, tails
+from liftlake.functions import fixed, tails
 from liftlake.operators import catalog as catalog_ops
 from liftlake.operators import effects
 from liftlake.operators.units import clean_double
@@ -118,6 +117,39 @@ def _testable_cells(cells: DataFrame, keys: list[str], control: str, min_arm: in
     return kept.withColumn("treated", (F.col("arm") != control).cast("int"))
 
 
+def _logit_deviance_sql(cells: str) -> str:
+    """Deviance of logit(arm + segment) on an array of two-arm cells (nc, nt, sc, st), no cell without or with only successes.
+
+    For a given arm effect d each segment's odds u have a closed form: the positive root that makes its
+    fitted successes equal the observed. What is left is one monotone equation in d, solved by bisection.
+    """
+    both, total = "(c.sc + c.st)", "(c.nc + c.nt)"
+
+    def with_odds(d: str, body: str) -> str:
+        inner = tails._let("of", {"q": "og.q", "u": f"if(og.b > 0D, 2D * {both} / (og.b + og.r), (og.r - og.b) / (2D * og.a))"}, body)
+        root = tails._let("og", {"q": "oe.q", "a": "oe.a", "b": "oe.b", "r": f"sqrt(oe.b * oe.b + 4D * oe.a * {both})"}, inner)
+        bound = {"q": "od.q", "a": f"od.q * ({total} - {both})", "b": f"c.nc + c.nt * od.q - {both} * (1D + od.q)"}
+        return tails._let("od", {"q": f"exp({d})"}, tails._let("oe", bound, root))
+
+    missed = with_odds("md.d", "c.st - c.nt * of.q * of.u / (1D + of.q * of.u)")
+    score = f"aggregate({cells}, 0D, (a, c) -> a + {missed})"
+    halved = f"if({score} > 0D, named_struct('lo', md.d, 'hi', b.hi), named_struct('lo', b.lo, 'hi', md.d))"
+    effect = f"aggregate(sequence(1, 60), named_struct('lo', -30D, 'hi', 30D), (b, i) -> {tails._let('md', {'d': '(b.lo + b.hi) / 2D'}, halved)}, b -> (b.lo + b.hi) / 2D)"
+
+    def part(n: str, s: str, odds: str) -> str:
+        return f"{s} * ln({s} * (1D + {odds}) / ({n} * {odds})) + ({n} - {s}) * ln(({n} - {s}) * (1D + {odds}) / {n})"
+
+    deviance = with_odds("dv.d", f"{part('c.nc', 'c.sc', 'of.u')} + {part('c.nt', 'c.st', '(of.q * of.u)')}")
+    return tails._let("dv", {"d": effect}, f"greatest(0D, 2D * aggregate({cells}, 0D, (a, c) -> a + {deviance}))")
+
+
+def _additive_error_sql(cells: str) -> str:
+    """Between-cell squared error left by the weighted additive fit of cell means (nc, nt, mc, mt)."""
+    weight = "(c.nc * c.nt / (c.nc + c.nt))"
+    sums = {"d": f"aggregate({cells}, 0D, (a, c) -> a + {weight} * (c.mt - c.mc)) / aggregate({cells}, 0D, (a, c) -> a + {weight})"}
+    return tails._let("ad", sums, f"aggregate({cells}, 0D, (a, c) -> a + {weight} * pow(c.mt - c.mc - ad.d, 2D))")
+
+
 def interaction_tests(
     cells: DataFrame, keys: list[str], control: str, min_arm: int = fixed.SEGMENT_MIN_ARM, alpha: float = fixed.ALPHA
 ) -> DataFrame:
@@ -125,45 +157,39 @@ def interaction_tests(
 
     Cells are sufficient statistics, so the whole data is used: binary metrics by
     the likelihood ratio of the saturated and the additive logit, others by the
-    nested F-test. A group is one dimension's cells. Separation (a cell with no
-    or only successes) or a failed fit yields a null p: not assessed.
+    nested F-test. A group is one dimension's cells, an array of bounded length.
+    Separation (a cell with no or only successes) yields a null p: not assessed.
     """
     by = [*keys, "metric", "dimension"]
     kinds = effects.metric_kind(F.col("metric"), F.sum("n_other").over(W.partitionBy(*by)) == 0)
     kept = _testable_cells(cells.withColumn("metric_type", kinds), keys, control, min_arm)
-    slim = kept.select(*by, "segment", "treated", "metric_type", "n", "mean", "var", "n_success")
-    schema = (
-        ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in by)
-        + ", metric_type string, n_segments int, statistic double, df1 int, df2 double"
+    treated = F.col("treated") == 1
+    sides = [
+        F.max(F.when(~treated if side == "c" else treated, F.col(column).cast("double"))).alias(short + side)
+        for column, short in (("n", "n"), ("n_success", "s"), ("mean", "m"), ("var", "v"))
+        for side in "ct"
+    ]
+    paired = kept.groupBy(*by, "segment").agg(F.first("metric_type").alias("metric_type"), *sides)
+    cell = F.struct(*[short + side for short in "nsmv" for side in "ct"])
+    groups = paired.groupBy(*by).agg(
+        F.first("metric_type").alias("metric_type"), F.count(F.lit(1)).cast("int").alias("n_segments"), F.collect_list(cell).alias("__cells")
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [pdf[k].iloc[0]] for k in by}
-        n, s = pdf["n"].to_numpy(float), pdf["n_success"].to_numpy(float)
-        arm, seg = pdf["treated"].to_numpy(), pdf["segment"].to_numpy()
-        k = len(set(seg))
-        kind = pdf["metric_type"].iloc[0]
-        stat, df2 = None, None
-        if k >= 2 and kind == "binary":
-            if ((s > 0) & (s < n)).all():
-                import numpy as np
-
-                p = s / n
-                full = float((s * np.log(p) + (n - s) * np.log1p(-p)).sum())
-                reduced = small_samples.additive_logit_loglik(n, s, arm, seg)
-                stat = None if reduced is None else max(0.0, 2.0 * (full - reduced))
-        elif k >= 2:
-            mean = pdf["mean"].to_numpy(float)
-            within = float(((n - 1) * pdf["var"].fillna(0.0).to_numpy(float)).sum())
-            between = small_samples.additive_fit_sse(n, mean, arm, seg)
-            df2 = float(n.sum() - 2 * k)
-            if between is not None and within > 0 and df2 > 0:
-                stat = (between / (k - 1)) / (within / df2)
-        return pd.DataFrame(
-            {**head, "metric_type": [kind], "n_segments": [k], "statistic": [stat], "df1": [k - 1], "df2": [df2]}
+    several = (F.col("n_segments") >= 2) & F.expr("forall(__cells, c -> c.nc is not null and c.nt is not null)")
+    inside = F.expr("forall(__cells, c -> c.sc > 0 and c.sc < c.nc and c.st > 0 and c.st < c.nt)")
+    binary = F.col("metric_type") == "binary"
+    within = "aggregate(__cells, 0D, (a, c) -> a + (c.nc - 1D) * coalesce(c.vc, 0D) + (c.nt - 1D) * coalesce(c.vt, 0D))"
+    fitted = (
+        groups.withColumn("df1", F.col("n_segments") - 1)
+        .withColumn("df2", F.when(several & ~binary, F.expr("aggregate(__cells, 0D, (a, c) -> a + c.nc + c.nt) - 2D * n_segments")))
+        .withColumn("__within", F.when(several & ~binary, F.expr(within)))
+        .withColumn(
+            "statistic",
+            F.when(several & binary & inside, F.expr(_logit_deviance_sql("__cells"))).when(
+                (F.col("__within") > 0) & (F.col("df2") > 0), F.expr(f"{_additive_error_sql('__cells')} / df1 / (__within / df2)")
+            ),
         )
-
-    fitted = slim.groupBy(*by).applyInPandas(run, schema)
+        .select(*by, "metric_type", "n_segments", "statistic", "df1", "df2")
+    )
     p = F.when(
         F.col("statistic").isNotNull(),
         F.when(F.col("metric_type") == "binary", tails.chi_square_sf("statistic", "df1")).otherwise(

@@ -71,23 +71,63 @@ def holm(spark, sf_dir):
     return _r(rows.select("dimension", "metric", "segment", "p_value", "adj_p", "reliable"), {"p_value": 6, "adj_p": 6})
 
 
-@query("segments_interaction_binary")
+# the additive logit by bisection on the arm effect: each segment's odds solve a quadratic equation
+_BOTH, _ALL = "(c.sc + c.st)", "(c.nc + c.nt)"
+
+
+def _odds(q: str) -> str:
+    b = f"(c.nc + c.nt * {q} - {_BOTH} * (1 + {q}))"
+    return f"(2 * {_BOTH} / ({b} + sqrt({b} * {b} + 4 * {q} * ({_ALL} - {_BOTH}) * {_BOTH})))"
+
+
+def _deviance(n: str, s: str, odds: str) -> str:
+    return f"{s} * ln({s} * (1 + {odds}) / ({n} * {odds})) + ({n} - {s}) * ln(({n} - {s}) * (1 + {odds}) / {n})"
+
+
+_MISSED = f"c.st - c.nt * exp(mid) * {_odds('exp(mid)')} / (1 + exp(mid) * {_odds('exp(mid)')})"
+INTERACTIONS = (
+    ",\n"
+    + f"""ip AS (SELECT c.experiment_id, c.metric, c.dimension, c.n::DOUBLE AS nc, t.n::DOUBLE AS nt, c.n_success::DOUBLE AS sc, t.n_success::DOUBLE AS st
+  FROM ce c JOIN ce t ON c.experiment_id = t.experiment_id AND c.dimension = t.dimension AND c.segment = t.segment AND c.metric = t.metric AND c.arm = 'control' AND t.arm = 'treatment'
+  WHERE c.n >= 30 AND t.n >= 30),
+ig AS (SELECT experiment_id, metric, dimension, CAST(count(*) AS INTEGER) AS k, bool_and(sc > 0 AND sc < nc AND st > 0 AND st < nt) AS inside, list({{'nc': nc, 'nt': nt, 'sc': sc, 'st': st}}) AS cells FROM ip WHERE metric <> 'lifted_value' GROUP BY 1, 2, 3),
+ib AS (SELECT experiment_id, metric, dimension, cells, 0 AS step, -30::DOUBLE AS lo, 30::DOUBLE AS hi FROM ig WHERE k >= 2 AND inside
+  UNION ALL SELECT experiment_id, metric, dimension, cells, step + 1, CASE WHEN score > 0 THEN mid ELSE lo END, CASE WHEN score > 0 THEN hi ELSE mid END
+  FROM (SELECT *, list_sum(list_transform(cells, lambda c: {_MISSED})) AS score FROM (SELECT *, (lo + hi) / 2 AS mid FROM ib WHERE step < 60))),
+iv AS (SELECT experiment_id, metric, dimension, greatest(0, 2 * list_sum(list_transform(cells, lambda c: {_deviance('c.nc', 'c.sc', _odds('q'))} + {_deviance('c.nt', 'c.st', f"(q * {_odds('q')})")}))) AS x
+  FROM (SELECT *, exp((lo + hi) / 2) AS q FROM ib WHERE step = 60)),
+il AS (SELECT ig.experiment_id, ig.metric, ig.dimension, k, x, CASE k WHEN 2 THEN {tb.sql_normal2('sqrt(x)')} WHEN 3 THEN exp(-x / 2) WHEN 4 THEN {tb.sql_normal2('sqrt(x)')} + sqrt(2 * x / pi()) * exp(-x / 2) WHEN 5 THEN exp(-x / 2) * (1 + x / 2) END AS p
+  FROM ig LEFT JOIN iv ON ig.experiment_id = iv.experiment_id AND ig.metric = iv.metric AND ig.dimension = iv.dimension)"""
+)
+
+
+@query(
+    "segments_interaction_binary",
+    CELLS.replace("WITH ", "WITH RECURSIVE ", 1).replace("lifted_converted AS DOUBLE) FROM dm)", "lifted_converted AS DOUBLE) FROM dm UNION ALL SELECT experiment_id, arm, dimension, seg, 'converted', CAST(converted AS DOUBLE) FROM dm)")
+    + INTERACTIONS
+    + " SELECT experiment_id, metric, dimension, k AS n_segments, k - 1 AS df1, round(x, 6) AS statistic, round(p, 6) AS p_value, coalesce(p < 0.05, false) AS heterogeneous FROM il",
+)
 def interaction_binary(spark, sf_dir):
     c = segments.segment_cells(tb.customer_units(spark, sf_dir), KEY, "arm", ["lifted_converted", "converted"], DIMS)
-    return segments.interaction_tests(c, KEY, "control")
+    t = segments.interaction_tests(c, KEY, "control")
+    return _r(t.select(*KEY, "metric", "dimension", "n_segments", "df1", "statistic", "p_value", "heterogeneous"), {"statistic": 6, "p_value": 6})
 
 
-@query(
-    "segments_interaction_continuous",
-    # least squares on unit rows with dummy variables: solved here for the two-arm additive model by profiling the arm effect
-    CELLS
-    + f""",
+# least squares on unit rows with dummy variables: solved here for the two-arm additive model by profiling the arm effect
+FITS = """,
 w AS (SELECT c.dimension, c.segment, c.n AS nc, t.n AS nt, c.mean AS mc, t.mean AS mt, (c.n - 1) * c.var + (t.n - 1) * t.var AS sse, t.n::DOUBLE * c.n / (t.n + c.n) AS wt
   FROM ce c JOIN ce t ON c.dimension = t.dimension AND c.segment = t.segment AND c.metric = t.metric AND c.arm = 'control' AND t.arm = 'treatment'
   WHERE c.metric = 'lifted_value' AND c.n >= 30 AND t.n >= 30),
 b AS (SELECT dimension, sum(wt * (mt - mc)) / sum(wt) AS d, CAST(count(*) AS INTEGER) AS k, sum(sse) AS within, sum(nc + nt) AS nn FROM w GROUP BY 1),
 f AS (SELECT w.dimension, k, sum(wt * pow(mt - mc - d, 2)) AS between_ss, any_value(within) AS within, any_value(nn) AS nn FROM w JOIN b USING (dimension) GROUP BY 1, 2),
-g AS (SELECT dimension, k, (between_ss / (k - 1)) / (within / (nn - 2 * k)) AS f, (nn - 2 * k)::DOUBLE AS d2 FROM f WHERE k >= 2)
+g AS (SELECT dimension, k, (between_ss / (k - 1)) / (within / (nn - 2 * k)) AS f, (nn - 2 * k)::DOUBLE AS d2 FROM f WHERE k >= 2)"""
+
+
+@query(
+    "segments_interaction_continuous",
+    CELLS
+    + FITS
+    + f"""
 SELECT dimension, k AS n_segments, round(f, 6) AS statistic, round({tb.sql_f_sf('f', '(k - 1)', 'd2')}, 6) AS p_value FROM g""",
 )
 def interaction_continuous(spark, sf_dir):
@@ -108,7 +148,19 @@ def summary(spark, sf_dir):
     return segments.segment_summary(segments.segment_effects(_cells(spark, sf_dir), KEY, "control"), KEY)
 
 
-@query("segments_summary_with_heterogeneity")
+@query(
+    "segments_summary_with_heterogeneity",
+    CELLS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + EFFECTS
+    + FITS
+    + INTERACTIONS
+    + f""",
+hd AS (SELECT metric, dimension, coalesce(p < 0.05, false) AS differs FROM il UNION ALL SELECT 'lifted_value', b.dimension, coalesce({tb.sql_f_sf('f', '(g.k - 1)', 'd2')} < 0.05, false) FROM b LEFT JOIN g USING (dimension))
+SELECT experiment_id, metric, count(*) FILTER (WHERE status = 'SUFFICIENT') AS n_tested, count(*) FILTER (WHERE status <> 'SUFFICIENT') AS n_insufficient,
+ coalesce((SELECT string_agg(DISTINCT s2.dimension, ',' ORDER BY s2.dimension) FROM sg s2 WHERE s2.metric = sg.metric AND s2.reliable), '') AS reliable_dimensions,
+ (SELECT coalesce(string_agg(hd.dimension, ',' ORDER BY hd.dimension) FILTER (WHERE differs), '') FROM hd WHERE hd.metric = sg.metric HAVING count(*) > 0) AS heterogeneous_dimensions, true AS ran
+ FROM sg GROUP BY experiment_id, metric""",
+)
 def summary_mixed(spark, sf_dir):
     c = _cells(spark, sf_dir)
     return segments.segment_summary(segments.segment_effects(c, KEY, "control"), KEY, segments.interaction_tests(c, KEY, "control"))

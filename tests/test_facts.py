@@ -1,5 +1,6 @@
 """Segments, funnels, catalog rules, decisions, retrieval and request text on small frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,52 @@ def test_separation_is_not_assessed(spark):
     assert row["p_value"] is None and not row["heterogeneous"]
 
 
+def plain_logit_deviance(spec):
+    """Newton's method on all cells at once, against the saturated fit."""
+    n = np.array([x for n_c, _, n_t, _, _ in spec for x in (n_c, n_t)], float)
+    s = np.array([x for _, s_c, _, s_t, _ in spec for x in (s_c, s_t)], float)
+    arm, segment = np.tile([0.0, 1.0], len(spec)), np.repeat(np.arange(len(spec)), 2)
+    design = np.column_stack([arm, *[segment == k for k in range(len(spec))]]).astype(float)
+    beta = np.zeros(design.shape[1])
+    for _ in range(80):
+        mu = 1 / (1 + np.exp(-design @ beta))
+        step = np.linalg.solve(design.T @ (design * (n * mu * (1 - mu))[:, None]), design.T @ (s - n * mu))
+        beta += step / max(1.0, np.abs(step).max())
+    return 2 * (s * np.log(s / (n * mu)) + (n - s) * np.log((n - s) / (n * (1 - mu)))).sum()
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        [(500, 50, 500, 200, "A"), (500, 50, 500, 50, "B")],
+        [(800, 80, 700, 200, "a"), (40, 3, 90, 8, "b"), (1000, 999, 900, 890, "c"), (31, 30, 33, 1, "d")],
+        [(100000, 1, 100000, 99999, "a"), (50000, 2, 60000, 59000, "b")],
+        [(60, 30, 60, 30, "a"), (60, 20, 60, 20, "b"), (90, 1, 90, 1, "c")],
+    ],
+)
+def test_logit_interaction_equals_newton_on_all_cells(spark, spec):
+    row = segments.interaction_tests(cells_from(spark, spec), KEY, "control").first()
+    assert row["statistic"] == pytest.approx(plain_logit_deviance(spec), rel=1e-6, abs=1e-6) and row["df1"] == len(spec) - 1
+
+
+def test_interaction_without_a_control_arm_is_not_assessed(spark):
+    cells = cells_from(spark, [(50, 5, 50, 10, "a"), (50, 5, 50, 10, "b")]).replace("control", "u", "arm")
+    row = segments.interaction_tests(cells, KEY, "control").first()
+    assert row["p_value"] is None and row["n_segments"] == 2
+
+
+def test_continuous_interaction_equals_least_squares(spark):
+    rng = np.random.default_rng(3)
+    n, mean, var = rng.integers(30, 400, 8), rng.normal(5, 2, 8), rng.uniform(0.5, 3, 8)
+    rows = [("x", "device", f"s{i // 2}", ("control", "t")[i % 2], int(n[i]), "y", int(n[i]), float(mean[i]), float(var[i]), 0, 9) for i in range(8)]
+    schema = cells_from(spark, [(50, 5, 50, 10, "a")]).schema
+    row = segments.interaction_tests(spark.createDataFrame(rows, schema), KEY, "control").first()
+    design = np.column_stack([np.arange(8) % 2, *[(np.arange(8) // 2 == k) for k in range(4)]]).astype(float) * np.sqrt(n)[:, None]
+    left = mean * np.sqrt(n) - design @ np.linalg.lstsq(design, mean * np.sqrt(n), rcond=None)[0]
+    df2 = n.sum() - 8
+    assert row["statistic"] == pytest.approx((left**2).sum() / 3 / (((n - 1) * var).sum() / df2), rel=1e-9) and row["df2"] == df2
+
+
 def test_strict_funnel(spark):
     steps = ["Visit", "Signup", "Trial", "Purchase"]
     rows = [(f"u{i}", s) for s, n in zip(steps, (10, 7, 4, 1)) for i in range(n)] + [("u_skip", "Purchase")]
