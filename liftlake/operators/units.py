@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from liftlake.functions import fixed
+from liftlake.session import materialize
+
+#: Files whose paths and offsets (some 200 bytes each) are broadcast to number rows; more are joined by a shuffle.
+BROADCAST_FILES = 100_000
 
 
 def clean_double(column: str) -> Column:
@@ -174,7 +178,23 @@ def implicit_unit_name(columns: list[str]) -> str:
     return name
 
 
-def with_implicit_unit(rows: DataFrame) -> tuple[DataFrame, str]:
-    """A unique (not dense) row id for tables where one row is one unit."""
+def with_implicit_unit(rows: DataFrame, scanned: bool = False) -> tuple[DataFrame, str]:
+    """A row id for tables where one row is one unit: the same each time it is evaluated, whatever the partitions.
+
+    Rows are numbered by their place in the Parquet files behind them, files in order of path: 0 to n - 1 over
+    a whole table. ``scanned`` says that ``rows`` only choose columns or filter rows of a scan of Parquet files
+    (filtered rows keep gaps between their ids). Other rows are written first, since a plan does not fix their order.
+    """
     name = implicit_unit_name(rows.columns)
-    return rows.withColumn(name, F.monotonically_increasing_id()), name
+    file, place, start = f"{name}file", f"{name}place", f"{name}start"
+    source = rows if scanned else materialize(rows)
+    read = source.metadataColumn("_metadata")
+    placed = source.select("*", read["file_path"].alias(file), read["row_index"].alias(place))
+    # one row per file; only file footers and row positions are read
+    sizes = materialize(placed.groupBy(file).agg((F.max(place) + 1).alias("n")))
+    before = F.coalesce(F.sum("n").over(W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(sizes.select(file, before.alias(start)))
+    if starts.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    numbered = placed.join(starts, file)
+    return numbered.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(start) + F.col(place)).alias(name)), name

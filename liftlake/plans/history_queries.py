@@ -53,14 +53,25 @@ def dataset_catalog(spark, sf_dir):
 
 @query("history_append", RUNS + " SELECT decision, count(*) AS n_runs, count(DISTINCT dataset_id) AS n_datasets FROM ru GROUP BY 1")
 def append(spark, sf_dir):
-    """Appended in two batches to a table laid out by dataset group, then read back."""
+    """Appended in two batches, one of them retried, then read back."""
+    back = history.read_runs(spark, _stored(spark, sf_dir))
+    return back.groupBy("decision").agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct("dataset_id").alias("n_datasets"))
+
+
+def _stored(spark, sf_dir) -> str:
     folder = new_table_path(spark, "runs")
-    all_runs = runs(spark, sf_dir).withColumn("source_id", F.col("dataset_id")).withColumn("dataset_id", F.col("dataset_id") % 8)
     early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp")
-    history.append_runs(all_runs.filter(early), folder)
-    history.append_runs(all_runs.filter(~early), folder)
-    back = history.read_runs(spark, folder)
-    return back.groupBy("decision").agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct("source_id").alias("n_datasets"))
+    for batch, held in (("early", early), ("late", ~early), ("early", early)):
+        history.append_runs(runs(spark, sf_dir).filter(held), folder, batch)
+    return folder
+
+
+@query("history_compacted_dataset", RUNS + " SELECT run_id, prompt, decision, primary_metric, definition_id FROM ru WHERE dataset_id = 0")
+def compacted_dataset(spark, sf_dir):
+    """The runs of one dataset, a third of all, from a table whose batches were rewritten as one."""
+    folder = _stored(spark, sf_dir)
+    history.compact_runs(spark, folder, "all")
+    return history.read_runs(spark, folder, 0).select("run_id", "prompt", "decision", "primary_metric", "definition_id")
 
 
 @query(

@@ -148,13 +148,24 @@ def control(spark, sf_dir):
     return units.control_arm(rows, KEY, "arm")
 
 
-@query("units_implicit_id")
+@query("units_implicit_id", "SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_units FROM lineitem GROUP BY 1")
 def implicit_id(spark, sf_dir):
     """Every row of a table without ids becomes its own unit."""
-    rows, name = units.with_implicit_unit(tb.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"))
+    rows, name = units.with_implicit_unit(tb.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), scanned=True)
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(name).alias("n_units"))
 
 
+@query(
+    "units_implicit_id_of_derived_rows",
+    "SELECT count(*) AS n_rows, count(*) AS n_units, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0",
+)
+def implicit_id_derived(spark, sf_dir):
+    """Rows of a join have no place in a file: they are written, and numbered without gaps."""
+    joined = tb.table(spark, sf_dir, "orders").join(tb.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("c_acctbal > 0")
+    rows, name = units.with_implicit_unit(joined.select("c_mktsegment", "o_totalprice"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(name).alias("n_units"), F.min(name).alias("first_id"), F.max(name).alias("last_id"))
+
+
 SRM2 = f"""WITH {tb.SUPPLIER_UNITS},
 s AS (SELECT experiment_id, CAST(sum(CASE WHEN arm = 'control' THEN 1 ELSE 0 END) AS BIGINT) AS n_control,
        CAST(sum(CASE WHEN arm <> 'control' THEN 1 ELSE 0 END) AS BIGINT) AS n_treated FROM su GROUP BY 1),

@@ -1,21 +1,101 @@
-"""Run history: append-only Parquet table and the queries over it."""
+"""Run history: append-only Parquet table with a commit per batch, and the queries over it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-SUMMARY = ["run_id", "created_at", "dataset_id", "dataset_name", "prompt", "decision", "confidence", "primary_metric"]
+#: Hash buckets of dataset ids in a batch, and tasks that share a bucket.
+BUCKETS = 16
+SPREAD = 4
+COMMIT = "batch string, folder string, buckets int, schema string, replaces array<string>"
 
+SUMMARY = ["run_id", "created_at", "dataset_id", "dataset_name", "prompt", "decision", "confidence", "primary_metric"]
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Append finished runs, laid out by dataset so that dataset queries prune partitions."""
-    runs.write.mode("append").partitionBy("dataset_id").parquet(path)
 
+def append_runs(runs: DataFrame, path: str, batch: str, buckets: int = BUCKETS) -> bool:
+    """Append a batch of finished runs once: False, and nothing written, if a batch of this name is committed.
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    A batch is a folder of its own under ``data``, laid out by hash bucket of the dataset id, and counts
+    from the moment its commit is written; what a failed or cut-off append leaves is never read. A batch has at most
+    ``buckets * SPREAD`` files however many datasets there are, and a dataset with very many runs is
+    written by ``SPREAD`` tasks. Two appends of one batch at the same time may both commit: readers take one of them.
+    """
+    commits = _commits(runs.sparkSession, path)
+    if commits is not None and commits.filter(F.col("batch") == batch).limit(1).count():
+        return False
+    _write_batch(runs, path, batch, buckets, [])
+    return True
+
+
+def _write_batch(runs: DataFrame, path: str, batch: str, buckets: int, replaces: list[str]) -> None:
+    spark, folder = runs.sparkSession, uuid.uuid4().hex
+    laid = runs.withColumn("__bucket", _bucket(F.col("dataset_id"), buckets))
+    laid = laid.repartition(buckets * SPREAD, "__bucket", F.pmod(F.xxhash64("run_id"), F.lit(SPREAD)))
+    laid.write.partitionBy("__bucket").parquet(f"{path}/data/__folder={folder}")
+    commit = spark.createDataFrame([(batch, folder, buckets, runs.schema.json(), replaces)], COMMIT)
+    commit.coalesce(1).write.json(f"{path}/commits/{folder}")
+
+
+def _bucket(dataset_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(dataset_id), F.lit(buckets)).cast("int")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(COMMIT).option("recursiveFileLookup", True).json(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _visible(spark: SparkSession, path: str) -> list:
+    """One commit per batch, without batches that a compaction replaced: a short list, one row per batch."""
+    commits = _commits(spark, path)
+    if commits is None:
+        return []
+    first = commits.groupBy("batch").agg(F.min(F.struct("folder", "buckets", "schema", "replaces")).alias("c")).select("batch", "c.*").collect()
+    replaced = {folder for row in first for folder in row.replaces}
+    return sorted((row for row in first if row.folder not in replaced), key=lambda row: row.folder)
+
+
+def read_runs(spark: SparkSession, path: str, dataset_id=None) -> DataFrame:
+    """All committed runs, or those of one dataset: then only its bucket's files are read."""
+    visible = _visible(spark, path)
+    if not visible:
+        raise ValueError(f"no runs are committed in {path}")
+    out = None
+    for buckets, schema in sorted({(row.buckets, row.schema) for row in visible}):
+        kind = StructType.fromJson(json.loads(schema))
+        folders = [f"{path}/data/__folder={row.folder}" for row in visible if (row.buckets, row.schema) == (buckets, schema)]
+        kind_and_place = StructType([*kind.fields, StructField("__folder", StringType()), StructField("__bucket", IntegerType())])
+        part = spark.read.schema(kind_and_place).option("basePath", f"{path}/data").parquet(*folders)
+        if dataset_id is not None:
+            wanted = F.lit(dataset_id).cast(kind["dataset_id"].dataType)
+            part = part.filter((F.col("__bucket") == _bucket(wanted, buckets)) & (F.col("dataset_id") == wanted))
+        part = part.drop("__folder", "__bucket")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def compact_runs(spark: SparkSession, path: str, batch: str, buckets: int = BUCKETS) -> bool:
+    """Rewrite all committed batches as one, under a new name; False if it is committed or there are fewer than two.
+
+    The commit of the new batch names the folders that it replaces, so readers see either them or it.
+    Batches that were replaced stay known: a late retry of one of them is still no second copy. One compaction at a time.
+    """
+    visible = _visible(spark, path)
+    if len(visible) < 2 or _commits(spark, path).filter(F.col("batch") == batch).limit(1).count():
+        return False
+    _write_batch(read_runs(spark, path), path, batch, buckets, [row.folder for row in visible])
+    return True
 
 
 def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
