@@ -78,11 +78,13 @@ def lake(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-_CATALOGS: dict[tuple[str, str], DataFrame] = {}
+_CATALOGS: dict[tuple[str, str, int], DataFrame] = {}
+#: Tables that the lake is made of.
+LAKE_TABLES = ("customer", "orders", "lineitem", "events")
 
 
 def lake_catalog(spark, sf_dir) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tb.version(spark, sf_dir, *LAKE_TABLES))
     if key not in _CATALOGS:
         _CATALOGS[key] = materialize(co.build_catalog(lake(spark, sf_dir)))
     return _CATALOGS[key]

@@ -72,12 +72,12 @@ sc AS (SELECT query_id, chunk_id, round(raw / max(raw) OVER (PARTITION BY query_
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc WHERE score >= 0.55)"""
 )
 
-_INDEXES: dict[tuple[str, str], tuple] = {}
+_INDEXES: dict[tuple[str, str, int], tuple] = {}
 
 
 def index(spark, sf_dir):
-    """Postings, statistics, terms and TF-IDF weights, written once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Postings, statistics, terms and TF-IDF weights, written once per application and state of the documents."""
+    key = (spark.sparkContext.applicationId, sf_dir, tb.version(spark, sf_dir, "documents"))
     if key not in _INDEXES:
         posts = materialize(corpus.postings(chunks(spark, sf_dir)))
         stats = materialize(corpus.corpus_stats(chunks(spark, sf_dir), posts))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftlake.operators import units
+from liftlake.plans import corpus_queries
+from liftlake.plans import testbed as tb
 from liftlake.sources import runs as history
 
 
@@ -94,3 +96,17 @@ def test_row_ids_beyond_the_broadcast_bound_and_of_derived_rows(spark, tmp_path,
     assert sorted(r[name] for r in out.collect()) == list(range(300)) == sorted(r[name] for r in out.collect())
     none, _ = units.with_implicit_unit(rows.limit(0))
     assert none.count() == 0
+
+
+def test_an_index_follows_its_documents(spark, tmp_path):
+    def write(*texts):
+        docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+        docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+
+    write("pelican harbour")
+    before = tb.version(spark, str(tmp_path), "documents")
+    old = corpus_queries.index(spark, str(tmp_path))[0].select("term").distinct().count()
+    assert corpus_queries.index(spark, str(tmp_path)) is corpus_queries.index(spark, str(tmp_path))
+    write("pelican harbour", "lantern orchard meadow")
+    assert tb.version(spark, str(tmp_path), "documents") != before
+    assert corpus_queries.index(spark, str(tmp_path))[0].select("term").distinct().count() == old + 3
