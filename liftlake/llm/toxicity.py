@@ -3,9 +3,10 @@
 Noisy channel: a writer meant letters, the channel turned some into look-alikes, put
 separators between them or repeated them. The lattice of readings of a suspicious token
 is decoded by Viterbi under a character model (pairs of letters before, trained on the
-words of the sample, words that speak for toxicity weighing more). A logistic model over
-words and word beginnings, learned from a bounded sample of labelled rows, then scores
-the words of the text and the restored ones.
+labelled words, words that speak for toxicity weighing more). A logistic model over
+words and word beginnings, learned from all labelled rows, then scores the words of the
+text and the restored ones. Counts and the regression are Spark jobs; the driver holds
+the chosen features and the triples of letters.
 """
 
 from __future__ import annotations
@@ -18,18 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Matrices, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.llm.common import free_memory
+from liftlake.session import materialize
 
-#: Labelled rows of either class that the models learn from: those of smallest hash.
-TRAIN_ROWS = 4_000
+#: Labels up to this number are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+#: Features that a task counts before it hands them on.
+HELD_FEATURES = 300_000
 FEATURES = 4_096
 LEAST_SIGNAL = 3.0
 THRESHOLD = 0.7
 BOOST = 20
 STEPS = 600
+ITERATIONS = 60
 RIDGE = 3e-4
 # What a character may stand for besides itself.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -59,6 +66,17 @@ class CharModel:
                 self.one[c] += n
         self.total = sum(self.one.values()) + len(self.one) + 1
 
+    @classmethod
+    def of_triples(cls, triples: dict[str, int], words: Counter) -> CharModel:
+        """The model of words counted elsewhere, given as their triples of letters, and of further ``words``."""
+        model = cls(words)
+        for triple, n in triples.items():
+            model.three[triple] += n
+            model.two[triple[:2]] += n
+            model.one[triple[2]] += n
+        model.total = sum(model.one.values()) + len(model.one) + 1
+        return model
+
     def log(self, before: str, letter: str) -> float:
         base = (self.one[letter] + 1) / self.total
         return math.log((self.three[before + letter] + 2 * base) / (self.two[before] + 2))
@@ -202,13 +220,80 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     return ToxicityModel({f: float(w[number[f]]) for f in chosen}, float(bias), CharModel(plain))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> ToxicityModel:
-    """The models, from at most ``limit`` labelled documents of each class whose crc32 remainder is not 1."""
+def _words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+def _feature_counts(labelled: DataFrame) -> DataFrame:
+    """feature, toxic, other: how many texts of either class have it. A word is a feature of its own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (Counter(), Counter())
+
+        def send() -> pa.RecordBatch:
+            names = list(held[0].keys() | held[1].keys())
+            columns = [pa.array(names, pa.string()), *[pa.array([held[k][f] for f in names], pa.int64()) for k in (1, 0)]]
+            for counter in held:
+                counter.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "other"])
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[label].update({f for w in _words(text) for f in word_features(w)})
+                if len(held[0]) + len(held[1]) > HELD_FEATURES:
+                    yield send()
+        yield send()
+        free_memory()
+
+    counted = labelled.select("text", "toxic").mapInArrow(count, "feature string, toxic long, other long")
+    return materialize(counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+
+
+def _regression(labelled: DataFrame, chosen: list[str], n1: float, n0: float) -> tuple[list[float], float]:
+    """Ridge logistic regression of all rows, both classes weighing the same, with weights of 0 or more."""
+    number = {f: i for i, f in enumerate(chosen)}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sorted({number[f] for w in _words(text) for f in word_features(w) if f in number}) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["hits", "toxic"])
+        free_memory()
+
+    rows = materialize(labelled.select("text", "toxic").mapInArrow(place, "hits array<int>, toxic int"))
+    sparse = F.udf(lambda hits: Vectors.sparse(len(chosen), hits, [1.0] * len(hits)), VectorUDT())
+    weight = F.when(F.col("toxic") == 1, 0.5 / n1).otherwise(0.5 / n0)
+    ready = rows.select(sparse("hits").alias("features"), F.col("toxic").cast("double").alias("label"), weight.alias("weight"))
+    model = LogisticRegression(
+        maxIter=ITERATIONS, regParam=RIDGE, standardization=False, weightCol="weight", lowerBoundsOnCoefficients=Matrices.dense(1, len(chosen), [0.0] * len(chosen))
+    ).fit(ready)
+    return model.coefficients.toArray().tolist(), float(model.intercept)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """The models, from all labelled documents whose crc32 remainder is not 1."""
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    parts = [usable.where(F.col("toxic") == k).groupBy("doc_id", "toxic").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1]).select("doc_id", "toxic")), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic))
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    usable = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    few = usable.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    labelled = docs.select("doc_id", "text").join(F.broadcast(usable) if few else usable, "doc_id").select("text", "toxic")
+    sizes = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = (float(max(1, sizes.get(k, 0))) for k in (1, 0))
+    counts = _feature_counts(labelled)
+    a, b = F.col("toxic"), F.col("other")
+    p = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    found = counts.where(a >= 2).withColumn("z", z).where(F.col("z") >= LEAST_SIGNAL).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    chosen = [r.feature for r in found]
+    if chosen:
+        weights, bias = _regression(labelled, chosen, n1, n0)
+    else:
+        weights, bias = [], -1.0 if not sizes else 0.0 if len(sizes) == 2 else 30.0 if 1 in sizes else -30.0
+    padded = F.concat(F.lit("^^"), "feature", F.lit("$"))
+    triples = counts.where(~F.col("feature").startswith("^")).select(
+        (a + b).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("feature") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("triple")
+    )
+    triples = {r.triple: r.n for r in triples.groupBy("triple").agg(F.sum("n").alias("n")).collect()}
+    boosted = Counter({r.feature: BOOST * r.toxic for r in found if not r.feature.startswith("^")})
+    return ToxicityModel(dict(zip(chosen, weights)), bias, CharModel.of_triples(triples, boosted))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

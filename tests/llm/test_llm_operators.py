@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -366,3 +367,21 @@ def test_bins_never_refuse_a_pair_that_reaches_the_threshold():
             assert passes
         refused += not passes
     assert refused > 100
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """9,000 rows of a class: a word of its last rows by hash counts like that of the first ones."""
+    ids = [i for i in range(30_000) if toxicity_remainder(i) != 1][:18_000]
+    rows = [(i, "plain words here" if n % 2 else "plain words grobnik" if n % 4 else "plain words vornak") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n % 2 == 0)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    counts = {r.feature: (r.toxic, r.other) for r in toxicity._feature_counts(docs.join(labels, "doc_id")).collect()}
+    assert counts["plain"] == (9_000, 9_000) and counts["grobnik"] == (4_500, 0) and counts["vornak"] == (4_500, 0)
+    model = toxicity.train(docs, labels)
+    assert model.chars.one["k"] == 9_000 * (1 + toxicity.BOOST)
+    assert min(model.weights.values()) >= 0 and model.score("a vornak") > 0.9 and model.score("a gr0bnik") > 0.9 and model.score("plain words") < 0.3
+    assert toxicity.train(docs.limit(0), labels).score("any") == pytest.approx(1 / (1 + np.e))
+
+
+def toxicity_remainder(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3
