@@ -17,6 +17,10 @@ from liftlake.functions import fixed
 from liftlake.session import materialize
 
 SPLIT_ROWS = 1_000_000  # postings of one term per join key
+PART_CHARS = 8_000_000  # text of one task that counts terms: some million tokens, sorted without a spill
+BROADCAST_TERMS = 200_000  # so many terms, the most frequent, travel to the postings; the others meet theirs by a shuffle
+
+LOT_QUERIES = 1_000  # queries that share one row of a term
 
 
 # --- chunks --------------------------------------------------------------------
@@ -103,8 +107,13 @@ def exploded_terms(rows: DataFrame, row_id: str, text: Column) -> DataFrame:
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """(chunk, term, tf, chunk_len): one shuffle of the chunks; counting and lengths are then local to a task."""
-    placed = chunks.select(chunk_id, "heading", "content").repartition(F.col(chunk_id))
+    """(chunk, term, tf, chunk_len): one shuffle of the chunks; counting and lengths are then local to a task.
+
+    Tokens take many times the bytes of their text, so tasks are sized by text, not by what the shuffle wrote.
+    """
+    held = chunks.select(chunk_id, "heading", "content")
+    chars = held.agg(F.sum(F.length("heading") + F.length("content"))).first()[0] or 0
+    placed = held.repartition(-(-chars // PART_CHARS), chunk_id) if chars > PART_CHARS else held.repartition(F.col(chunk_id))
     counted = (
         exploded_terms(placed, chunk_id, F.concat_ws(" ", "heading", "content")).groupBy(chunk_id, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -143,15 +152,31 @@ def bm25_terms(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return document_frequencies(posts).withColumn("idf", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
-def chunk_norms(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    weight = F.col("tf") / F.col("chunk_len") * F.col("idf")
-    return posts.join(terms.select("term", "idf"), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+def _frequent_from(terms: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` terms reach with their document frequency."""
+    reached = terms.agg(*[F.count_if(F.col("df") >= 1 << k).alias(str(k)) for k in range(63)]).first()
+    return next((1 << k for k, n in enumerate(reached) if n <= most), 1 << 62)
+
+
+def _weighted(posts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(chunk, term, w): TF-IDF weights. Postings of frequent terms, nearly all, are not shuffled."""
+    bar = _frequent_from(terms, most)
+    frequent = F.broadcast(terms.filter(F.col("df") >= bar).select("term", "idf"))
+    near = posts.join(frequent, "term")
+    if bar > 1:
+        far = posts.join(frequent, "term", "left_anti").join(terms.filter(F.col("df") < bar).select("term", "idf").hint("shuffle_merge"), "term")
+        near = near.unionByName(far)
+    return near.select("chunk_id", "term", (F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("w"))
+
+
+def chunk_norms(posts: DataFrame, terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """A chunk's postings are neighbours, so squares are summed to a row a chunk before the shuffle."""
+    return _weighted(posts, terms, most).groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def tfidf_index(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def tfidf_index(posts: DataFrame, terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """(chunk, term, g): TF-IDF weights of unit-length chunks."""
-    weight = F.col("tf") / F.col("chunk_len") * F.col("idf")
-    weighted = posts.join(terms.select("term", "idf"), "term").select("chunk_id", "term", weight.alias("w"))
+    weighted = _weighted(posts, terms, most)
     return weighted.select("chunk_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("chunk_id")))).alias("g"))
 
 
@@ -185,11 +210,14 @@ def _matched(query_rows: DataFrame, index: DataFrame, terms: DataFrame, split_ro
     if split_rows >= SPLIT_ROWS:
         frequent = F.broadcast(frequent)
     parts = F.coalesce("__parts", F.lit(1))
+    lots = -(-query_rows.select("query_id").distinct().count() // LOT_QUERIES) or 1
     placed = index.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
     spread = (
         query_rows.join(frequent, "term", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     )
-    return placed.join(spread, ["term", "__part"])
+    # a term's queries share its rows, in lots of bounded size; written, so that a small table is known to be small and the index stays in place
+    spread = spread.groupBy("term", "__part", F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("__lot")).agg(F.collect_list(F.struct("query_id", "a")).alias("__queries"))
+    return placed.join(materialize(spread), ["term", "__part"]).select("chunk_id", "term", "g", F.inline("__queries"))
 
 
 def _top(scores: DataFrame, top_k: int, by: str = "score") -> DataFrame:

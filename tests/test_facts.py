@@ -297,3 +297,20 @@ def test_catalog_of_many_tables_takes_no_job_per_table(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("catalog"))
     spark.sparkContext.setJobGroup("", "")
     assert jobs < 30
+
+
+def test_norms_of_a_vocabulary_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Frequent terms travel, the others meet their postings by a shuffle; tasks are sized by text; both change nothing."""
+    docs = [(i, "s", " ".join(f"w{j}" for j in range(1, 40) if i % j == 0)) for i in range(60)] + [(7, "s", "w1 again")]
+    chunks = corpus.line_chunks(spark.createDataFrame(docs, "d int, s string, t string"), "d", "t", "s")
+    results = []
+    for chars, most in ((10**9, 10**9), (500, 5)):
+        monkeypatch.setattr(corpus, "PART_CHARS", chars)
+        posts = corpus.postings(chunks)
+        terms = corpus.tfidf_terms(posts, corpus.corpus_stats(chunks, posts))
+        norms = {r[0]: round(r[1], 12) for r in corpus.chunk_norms(posts, terms, most).collect()}
+        weights = {(r[0], r[1]): round(r[2], 12) for r in corpus.tfidf_index(posts, terms, most).collect()}
+        results.append((norms, weights))
+        held = terms.count()
+    assert results[0] == results[1] and len(results[0][0]) == 60 and held > 5
+    assert corpus._frequent_from(terms, 5) > 1 and terms.filter(F.col("df") >= corpus._frequent_from(terms, 5)).count() <= 5
