@@ -14,7 +14,7 @@ from liftlake.functions import fixed, tails
 from liftlake.functions.arith import ratio
 from liftlake.operators import ranks, units as unit_ops
 from liftlake.operators.units import clean_double
-from liftlake.session import materialize
+from liftlake.session import hinted, materialize
 
 
 def metric_kind(name: Column, all_zero_one: Column) -> Column:
@@ -445,4 +445,5 @@ def rank_tests(
         F.max(F.when(F.col("side") == "treated", F.col("median"))).alias("median_t"),
     )
     ci = resampling.median_bootstrap_of_ranked(ranked, group, "side", "control", draws, alpha, seed)
+    wide, ci = hinted(counts, wide, ci)
     return facts.join(wide, group).join(ci, group, "left").withColumnRenamed("compared", "arm")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions import tails
 from liftlake.functions.arith import ratio
-from liftlake.session import materialize
+from liftlake.session import hinted, materialize
 
 #: Size of the sketches; their rank error is about 0.13 per cent.
 SKETCH_K = 4096
@@ -102,6 +102,7 @@ def ranked_counts(counts: DataFrame, keys: list[str], parts: int | None = None,
             (F.sum("__total").over(by_keys.orderBy("__part")) - F.col("__total")).alias("__offset"),
         )
     )
+    (totals,) = hinted(run, totals)
     return run.join(totals, [*keys, "__part"]).withColumn("before", F.col("__offset") + F.col("__below")).drop("__part", "__offset", "__below")
 
 

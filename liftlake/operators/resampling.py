@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions import fixed, small_samples
 from liftlake.operators import ranks
-from liftlake.session import materialize
+from liftlake.session import hinted, materialize
 
 
 def with_exact_mann_whitney(facts: DataFrame) -> DataFrame:
@@ -106,6 +106,7 @@ def _positions(sizes: DataFrame, groups: list[str], draws: int, seed: int) -> Da
 def _values_at(ranked: DataFrame, positions: DataFrame, groups: list[str]) -> DataFrame:
     """groups, n, digest, at, value, gap of each position; a group's values meet its positions in lots, so none is gathered whole."""
     reach = positions.groupBy(*groups).agg(F.min("at").alias("__low"), F.max("at").alias("__high"), F.first("__step").alias("__step"))
+    reach, positions = hinted(positions, reach, positions)
     near = ranked.select(*groups, "value", "gap", "before", (F.col("before") + F.col("cnt")).alias("upto")).join(reach, groups)
     near = near.filter((F.col("upto") > F.col("__low")) & (F.col("before") <= F.col("__high")))
     # a value tied over many positions is in each lot it covers; there are some hundred lots, whatever the size of the group

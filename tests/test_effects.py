@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from liftlake import session
 from liftlake.functions import small_samples
 from liftlake.operators import effects, power, quality, ranks, resampling, strata, units, variance
 
@@ -291,3 +292,18 @@ def test_median_bootstrap_survives_a_poor_sketch(spark, monkeypatch):
     assert tuple(poor) == tuple(good)
     # the analytic sd of a normal median is sqrt(pi / 2 / n)
     assert good["ci_upper"] - good["ci_lower"] == pytest.approx(2 * 1.96 * (2 * 1.5708 / 20_000) ** 0.5, rel=0.1)
+
+
+def test_many_positions_are_no_broadcast(spark, monkeypatch):
+    """A written table of many rows is small on disk; its joins must not gather it, and give the same rows."""
+    rows = [(e, arm, float((e * 7 + i * i) % 13)) for e in range(40) for arm in ("control", "treatment") for i in range(12)]
+    long = spark.createDataFrame(rows, "e int, arm string, value double")
+    results = []
+    for few in (10**9, 100):
+        monkeypatch.setattr(session, "FEW_ROWS", few)
+        ranked = ranks.ranked_counts(ranks.value_counts(long, ["e"], by="arm"), ["e", "arm"])
+        found = resampling.median_bootstrap_of_ranked(ranked, ["e"], "arm", "control", draws=200)
+        results.append(sorted(map(tuple, found.collect())))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert results[0] == results[1] and len(results[0]) == 40
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
