@@ -8,16 +8,24 @@ rows are spread over several join keys in proportion to its document frequency.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from liftlake.functions import fixed
 from liftlake.session import materialize
 
 SPLIT_ROWS = 1_000_000  # postings of one term per join key
-PART_CHARS = 8_000_000  # text of one task that counts terms: some million tokens, sorted without a spill
+PART_CHARS = 8_000_000  # text of one task that counts terms: some million tokens
+MEMO_TOKENS = 500_000  # tokens whose terms a task remembers
+_STOPS = frozenset(fixed.STOP_WORDS)
 BROADCAST_TERMS = 200_000  # so many terms, the most frequent, travel to the postings; the others meet theirs by a shuffle
 
 LOT_QUERIES = 1_000  # queries that share one row of a term
@@ -97,27 +105,70 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(_raw_tokens(text), lambda t: ~t.isin(fixed.STOP_WORDS)), _stem)
 
 
-def exploded_terms(rows: DataFrame, row_id: str, text: Column) -> DataFrame:
-    """(row, term), one row per token: filtering and stemming run as generated code over rows."""
-    return (
-        rows.select(row_id, F.explode(_raw_tokens(text)).alias("__t"))
-        .filter(~F.col("__t").isin(fixed.STOP_WORDS))
-        .select(row_id, _stem(F.col("__t")).alias("term"))
-    )
+class _Memo(dict):
+    """The term of a token, null for stop words, as ``tokens`` has it."""
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) >= MEMO_TOKENS:
+            self.clear()
+        term = None if token in _STOPS else token
+        for suffix in fixed.SUFFIXES if term else ():
+            if token.endswith(suffix) and len(token) >= len(suffix) + fixed.MIN_STEM:
+                term = token[: -len(suffix)]
+                break
+        self[token] = term
+        return term
+
 
+def text_parts(chunks: DataFrame) -> int:
+    """How many tasks count the terms of some chunks: tokens take many times the bytes of their text."""
+    chars = chunks.agg(F.sum(F.length("heading") + F.length("content"))).first()[0] or 0
+    return max(1, -(-chars // PART_CHARS))
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", parts: int | None = None) -> DataFrame:
     """(chunk, term, tf, chunk_len): one shuffle of the chunks; counting and lengths are then local to a task.
 
-    Tokens take many times the bytes of their text, so tasks are sized by text, not by what the shuffle wrote.
+    A chunk's rows are neighbours, so they are added up one chunk at a time. ``parts``: tasks, else by the text's size.
     """
-    held = chunks.select(chunk_id, "heading", "content")
-    chars = held.agg(F.sum(F.length("heading") + F.length("content"))).first()[0] or 0
-    placed = held.repartition(-(-chars // PART_CHARS), chunk_id) if chars > PART_CHARS else held.repartition(F.col(chunk_id))
-    counted = (
-        exploded_terms(placed, chunk_id, F.concat_ws(" ", "heading", "content")).groupBy(chunk_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return counted.withColumn("chunk_len", F.sum("tf").over(W.partitionBy(chunk_id)))
+    text = F.lower(F.concat_ws(" ", "heading", "content"))
+    placed = chunks.select(chunk_id, text.alias("text")).repartition(parts or text_parts(chunks), chunk_id).sortWithinPartitions(chunk_id)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, term = re.compile(fixed.TOKEN_PATTERN).findall, _Memo()
+        kind = None
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            for _, counts in done:
+                counts.pop(None, None)
+            sizes = [len(counts) for _, counts in done]
+            at = np.repeat(np.arange(len(done)), sizes)
+            lengths = np.array([sum(counts.values()) for _, counts in done], np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key for key, _ in done], kind).take(pa.array(at)),
+                    pa.array(list(chain.from_iterable(counts for _, counts in done)), pa.string()),
+                    pa.array(list(chain.from_iterable(counts.values() for _, counts in done)), pa.int64()),
+                    pa.array(lengths[at]),
+                ],
+                names=[chunk_id, "term", "tf", "chunk_len"],
+            )
+
+        last, held = None, None  # the chunk whose rows may go on in the next batch
+        for batch in batches:
+            kind, done = batch.schema.types[0], []
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is None or key != last:
+                    if held is not None:
+                        done.append((last, held))
+                    last, held = key, Counter()
+                held.update(map(term.__getitem__, find(line)))
+            yield rows(done)
+        if held is not None:
+            yield rows([(last, held)])
+
+    schema = StructType([chunks.schema[chunk_id], StructField("term", StringType()), StructField("tf", LongType()), StructField("chunk_len", LongType())])
+    return placed.mapInArrow(counted, schema)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -158,26 +209,43 @@ def _frequent_from(terms: DataFrame, most: int) -> int:
     return next((1 << k for k, n in enumerate(reached) if n <= most), 1 << 62)
 
 
-def _weighted(posts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    """(chunk, term, w): TF-IDF weights. Postings of frequent terms, nearly all, are not shuffled."""
+def _weighted(posts: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(chunk, term, w): TF-IDF weights, of frequent terms, whose postings, nearly all, are not shuffled, and of the others."""
     bar = _frequent_from(terms, most)
     frequent = F.broadcast(terms.filter(F.col("df") >= bar).select("term", "idf"))
-    near = posts.join(frequent, "term")
-    if bar > 1:
-        far = posts.join(frequent, "term", "left_anti").join(terms.filter(F.col("df") < bar).select("term", "idf").hint("shuffle_merge"), "term")
-        near = near.unionByName(far)
-    return near.select("chunk_id", "term", (F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("w"))
+    w = (F.col("tf") / F.col("chunk_len") * F.col("idf")).alias("w")
+    near = posts.join(frequent, "term").select("chunk_id", "term", w)
+    if bar <= 1:
+        return near, None
+    far = posts.join(frequent, "term", "left_anti").join(terms.filter(F.col("df") < bar).select("term", "idf").hint("shuffle_merge"), "term")
+    return near, far.select("chunk_id", "term", w)
+
+
+def _norms(near: DataFrame, far: DataFrame | None) -> DataFrame:
+    held = near if far is None else near.unionByName(far)
+    return held.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def chunk_norms(posts: DataFrame, terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """A chunk's postings are neighbours, so squares are summed to a row a chunk before the shuffle."""
-    return _weighted(posts, terms, most).groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return _norms(*_weighted(posts, terms, most))
+
 
+def tfidf_index(posts: DataFrame, terms: DataFrame, most: int = BROADCAST_TERMS, parts: int | None = None) -> DataFrame:
+    """(chunk, term, g): TF-IDF weights of unit-length chunks.
 
-def tfidf_index(posts: DataFrame, terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """(chunk, term, g): TF-IDF weights of unit-length chunks."""
-    weighted = _weighted(posts, terms, most)
-    return weighted.select("chunk_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("chunk_id")))).alias("g"))
+    The norms, a row a chunk, go to the postings: these stay where they are if they were written by chunk. ``parts`` places
+    the rows of rare terms, which were shuffled by term, in so many parts by chunk again.
+    """
+    near, far = _weighted(posts, terms, most)
+    far = far if far is None else materialize(far)
+    norms = materialize(_norms(near, far)).hint("shuffle_hash")
+    unit = (F.col("w") / F.col("norm")).alias("g")
+    index = near.join(norms, "chunk_id").select("chunk_id", "term", unit)
+    if far is None:
+        return index
+    rare = far.join(norms, "chunk_id").select("chunk_id", "term", unit)
+    return index.unionByName(rare.repartition(parts, "chunk_id") if parts else rare)
 
 
 def bm25_index(posts: DataFrame, stats: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
@@ -202,13 +270,11 @@ SEED_TERMS = 4
 def _matched(query_rows: DataFrame, index: DataFrame, terms: DataFrame, split_rows: int) -> DataFrame:
     """Query terms meet postings; a frequent term's postings are spread over several keys.
 
-    Only terms with more than ``split_rows`` postings are spread. There is at
-    most one of them per ``split_rows`` postings (a few MB for 10^12), so with the
-    default the list is broadcast and postings are shuffled once, by (term, part).
+    Only terms with more than ``split_rows`` postings are spread, and only those of a query
+    are listed: the list is written, and its measured size decides whether it travels to the index.
     """
-    frequent = terms.filter(F.col("df") > split_rows).select("term", F.ceil(F.col("df") / F.lit(split_rows)).cast("int").alias("__parts"))
-    if split_rows >= SPLIT_ROWS:
-        frequent = F.broadcast(frequent)
+    frequent = terms.filter(F.col("df") > split_rows).join(query_rows.select("term").distinct(), "term", "left_semi")
+    frequent = materialize(frequent.select("term", F.ceil(F.col("df") / F.lit(split_rows)).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     lots = -(-query_rows.select("query_id").distinct().count() // LOT_QUERIES) or 1
     placed = index.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
@@ -244,7 +310,7 @@ def _seed_bounds(q: DataFrame, index: DataFrame, terms: DataFrame, top_k: int, s
 
 
 def _search(q: DataFrame, index: DataFrame, terms: DataFrame, bar: Column, tail_bound: Column, top_k: int, split_rows: int) -> DataFrame:
-    """Full scores (raw) of every chunk that can reach the bar.
+    """Full scores (raw) of every chunk that reaches the bar.
 
     ``q``: query_id, term, a, df. ``tail_bound`` aggregates, over a window, the
     largest joint contribution of a query's terms.
@@ -269,13 +335,13 @@ def _search(q: DataFrame, index: DataFrame, terms: DataFrame, bar: Column, tail_
         F.coalesce(F.max(F.when(F.col("is_common"), F.col("tail"))), F.lit(0.0)).alias("most"),
         F.collect_list(F.when(F.col("is_common"), F.struct("term", "a"))).alias("common"),
     )
-    held = partial.join(aside, "query_id").filter(F.col("p") + F.col("most") >= F.col("bar"))
-    looked = held.select("query_id", "chunk_id", "p", F.explode_outer("common").alias("c")).select("query_id", "chunk_id", "p", "c.*")
-    return (
-        looked.join(index, ["chunk_id", "term"], "left")
-        .groupBy("query_id", "chunk_id")
-        .agg((F.max("p") + F.sum(F.coalesce(F.col("a") * F.col("g"), F.lit(0.0)))).alias("raw"))
-    )
+    held = partial.join(materialize(aside), "query_id").filter(F.col("p") + F.col("most") >= F.col("bar"))
+    # a chunk's set-aside terms meet its candidates in one row: no row a candidate and term, and an index written by chunk stays in place
+    common = materialize(split.filter("is_common").select("term").distinct())
+    looked = index.join(common, "term").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "g"))).alias("__g"))
+    rest = F.aggregate("common", F.lit(0.0), lambda acc, c: acc + c["a"] * F.coalesce(F.element_at("__g", c["term"]), F.lit(0.0)))
+    raw = held.join(looked.hint("shuffle_merge"), "chunk_id", "left").withColumn("raw", F.col("p") + rest)
+    return raw.filter(F.col("raw") >= F.col("bar")).select("query_id", "chunk_id", "raw")
 
 
 def tfidf_search(

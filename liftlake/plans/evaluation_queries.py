@@ -11,6 +11,7 @@ from liftlake.plans.corpus_queries import TFIDF, chunks, questions, tfidf_ranked
 from liftlake.plans.decision_queries import DECIDED, KEY, run
 from liftlake.plans.effect_queries import _r
 from liftlake.plans.registry import query
+from liftlake.session import materialize
 
 # --- labels against decisions: expectations planted by supplier number -------------------
 def _actual(spark, sf_dir):
@@ -177,7 +178,7 @@ FROM benchmark LEFT JOIN gq ON gq.query_id = item_id LEFT JOIN wq2 ON wq2.query_
 )
 def rag(spark, sf_dir):
     q = questions(spark, sf_dir)
-    got = tfidf_ranked(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    got = materialize(tfidf_ranked(spark, sf_dir)).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     facts = q.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("fact"))
     return _r(evaluate.rag_scores(got, relevant(spark, sf_dir), facts, q), {"precision_at_k": 9, "recall_at_k": 9, "fact_coverage": 9})
 

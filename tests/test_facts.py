@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftlake.operators import catalog, corpus, decide, evaluate, funnels, requests, segments
+from liftlake.session import materialize, materialize_by
 from tests.test_effects import KEY
 
 
@@ -314,3 +315,25 @@ def test_norms_of_a_vocabulary_beyond_the_broadcast_bound(spark, monkeypatch):
         held = terms.count()
     assert results[0] == results[1] and len(results[0][0]) == 60 and held > 5
     assert corpus._frequent_from(terms, 5) > 1 and terms.filter(F.col("df") >= corpus._frequent_from(terms, 5)).count() <= 5
+
+
+def test_index_written_by_chunk_is_searched_in_place(spark):
+    """Postings and weights in buckets of chunks: sums a chunk need no exchange, and the search finds what it finds in a plain index."""
+    docs = [(i, "s", " ".join(f"w{j}" for j in range(1, 40) if i % j == 0)) for i in range(60)] + [(7, "s", "w1 again"), (8, "s", "The tested-things and testing")]
+    chunks = corpus.line_chunks(spark.createDataFrame(docs, "d int, s string, t string"), "d", "t", "s")
+    queries = spark.createDataFrame([(1, "w2 w3 w1 w7"), (2, "w1 w31 again testing")], "query_id int, query_text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # rows of one chunk come in two batches
+    try:
+        posts = materialize_by(corpus.postings(chunks, parts=3), "chunk_id", 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = {(r["chunk_id"], r["term"]): (r["tf"], r["chunk_len"]) for r in posts.collect()}
+    assert rows[("7#00000000", "w1")] == (2, 4) and rows[("7#00000000", "again")] == (1, 4) and rows[("8#00000000", "test")] == (1, 6)
+    assert rows[("8#00000000", "tested-thing")] == (1, 6) and ("8#00000000", "the") not in rows and len(rows) == posts.count()
+    terms = materialize(corpus.tfidf_terms(posts, corpus.corpus_stats(chunks, posts)))
+    index = materialize_by(corpus.tfidf_index(posts, terms, most=5, parts=3), "chunk_id", 3)
+    for table in (posts, index):
+        assert "Exchange" not in table.groupBy("chunk_id").count()._jdf.queryExecution().executedPlan().toString()
+    plain = corpus.tfidf_search(queries, corpus.tfidf_index(corpus.postings(chunks), terms), terms).collect()
+    found = corpus.tfidf_search(queries, index, terms).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, plain)) and len(found) == 6
