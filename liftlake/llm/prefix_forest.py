@@ -34,6 +34,8 @@ FIT_QUERIES = 64
 FIT_RECALL = 0.96
 ARRAY_ROWS = 2048
 QUERY_BLOCK = 256
+#: Queries whose best entries a task keeps before it hands them on.
+HELD_QUERIES = 50_000
 #: Entries from all trees, counted once per tree, below which a query ascends in any case, as a multiple of the neighbours asked for.
 LEAST_CANDIDATES = 8
 _SEED = 20_240_501
@@ -95,6 +97,11 @@ def _prefix(label: str, level: int) -> Column:
     return F.shiftrightunsigned(label, BITS - level) if level else F.lit(0).cast("long")
 
 
+def _nearest_of(found: list[tuple], k: int) -> list[tuple]:
+    """The k best (vector id, score) of one query, each once, ties to the smaller id."""
+    return sorted(set(found), key=lambda f: (-f[1], f[0]))[:k]
+
+
 def _best_of(queries: list, rows: list, k: int) -> list[tuple]:
     """(query, vector id, score) of the nearest of some entries to each query, ties by id, the query's own row left out."""
     points = np.array([r["vec"] for r in rows], np.float64)
@@ -196,19 +203,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         arrays = points.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / ARRAY_ROWS).alias("arrays"))
         points = points.join(arrays, ["tree", "prefix"]).withColumn("array", F.pmod(F.xxhash64("key"), "arrays"))
         points = points.join(entries.select(F.col("entry").alias("key"), "vec", "dim", "ids"), "key")
-        points = points.groupBy("tree", "prefix", "dim", "array").agg(F.sort_array(F.collect_list(F.struct("label", "vec", "ids"))).alias("points"))
+        # all arrays below a prefix come to one task, so that a query leaves it with one list of best entries, not one an array
+        points = points.repartition("tree", "prefix", "dim").groupBy("tree", "prefix", "dim", "array").agg(F.sort_array(F.collect_list(F.struct("label", "vec", "ids"))).alias("points"))
         own = labels.drop("dim").join(levels.where(F.col("level") == depth).select("key"), "key").withColumn("prefix", _prefix("label", depth))
         blocks = own.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
         own = own.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).join(asked, "key").withColumn("dim", F.size("vec"))
         own = own.groupBy("tree", "prefix", "dim", "block").agg(F.collect_list(F.struct("key", "vec")).alias("asked"))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}  # the best so far of each query this task has met
+
+            def leave() -> pa.RecordBatch:
+                best = [(q, *f) for q, found in held.items() for f in found]
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([f[i] for f in best], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
             for batch in batches:
                 for row in range(batch.num_rows):
-                    best = _best_of(batch.column(1)[row].as_py(), batch.column(0)[row].as_py(), k)
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in best], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-        found.append(points.join(own, ["tree", "prefix", "dim"]).select("points", "asked").mapInArrow(meet, _FOUND))
+                    more: dict[int, list] = {}
+                    for q, i, score in _best_of(batch.column(1)[row].as_py(), batch.column(0)[row].as_py(), k):
+                        more.setdefault(q, []).append((i, score))
+                    for q, found in more.items():
+                        held[q] = _nearest_of(held.get(q, []) + found, k)
+                    if len(held) > HELD_QUERIES:
+                        yield leave()
+            yield leave()
+
+        # by key, not by a broadcast
+        met = points.hint("merge").join(own.hint("merge"), ["tree", "prefix", "dim"])
+        found.append(met.select("points", "asked").mapInArrow(meet, _FOUND))
     result = found[0]
     for more in found[1:]:
         result = result.union(more)

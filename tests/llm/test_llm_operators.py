@@ -385,3 +385,20 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
 
 def toxicity_remainder(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3
+
+
+def test_a_query_leaves_a_prefix_with_one_list_however_many_arrays(spark, monkeypatch):
+    """Arrays below a prefix grow with the input; what a task hands on of a query is its k best once."""
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((240, 8))
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, vec array<double>")
+    made = []
+    ranked = prefix_forest._ranked
+    monkeypatch.setattr(prefix_forest, "_ranked", lambda found, k: (made.append(found), ranked(found, k))[1])
+    monkeypatch.setattr(prefix_forest, "ARRAY_ROWS", 8)
+    monkeypatch.setattr(prefix_forest, "fitted_level", lambda *a: 0)
+    out = prefix_forest.nearest(vectors, vectors.where("id < 6"), 5).collect()
+    assert made[-1].count() <= 6 * prefix_forest.TREES * 5
+    for q in range(6):
+        want = sorted((i for i in range(240) if i != q), key=lambda i: -float(points[q] @ points[i]))[:5]
+        assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == want
