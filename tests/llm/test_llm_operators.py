@@ -252,6 +252,37 @@ def test_page_text_keeps_what_a_host_does_not_repeat(spark, monkeypatch):
         assert len(out) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in out)
 
 
+def test_page_text_clears_articles_of_what_most_articles_of_the_host_have(spark, monkeypatch):
+    notice, menu = "sign up for our weekly letter and never miss a story", "Read more"
+    story = {i: [prose(700 + i, 30), prose(730 + i, 10)] for i in range(12)}
+    pages = {i: f"<article><p>{a}</p><p>{notice}</p><p>{menu}</p><p>{b}</p></article>" for i, (a, b) in story.items()}
+    want = {i: "\n\n".join(own) for i, own in story.items()}
+    pages[12] = f"<article><p>he said {notice} and went {prose(760, 9)}</p></article>"  # a block of its own words too
+    want[12] = f"he said {notice} and went {prose(760, 9)}"
+    pages[13] = f"<article><p>{notice}</p></article>"  # nothing else
+    want[13] = notice
+    rows = [(i, f"http://n.example/{i}", source) for i, source in pages.items()]
+    rows += [(50 + i, f"http://m.example/{i}", f"<nav>{i}</nav><article><p>{story[0][0]}</p></article>") for i in range(9)]  # copies of one article
+    rows += [(70 + i, f"http://l.example/{i}", pages[i]) for i in range(4)]  # too few to tell
+    want |= {50 + i: story[0][0] for i in range(9)} | {70 + i: "\n\n".join([story[i][0], notice, menu, story[i][1]]) for i in range(4)}
+    for shard in (256, 4):
+        monkeypatch.setattr(page_text, "SHARD_PAGES", shard)
+        out = page_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert len(out) == len(rows) and {r.page_id: r.text for r in out} == want
+
+
+def test_suffix_array_and_shared_tokens():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (60, 2), (200, 3), (300, 20)):
+        tokens, block = rng.integers(0, kinds, n), np.sort(rng.integers(0, 6, n))
+        order, shared = page_text.suffix_array(tokens, block)
+        suffix = [tuple(tokens[i : np.searchsorted(block, block[i], "right")]) for i in range(n)]
+        assert sorted(order) == list(range(n)) and [suffix[i] for i in order] == sorted(suffix)
+        for k in range(1, n):
+            a, b = suffix[order[k - 1]], suffix[order[k]]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 @pytest.mark.parametrize(
     "source, want",
     [
