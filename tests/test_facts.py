@@ -1,5 +1,8 @@
 """Segments, funnels, catalog rules, decisions, retrieval and request text on small frames."""
 
+import datetime
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -337,3 +340,29 @@ def test_index_written_by_chunk_is_searched_in_place(spark):
     plain = corpus.tfidf_search(queries, corpus.tfidf_index(corpus.postings(chunks), terms), terms).collect()
     found = corpus.tfidf_search(queries, index, terms).collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, plain)) and len(found) == 6
+
+
+def test_catalog_counts_values_in_their_own_types(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(catalog, "materialize", lambda df: written.append(dict(df.dtypes)) or df)
+    schema = "whole int, long bigint, real double, short float, exact decimal(9,2), flag boolean, day date, time timestamp_ntz, at timestamp, name string, list array<int>"
+    day, time = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 1, 2, 3)
+    row = (1, 5, 0.5, 0.5, Decimal("1.50"), True, day, time, time, "a", [1])
+    rows = [row, row, (0, 6, -0.0, 1.5, Decimal("2.50"), False, day, time, time, "", [2]), (None, 7, 0.0, float("nan"), *[None] * 7), (1, 7, float("nan"), *[None] * 8)]
+    out = {(r.dataset, r.column_name): r for r in catalog.build_catalog({"d": spark.createDataFrame(rows, schema), "e": spark.createDataFrame(rows[:1], schema).select("real", "whole")}).collect()}
+    got = {name: (r.position, r.n_rows, r.n_null, r.n_distinct, r.zero_one, r.column_sum, r.values) for (dataset, name), r in out.items() if dataset == "d"}
+    assert got == {
+        "whole": (1, 5, 1, 2, True, 3.0, ["0", "1"]),
+        "long": (2, 5, 0, 3, False, 30.0, ["5", "6", "7"]),
+        "real": (3, 5, 1, 3, False, 1.0, ["-0.0", "0.0", "0.5"]),
+        "short": (4, 5, 2, 2, False, 2.5, ["0.5", "1.5"]),
+        "exact": (5, 5, 2, 2, False, 5.5, ["1.50", "2.50"]),
+        "flag": (6, 5, 2, 2, False, None, ["false", "true"]),
+        "day": (7, 5, 2, 1, False, None, ["2024-02-29"]),
+        "time": (8, 5, 2, 1, False, None, ["2024-02-29 01:02:03"]),
+        "at": (9, 5, 2, 1, False, None, got["at"][6]),
+        "name": (10, 5, 2, 2, False, None, ["", "a"]),
+    }
+    assert out["e", "real"].position == 1 and out["e", "whole"].values == ["1"] and len(out) == 12
+    # numbers, days and times are not made text to be counted
+    assert {"bigint", "double", "float", "decimal(9,2)", "boolean", "date", "timestamp_ntz", "string"} == {w["value"] for w in written if "value" in w}
