@@ -45,6 +45,8 @@ _LOOK, _DROP, _REPEAT = -1.5, -0.2, -1.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€(*._~-].*[^\W_]|[0-9@$!|+€(].*[^\W\d_]|[^\W\d_].*[0-9@$!|+€(]|([^\W\d_])\1\1")
+#: All that ``_SUSPECT`` can find in a token of letters alone.
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_@$!]|[@$!])(?:[ .\-_*~](?:[^\W_]|[@$!])){2,}(?!\w)")
 _EDGE = ".,;:!?\"'%&#*)]}"
 _EDGES = _EDGE + "([{"
@@ -126,12 +128,19 @@ def suspects(text: str) -> set[str]:
     """Tokens that may be disguised words: look-alikes among or beside letters, letters spaced out, letters repeated."""
     found = {m.group() for m in _SPACED.finditer(text)}
     found = {run for run in found if len(run) > 5 or not run.replace(run[1], "").isdigit()}  # three digits alone are numbers
+    repeated = _REPEATED.search(text) is not None  # else no token has letters repeated
+
+    def suspicious(token: str) -> bool:
+        if token.isalpha():
+            return repeated and _REPEATED.search(token) is not None
+        return _SUSPECT.search(token) is not None
+
     for token in set(text.split()):
         if not token.isalpha():
             core = token.strip(_EDGE)
             cores = (core, core.strip(_EDGES)) if core and (core[0] in "([{" or core[-1] in "([{") else (core,)
-            found.update(core for core in cores if _SUSPECT.search(core))
-        elif _SUSPECT.search(token):
+            found.update(core for core in cores if suspicious(core))
+        elif suspicious(token):
             found.add(token)
     return found
 

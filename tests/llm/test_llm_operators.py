@@ -433,3 +433,17 @@ def test_a_query_leaves_a_prefix_with_one_list_however_many_arrays(spark, monkey
     for q in range(6):
         want = sorted((i for i in range(240) if i != q), key=lambda i: -float(points[q] @ points[i]))[:5]
         assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_suspects_looks_at_plain_words_for_repeats_alone(monkeypatch):
+    pattern, searched = toxicity._SUSPECT, []
+
+    class Spy:
+        def search(self, token):
+            searched.append(token)
+            return pattern.search(token)
+
+    monkeypatch.setattr(toxicity, "_SUSPECT", Spy())
+    text = "plain words, (some) of them; baaad baaad. id1ot (b@d) çççok naïïïve, x++ a.b.c w_w_w 漢漢漢 ééé! no"
+    assert toxicity.suspects(text) == {"(b@d", "(some", "a.b.c", "a.b.c w_w_w", "b@d", "baaad", "id1ot", "naïïïve", "w_w_w", "x++", "çççok", "ééé", "漢漢漢"}
+    assert searched and not any(token.isalpha() for token in searched)
