@@ -12,11 +12,12 @@ from liftlake.llm.mixture import mixed_documents
 from liftlake.llm.overlap_join import overlap_groups
 from liftlake.llm.secret_scan import mask_secrets, train_models
 from liftlake.llm.toxicity import accepted_documents, train
-from liftlake.session import materialize
+from liftlake.session import batch_by_bytes, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the toxicity model rejects go."""
+    batch_by_bytes(spark)
     return accepted_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -26,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts are linked, not ids: rows without a doc_id, and rows whose doc_id has several texts, get keys of their own,
     a 64-bit digest of id and text.
     """
+    batch_by_bytes(spark)
     digests = docs.where("doc_id is not null").groupBy("doc_id").agg(*[f(F.xxhash64(F.col("text").isNull(), "text")).alias(f.__name__) for f in (F.min, F.max)])
     several = materialize(digests.where("min <> max").select(F.col("doc_id").alias("__several")))
     marked = docs.join(several, docs.doc_id == several["__several"], "left")
@@ -51,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters become as many ``*``; the documents stay, n_chars with them."""
+    batch_by_bytes(spark)
     return mask_secrets(docs, train_models(docs))
 
 
@@ -61,6 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded bytes of each row of the mix."""
+    batch_by_bytes(spark)
     return encoding_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

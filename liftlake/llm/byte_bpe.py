@@ -4,7 +4,7 @@ A text is cut into matches of the vocabulary's pattern (words). A word's bytes a
 first parts; among neighbouring parts the pair whose bytes have the lowest rank is
 joined, the leftmost first, until no pair has a rank. The merges of all new distinct
 words of a batch are folded together, one merge of each word a round, as array
-operations; a worker keeps a bounded table of words it has met. Decoding concatenates
+operations; a task keeps a bounded table of words it has met. Decoding concatenates
 the pieces of the ids.
 
 The fold by Spark's higher-order functions over a literal rank map gave the same ids but
@@ -24,11 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from liftlake.llm.common import spans_by_bytes, text_buffer
+from liftlake.llm.common import free_memory, spans_by_bytes, text_buffer
 
-BATCH_BYTES = 2 << 20
-#: Words a worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 1_000_000
+BATCH_BYTES = 1 << 20
+#: Parts of words (8 bytes each, in some ten arrays) that are merged at a time.
+TABLE_PARTS = 1 << 16
+#: Words a task remembers; beyond that it starts anew.
+KNOWN_WORDS = 200_000
 # Fixed value: white space as Unicode has it, for the pattern's \s.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -57,7 +59,7 @@ class BytePairs:
         # words of about one length fill a table; a long one is a table of its own
         for low in sorted({int(n).bit_length() for n in length}):
             group = np.flatnonzero((length >= 1 << (low - 1)) & (length < 1 << low))
-            step = max(1, (1 << 20) >> low)
+            step = max(1, TABLE_PARTS >> low)
             for at in range(0, len(group), step):
                 rows = group[at : at + step]
                 for row, ids in zip(rows, self._fold([words[r] for r in rows])):
@@ -117,6 +119,11 @@ class BytePairs:
             self.known[word] = ids.astype("<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
+    def forget(self) -> None:
+        """Drop the words met, at the end of a task: workers outlive it and share the executor's limit with the next stage."""
+        self.known.clear()
+        free_memory()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -136,6 +143,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 own = batch.slice(lo, hi - lo)
                 ids = _vocabulary(path, pattern).encode([t or "" for t in own.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        _vocabulary(path, pattern).forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
@@ -162,5 +170,6 @@ def encoding_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = vocabulary.encode([t or "" for t in own.column(1).to_pylist()])
                 digests = [[hashlib.sha256(x).hexdigest() for x in column] for column in (ids, map(vocabulary.decode, ids))]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _vocabulary(path, pattern).forget()
 
     return docs.select("doc_id", "text").mapInArrow(report, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

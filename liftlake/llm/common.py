@@ -14,6 +14,8 @@ from liftlake.session import materialize
 
 #: White space of the word rule, as bytes and as a pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a function holds apart from its batch, which may be many times as large.
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``PART_BYTES`` of that column, since what is made of texts takes several times their room."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
+        for lo, hi in spans_by_bytes(offsets, PART_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
 def free_memory() -> None:
     """Hand memory that a task no longer needs back to the system; Python workers outlive their tasks and share the executor's limit."""
     pa.default_memory_pool().release_unused()

@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from liftlake.llm.common import components, free_memory, spans_by_bytes, text_buffer
+from liftlake.llm.common import PART_BYTES, components, free_memory, in_parts, spans_by_bytes, text_buffer
 from liftlake.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 BATCH_BYTES = 1 << 20
-PART_BYTES = 4 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
 FREQUENT = 65_536
 LOCAL_REPEATS = 3
@@ -101,14 +100,6 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``PART_BYTES`` of that column, since sets take several times the room of their texts."""
-    for batch in batches:
-        _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        for lo, hi in spans_by_bytes(offsets, PART_BYTES):
-            yield batch.slice(lo, hi - lo)
-
-
 def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     """Shingles with the most documents, as (hash, count) columns.
 
@@ -116,14 +107,28 @@ def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
     shingles that nowhere repeat locally are not frequent. Bounded by ``limit``.
     """
 
+    def repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(sets)
+        sets.clear()
+        hashes.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
+        counts = np.diff(np.append(starts, len(hashes)))
+        keep = counts >= LOCAL_REPEATS
+        return pa.RecordBatch.from_arrays([pa.array(hashes[starts[keep]]), pa.array(counts[keep].astype(np.int64))], names=["hash", "df"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for lo, hi in spans_by_bytes(offsets, LOCAL_BYTES):
-                sets = shingle_sets(batch.column(0).slice(lo, hi - lo))
-                hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
-                keep = counts >= LOCAL_REPEATS
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(counts[keep].astype(np.int64))], names=["hash", "df"])
+            _, offsets = text_buffer(batch.column(0))
+            for lo, hi in spans_by_bytes(offsets, PART_BYTES):
+                size = offsets[hi] - offsets[lo]
+                if sets and held + size > LOCAL_BYTES:
+                    yield repeats(sets)
+                    held = 0
+                sets += shingle_sets(batch.column(0).slice(lo, hi - lo))
+                held += size
+        if sets:
+            yield repeats(sets)
         free_memory()
 
     local = docs.select("text").mapInArrow(count, "hash long, df long")

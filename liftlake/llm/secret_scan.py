@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.llm.common import free_memory, spans_by_bytes, text_buffer
+from liftlake.llm.common import free_memory, in_parts, spans_by_bytes, text_buffer
 
 BATCH_BYTES = 1 << 20
 KINDS = ("assign", "access", "hex", "random")
@@ -180,7 +180,7 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
     names = [part.split()[0] for part in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             spans = _span_lists(batch.column(1), ratios, least_ratio)
             count = [[sum(kind == k for _, kind, _ in own) for own in spans] for k in range(4)]
             text = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own) for own in spans]
@@ -196,7 +196,7 @@ def mask_secrets(docs: DataFrame, ratios: np.ndarray, least_ratio: float = LEAST
     place = docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             texts = batch.column(place).to_pylist()
             for row, spans in enumerate(_span_lists(batch.column(place), ratios, least_ratio)):
                 parts, end = [], 0

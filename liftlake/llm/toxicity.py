@@ -24,7 +24,7 @@ from pyspark.ml.linalg import Matrices, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.llm.common import free_memory
+from liftlake.llm.common import free_memory, in_parts
 from liftlake.session import materialize
 
 #: Labels up to this number are broadcast to the documents; more are joined by a shuffle.
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     """doc_id, held_out, score, predicted of each row. Null text: as the empty one. Repeated rows: each returned."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             values = [model.score(text) for text in batch.column(2).to_pylist()]
             hit = pa.array([int(v >= threshold) for v in values], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), hit], names=["doc_id", "held_out", "score", "predicted"])
@@ -324,7 +324,7 @@ def accepted_documents(docs: DataFrame, model: ToxicityModel, threshold: float =
     place = docs.columns.index("text")
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             yield batch.filter(pa.array([model.score(text) < threshold for text in batch.column(place).to_pylist()], pa.bool_()))
         model.forget()
 

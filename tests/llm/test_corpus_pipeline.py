@@ -5,10 +5,11 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from liftlake.llm import mixture, toxicity
+from liftlake.llm import byte_bpe, mixture, overlap_join, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -86,3 +87,35 @@ def test_the_whole_pipeline_runs_on_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "table", lambda _, __, name: docs if name == "documents" else None)
     out = corpus_pipeline.run(spark, "").collect()
     assert out and 2 not in {r.doc_id for r in out}
+
+
+def test_workers_keep_no_words_of_an_ended_task(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(i, prose(i, 300)) for i in range(40)], "doc_id long, text string").repartition(4)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(byte_bpe._vocabulary(*vocabulary).known)])], names=["words"])
+
+    for job in (byte_bpe.encoding_report, byte_bpe.encode_documents):
+        assert len(job(docs, *vocabulary).collect()) == 40
+        assert {r.words for r in spark.range(0, 16, 1, 4).mapInArrow(held, "words long").collect()} == {0}  # the same workers
+
+
+def test_rows_go_to_workers_in_batches_of_a_few_mb(spark):
+    session = spark.newSession()
+    corpus_pipeline.batch_by_bytes(session)
+    docs = session.range(0, 600, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 2000) as text")
+    sizes = [r.size for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"]) for b in batches), "size long").collect()]
+    assert sum(sizes) > 600 * 22_000 and max(sizes) < 5 << 20
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "9m")  # the caller's value stays
+    corpus_pipeline.batch_by_bytes(session)
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "9m"
+
+
+def test_frequent_shingles_are_counted_over_batches(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    docs = session.createDataFrame([(i, "one two three four five") for i in range(6)] + [(9, None), (10, "")], "doc_id long, text string").coalesce(1)
+    assert [n for _, n in overlap_join._frequent(docs, 10).tolist()] == [6]
