@@ -7,7 +7,9 @@ are *short* ones and any partner occurs in at least one of them; the others are
 hash), one order for all documents, so the long lists of passages that many
 documents share are never merged. The short lists are merged by sorting postings by
 shingle; the long ones are only probed, by binary search in the sorted set of a
-candidate, when its overlap is counted.
+candidate, when its overlap is counted. Shingles are ranked by count for the whole
+table, exactly or by the cell of their hash, so that those which texts share by chance
+stay out of the short lists however large the table is.
 
 Only the components are asked for, so a list of k copies needs no k * k / 2 pairs:
 each list is tied to its first document, links are verified, and only lists whose
@@ -19,6 +21,7 @@ either verified or already connected.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,20 @@ THRESHOLD = 75  # per cent
 BATCH_BYTES = 1 << 20
 #: Frequent shingles whose counts order the lists and whose postings are salted. Any order gives the same links.
 FREQUENT = 65_536
+#: The others are ordered by how many shingles have the same leading bits, counted to 65,535.
+CELL_BITS = 22
+CELL_MOST = 65_535
+LOTS = 256
 LOCAL_REPEATS = 3
 LOCAL_BYTES = 16 << 20
 SALTS = 64
-#: Documents in a block of the second step.
+#: Documents of a list that are always held against each other as pairs, in the second step.
 BLOCK = 64
+#: Longer lists are held together block by block if they have so many documents in a block on average, else as pairs too.
+CROWD = 16
+#: Documents and shingles in a block: a task holds two blocks.
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 200_000
 #: Rows of ids, keys or labels (40 bytes at most) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -100,41 +112,83 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    """The cell of each shingle: the leading bits of its hash, so that cells of sorted hashes are sorted."""
+    return (hashes >> (64 - CELL_BITS)) + (1 << (CELL_BITS - 1))
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal sorted values start, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return starts, np.diff(np.append(starts, len(values)))
+
+
 def _frequent(docs: DataFrame, limit: int) -> np.ndarray:
-    """Shingles with the most documents, as (hash, count) columns.
+    """Shingles with the most documents, as (hash, count) columns."""
+    return _counted(docs, limit)[0]
+
+
+def _counted(docs: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with the most documents, as (hash, count) columns, and how many shingles of all sets each cell has.
 
     Each task sums what repeats inside ``LOCAL_BYTES`` of its text, over all documents;
     shingles that nowhere repeat locally are not frequent. Bounded by ``limit``.
+    Those that repeat only across the table are told from rare ones by their cell: a task counts
+    each up to 255 and sends the counts, packed in ``LOTS`` rows, beside its repeats.
     """
 
-    def repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(lots, hashes, counts, cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lots, pa.int32()), pa.array(hashes, pa.int64()), pa.array(counts, pa.int64()), pa.array(cells, pa.binary())], names=["lot", "hash", "df", "cells"])
+
+    def repeats(sets: list[np.ndarray], cells: np.ndarray) -> pa.RecordBatch:
         hashes = np.concatenate(sets)
         sets.clear()
         hashes.sort()
-        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
-        counts = np.diff(np.append(starts, len(hashes)))
+        of = cell_of(hashes)
+        starts, counts = _runs(of)
+        at = of[starts]
+        cells[at] = np.minimum(cells[at] + counts, 255)
+        del of
+        starts, counts = _runs(hashes)
         keep = counts >= LOCAL_REPEATS
-        return pa.RecordBatch.from_arrays([pa.array(hashes[starts[keep]]), pa.array(counts[keep].astype(np.int64))], names=["hash", "df"])
+        return rows((hashes[starts[keep]] & (LOTS - 1)).astype(np.int32), hashes[starts[keep]], counts[keep], [None] * int(keep.sum()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = [], 0
+        sets, held, cells = [], 0, np.zeros(1 << CELL_BITS, np.uint8)
         for batch in batches:
             _, offsets = text_buffer(batch.column(0))
             for lo, hi in spans_by_bytes(offsets, PART_BYTES):
                 size = offsets[hi] - offsets[lo]
                 if sets and held + size > LOCAL_BYTES:
-                    yield repeats(sets)
+                    yield repeats(sets, cells)
                     held = 0
                 sets += shingle_sets(batch.column(0).slice(lo, hi - lo))
                 held += size
         if sets:
-            yield repeats(sets)
+            yield repeats(sets, cells)
+            for lot, part in enumerate(np.split(cells, LOTS)):
+                yield rows([lot], [None], [None], [zlib.compress(part.tobytes(), 1)])
         free_memory()
 
-    local = docs.select("text").mapInArrow(count, "hash long, df long")
-    top = local.groupBy("hash").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "hash").limit(limit).collect()
-    found = np.array([(r.hash, r.df) for r in top], np.int64).reshape(-1, 2)
-    return found[np.argsort(found[:, 0])]
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros((1 << CELL_BITS) // LOTS, np.int64)
+        for part in group.column("cells").drop_null():
+            total += np.frombuffer(zlib.decompress(part.as_buffer()), np.uint8)
+        lot = group.column("lot")[0].as_py()
+        found = group.filter(group.column("hash").is_valid()).group_by("hash").aggregate([("df", "sum")]).sort_by([("df_sum", "descending"), ("hash", "ascending")]).slice(0, limit)
+        mine = rows([lot], [None], [None], [np.minimum(total, CELL_MOST).astype(np.uint16).tobytes()])
+        known = rows([lot] * found.num_rows, found.column("hash").to_numpy(), found.column("df_sum").to_numpy(), [None] * found.num_rows)
+        return pa.Table.from_batches([mine, known])
+
+    schema = "lot int, hash long, df long, cells binary"
+    lots = docs.select("text").mapInArrow(count, schema).groupBy("lot").applyInArrow(add, schema)
+    top = lots.orderBy(F.col("cells").isNull(), F.desc("df"), "hash").limit(limit + LOTS).collect()
+    found = np.array([(r.hash, r.df) for r in top if r.cells is None], np.int64).reshape(-1, 2)
+    cells = np.zeros((LOTS, (1 << CELL_BITS) // LOTS), np.uint16)
+    for r in top:
+        if r.cells is not None:
+            cells[r.lot] = np.frombuffer(r.cells, np.uint16)
+    return found[np.argsort(found[:, 0])], cells.reshape(-1)
 
 
 def packed_bins(hashes: np.ndarray) -> bytes:
@@ -167,7 +221,7 @@ def may_reach(n_one: int, one: bytes, n_other: int, other: bytes, threshold: int
     return (int(np.minimum(x, y).sum()) + cut) * (100 + threshold) >= (n_one + n_other) * threshold
 
 
-def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
+def _short_lists(docs: DataFrame, frequent: np.ndarray, cells: np.ndarray, threshold: int) -> DataFrame:
     """doc_id, n, key (digest of the set), the document's short lists (hot ones apart) and the bins of the set."""
     schema = "doc_id long, n int, key binary, short array<long>, hot array<long>, bins binary"
 
@@ -184,7 +238,7 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, df[at], 0)
-                best = np.lexsort((s, rank))[: n - -(-threshold * n // 100) + 1] if n else np.zeros(0, np.int64)
+                best = np.lexsort((s, rank * (CELL_MOST + 1) + cells[cell_of(s)]))[: n - -(-threshold * n // 100) + 1] if n else np.zeros(0, np.int64)
                 is_hot = rank[best] > 0
                 short.append(s[best[~is_hot]])
                 hot.append(s[best[is_hot]])
@@ -194,7 +248,7 @@ def _short_lists(docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(lists, schema)
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def small_side(ids: DataFrame) -> DataFrame:
     """A written table of ids, broadcast only behind a check of its number of rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -203,12 +257,12 @@ def _first_of_class(filled: DataFrame) -> DataFrame:
     """key, first (smallest doc_id) and first_rows (rows with that id) of the sets that several rows have."""
     rows = filled.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
     found = rows.groupBy("key").agg(F.min(F.struct("doc_id", "rows")).alias("m"), F.sum("rows").alias("rows")).where("rows > 1")
-    return _small(materialize(found.select("key", F.col("m.doc_id").alias("first"), F.col("m.rows").alias("first_rows"))))
+    return small_side(materialize(found.select("key", F.col("m.doc_id").alias("first"), F.col("m.rows").alias("first_rows"))))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the given documents; the ids are broadcast only behind a check of their number."""
-    return docs.join(_small(materialize(ids)), "doc_id", "left_semi").select("doc_id", "text")
+    return docs.join(small_side(materialize(ids)), "doc_id", "left_semi").select("doc_id", "text")
 
 
 def _occurring(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -218,7 +272,7 @@ def _occurring(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     merely share a passage end here, before any text is moved.
     """
     pairs = materialize(pairs)
-    ids = _small(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
+    ids = small_side(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     own = materialize(sets.join(ids, "doc_id", "left_semi").select("doc_id", "n", "bins").distinct())
     both = pairs.join(own.toDF("a", "na", "bins_a"), "a").join(own.toDF("b", "nb", "bins_b"), "b").select("a", "b", "na", "bins_a", "nb", "bins_b")
 
@@ -256,12 +310,13 @@ def _linked_in_blocks(meeting: DataFrame, members: DataFrame, docs: DataFrame, t
         block, ids, label = (group.column(c).to_numpy() for c in ("block", "doc_id", "component"))
         sets = shingle_sets(group.column("text").combine_chunks())
         same = group.column("left")[0].as_py() == group.column("right")[0].as_py()
-        found = [
-            (ids[i], ids[j])
-            for i in range(len(ids))
-            for j in range(i + 1, len(ids))
-            if (same or block[i] != block[j]) and label[i] != label[j] and ids[i] != ids[j] and _reaches(sets[i], sets[j], threshold)
-        ]
+        sizes = np.array([len(s) for s in sets])
+        found = []
+        for i in range(len(ids)):
+            open_to = (label[i + 1 :] != label[i]) & (ids[i + 1 :] != ids[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]))
+            if not same:
+                open_to &= block[i + 1 :] != block[i]
+            found += [(ids[i], ids[j]) for j in np.flatnonzero(open_to) + i + 1 if _reaches(sets[i], sets[j], threshold)]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return left.union(right).groupBy("left", "right").applyInArrow(link, "a long, b long").distinct()
@@ -299,8 +354,7 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     * Null doc_id: counted, component null, links with nothing. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
-    top = _frequent(docs, frequent)
-    sets = materialize(_short_lists(docs, top, threshold))
+    sets = materialize(_short_lists(docs, *_counted(docs, frequent), threshold))
 
     # one node for equal sets: the lists of its other rows are not moved
     filled = sets.where("n > 0 and doc_id is not null")
@@ -333,26 +387,30 @@ def overlap_groups(docs: DataFrame, threshold: int = THRESHOLD, frequent: int =
     links = materialize(_verified(_occurring(near, sets, threshold), docs, threshold))
 
     # lists whose documents are still apart
-    label = _small(components(links).select(F.col("node").alias("doc_id"), "component"))
+    label = small_side(components(links).select(F.col("node").alias("doc_id"), "component"))
     nodes = stars.select("hash", F.col("head").alias("doc_id"), F.col("head_n").alias("n"), F.lit(True).alias("strong"), "head").distinct()
     nodes = nodes.union(stars.select("hash", "doc_id", "n", "strong", "head"))
     nodes = nodes.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = nodes.groupBy("hash").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hash", "docs")
     still = materialize(nodes.join(apart, "hash"))
 
-    # short ones: the pairs themselves
-    few = still.where(F.col("docs") <= BLOCK)
+    # long ones: blocks of documents under one head. A list whose documents are strewn over many blocks is one of pairs:
+    # blocks that meet for a few documents would move all their texts
+    many = still.where(F.col("docs") > BLOCK)
+    tops = many.groupBy("doc_id", "component").agg(F.min("head").alias("top"), F.max("n").alias("n"))
+    sizes = tops.groupBy("top").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    tops = materialize(tops.join(sizes, "top").select("doc_id", "component", F.xxhash64("top", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")))
+    of_list = materialize(many.select("hash", "docs", "doc_id").join(tops, "doc_id").groupBy("hash", "docs", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    crowded = materialize(of_list.groupBy("hash").agg(F.max("docs").alias("docs"), F.count("*").alias("blocks")).where(f"docs >= {CROWD} * blocks").select("hash"))
+
+    # the other ones: the pairs themselves
+    few = still.join(crowded, "hash", "left_anti")
     l, r = few.select("hash", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("strong").alias("sa"), F.col("component").alias("ca")), few.select("hash", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("strong").alias("sb"), F.col("component").alias("cb"))
     open_pairs = l.join(r, "hash").where("a < b and ca <> cb").where(f"na <= nb and sa and 100 * na >= {threshold} * nb or nb <= na and sb and 100 * nb >= {threshold} * na")
     more = materialize(_verified(_occurring(open_pairs.select("a", "b").distinct(), sets, threshold), docs, threshold))
 
-    # longer ones: blocks of documents under one head, which meet where they share such a list
-    many = still.where(F.col("docs") > BLOCK)
-    tops = many.groupBy("doc_id", "component").agg(F.min("head").alias("top"))
-    sizes = tops.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    tops = tops.join(sizes, "top").select("doc_id", "component", F.xxhash64("top", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block"))
-    tops = materialize(tops)
-    of_list = materialize(many.select("hash", "doc_id").join(tops, "doc_id").groupBy("hash", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    # blocks meet where they share a list
+    of_list = of_list.join(crowded, "hash", "left_semi")
     l, r = of_list.select("hash", F.col("block").alias("left"), F.col("lo").alias("l1"), F.col("hi").alias("l2")), of_list.select("hash", F.col("block").alias("right"), F.col("lo").alias("r1"), F.col("hi").alias("r2"))
     meeting = l.join(r, "hash").where("left <= right and (l1 <> r2 or l2 <> r1)").select("left", "right").distinct()
     more = more.union(materialize(_linked_in_blocks(materialize(meeting), tops, docs, threshold)))

@@ -447,3 +447,66 @@ def test_suspects_looks_at_plain_words_for_repeats_alone(monkeypatch):
     text = "plain words, (some) of them; baaad baaad. id1ot (b@d) çççok naïïïve, x++ a.b.c w_w_w 漢漢漢 ééé! no"
     assert toxicity.suspects(text) == {"(b@d", "(some", "a.b.c", "a.b.c w_w_w", "b@d", "baaad", "id1ot", "naïïïve", "w_w_w", "x++", "çççok", "ééé", "漢漢漢"}
     assert searched and not any(token.isalpha() for token in searched)
+
+
+def overlap_links(rows):
+    """The result of overlap_groups over rows of distinct ids, by all pairs."""
+    sets = {i: {tuple(text.split()[k : k + 5]) for k in range(len(text.split()) - 4)} for i, text in rows}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    return collections.Counter((i, len(x), label[i]) for i, x in sets.items())
+
+
+def test_shingles_of_two_documents_make_no_candidates_where_others_are_rarer(spark, monkeypatch):
+    shared = {}
+    for i in range(30):
+        for k in (1, 4, 9):
+            shared.setdefault(i, []).append(prose(9000 + 100 * i + k, 8))
+            shared.setdefault((i + k) % 30, []).append(shared[i][-1])
+    rows = [(i, " ".join([prose(8000 + i, 200), *shared[i]])) for i in range(30)]
+    rows.append((30, rows[3][1] + " and one line more"))
+    looked, old = [], overlap_join._occurring
+    monkeypatch.setattr(overlap_join, "_occurring", lambda pairs, *rest: looked.extend(pairs.collect()) or old(pairs, *rest))
+    out = multiset(overlap_join.overlap_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == overlap_links(rows)
+    assert {(r.a, r.b) for r in looked} == {(3, 30)}
+
+
+def test_lists_strewn_over_many_blocks_move_no_texts(spark, monkeypatch):
+    passages = [prose(7000 + k, 12) for k in range(20)]
+    chosen = np.random.default_rng(5)
+    rows = [(i, " ".join(passages[k] for k in chosen.permutation(20)[:6])) for i in range(60)]
+    rows += [(60 + i, rows[i][1].replace(rows[i][1].split()[3], "word", 1)) for i in range(10)]
+    moved, old = [], overlap_join._linked_in_blocks
+
+    def spy(meeting, members, *rest):
+        size = {r.block: r["count"] for r in members.groupBy("block").count().collect()}
+        moved.extend(size[r.left] + (r.right != r.left) * size[r.right] for r in meeting.collect())
+        return old(meeting, members, *rest)
+
+    monkeypatch.setattr(overlap_join, "BLOCK", 4)
+    monkeypatch.setattr(overlap_join, "_linked_in_blocks", spy)
+    out = multiset(overlap_join.overlap_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == overlap_links(rows)
+    assert sum(moved) <= 2 * len(rows)
+
+
+def test_crowds_of_near_copies_are_linked_block_by_block(spark, monkeypatch):
+    base, edit = prose(6000, 60).split(), np.random.default_rng(6)
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for at in edit.permutation(60)[: i % 6]:
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    met, old = [], overlap_join._linked_in_blocks
+    monkeypatch.setattr(overlap_join, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(overlap_join, "CROWD", 4)
+    monkeypatch.setattr(overlap_join, "BLOCK", 8)
+    monkeypatch.setattr(overlap_join, "_linked_in_blocks", lambda meeting, *rest: met.append(meeting.count()) or old(meeting, *rest))
+    out = multiset(overlap_join.overlap_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert met[0] > 1 and out == overlap_links(rows)
