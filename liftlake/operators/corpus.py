@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from liftlake.functions import fixed
-from liftlake.session import materialize
+from liftlake.session import FEW_ROWS, materialize
 
 SPLIT_ROWS = 1_000_000  # postings of one term per join key
 PART_CHARS = 8_000_000  # text of one task that counts terms: some million tokens
@@ -270,20 +270,26 @@ SEED_TERMS = 4
 def _matched(query_rows: DataFrame, index: DataFrame, terms: DataFrame, split_rows: int) -> DataFrame:
     """Query terms meet postings; a frequent term's postings are spread over several keys.
 
-    Only terms with more than ``split_rows`` postings are spread, and only those of a query
-    are listed: the list is written, and its measured size decides whether it travels to the index.
+    Postings of terms that no query has are left out before any of them moves: the list of
+    asked terms, with the number of keys of each, is written and travels to the index. Where
+    the spread queries are too many to travel too, a posting comes back to its chunk with
+    its queries in one row, and what adds up a chunk's scores leaves the rows in place.
     """
-    frequent = terms.filter(F.col("df") > split_rows).join(query_rows.select("term").distinct(), "term", "left_semi")
-    frequent = materialize(frequent.select("term", F.ceil(F.col("df") / F.lit(split_rows)).cast("int").alias("__parts")))
-    parts = F.coalesce("__parts", F.lit(1))
+    asked = query_rows.select("term").distinct().join(terms, "term")
+    asked = materialize(asked.select("term", F.ceil(F.col("df") / F.lit(split_rows)).cast("int").alias("__parts")))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     lots = -(-query_rows.select("query_id").distinct().count() // LOT_QUERIES) or 1
-    placed = index.join(frequent, "term", "left").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int")).drop("__parts")
-    spread = (
-        query_rows.join(frequent, "term", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    )
-    # a term's queries share its rows, in lots of bounded size; written, so that a small table is known to be small and the index stays in place
+    placed = index.join(asked, "term").withColumn("__part", F.pmod(F.xxhash64("chunk_id"), F.col("__parts")).cast("int")).drop("__parts")
+    spread = query_rows.join(asked, "term").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    # a term's queries share its rows, in lots of bounded size; written, so that their number is known
     spread = spread.groupBy("term", "__part", F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("__lot")).agg(F.collect_list(F.struct("query_id", "a")).alias("__queries"))
-    return placed.join(materialize(spread), ["term", "__part"]).select("chunk_id", "term", "g", F.inline("__queries"))
+    spread = materialize(spread)
+    entries = spread.agg(F.sum(F.size("__queries"))).first()[0] or 0
+    if entries <= FEW_ROWS:
+        met = placed.join(F.broadcast(spread), ["term", "__part"])
+    else:
+        met = placed.join(spread.hint("shuffle_merge"), ["term", "__part"]).select("chunk_id", "g", "__queries").repartition("chunk_id")
+    return met.select("chunk_id", "g", F.inline("__queries"))
 
 
 def _top(scores: DataFrame, top_k: int, by: str = "score") -> DataFrame:

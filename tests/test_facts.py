@@ -366,3 +366,23 @@ def test_catalog_counts_values_in_their_own_types(spark, monkeypatch):
     assert out["e", "real"].position == 1 and out["e", "whole"].values == ["1"] and len(out) == 12
     # numbers, days and times are not made text to be counted
     assert {"bigint", "double", "float", "decimal(9,2)", "boolean", "date", "timestamp_ntz", "string"} == {w["value"] for w in written if "value" in w}
+
+
+def test_only_asked_postings_move_and_come_back_to_their_chunk_once(spark, monkeypatch):
+    held = [(f"c{i}", f"t{k}", 0.5 + i + k) for i in range(40) for k in range(12) if (i + k) % 3]
+    index = spark.createDataFrame(held, "chunk_id string, term string, g double")
+    terms = index.groupBy("term").agg(F.count("*").alias("df"))
+    asked = [(q, f"t{k}", 1.0 + q) for q in range(3) for k in (0, 1, 4 + q)]
+    queries = spark.createDataFrame(asked, "query_id long, term string, a double")
+    want = {}
+    for q, t, a in asked:
+        for c, term, g in held:
+            if t == term:
+                want[q, c] = want.get((q, c), 0.0) + a * g
+    for most in (0, 1_000_000):  # spread over keys by a shuffle, and in place
+        monkeypatch.setattr(corpus, "FEW_ROWS", most)
+        partial = corpus._matched(queries, index, terms, 5).groupBy("query_id", "chunk_id").agg(F.sum(F.col("a") * F.col("g")).alias("p"))
+        plan = partial._jdf.queryExecution().executedPlan().toString()
+        got = {(r.query_id, r.chunk_id): r.p for r in partial.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert most or "hashpartitioning(query_id" not in plan and plan.count("hashpartitioning(chunk_id") == 1
