@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from liftlake.llm.byte_bpe import encoding_report
 from liftlake.llm.common import table
 from liftlake.llm.mixture import mixed_documents
-from liftlake.llm.overlap_join import overlap_groups
+from liftlake.llm.overlap_join import overlap_groups, small_side
 from liftlake.llm.secret_scan import mask_secrets, train_models
 from liftlake.llm.toxicity import accepted_documents, train
 from liftlake.session import batch_by_bytes, materialize
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     batch_by_bytes(spark)
     digests = docs.where("doc_id is not null").groupBy("doc_id").agg(*[f(F.xxhash64(F.col("text").isNull(), "text")).alias(f.__name__) for f in (F.min, F.max)])
-    several = materialize(digests.where("min <> max").select(F.col("doc_id").alias("__several")))
+    several = small_side(materialize(digests.where("min <> max").select(F.col("doc_id").alias("__several"))))
     marked = docs.join(several, docs.doc_id == several["__several"], "left")
     own = F.col("doc_id").isNull() | F.col("__several").isNotNull()
     marked = marked.withColumn("__own", own).withColumn("__row", F.when(own, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id")))
@@ -44,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     mixed = groups.join(names, "doc_id", "left").groupBy("component_id").agg(F.min(order).alias("first"), F.max(F.coalesce("__odd", F.lit(False))).alias("odd"))
     mixed = materialize(mixed.where("odd").select("component_id", F.col("first.doc_id").alias("__first")))
     groups = groups.join(mixed, "component_id", "left").withColumn("__first", F.coalesce("__first", "component_id"))
-    copies = materialize(groups.where("doc_id <> __first").select(F.col("doc_id").alias("__row")).distinct())
-    repeated = materialize(groups.groupBy(F.col("doc_id").alias("__row")).count().where("count > 1").select("__row"))
+    copies = small_side(materialize(groups.where("doc_id <> __first").select(F.col("doc_id").alias("__row")).distinct()))
+    repeated = small_side(materialize(groups.groupBy(F.col("doc_id").alias("__row")).count().where("count > 1").select("__row")))
     kept = plain.join(copies, "__row", "left_anti")
     once = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
     return once.unionByName(odd.join(copies, "__row", "left_anti")).select(*docs.columns)

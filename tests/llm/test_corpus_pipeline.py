@@ -119,3 +119,18 @@ def test_frequent_shingles_are_counted_over_batches(spark):
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     docs = session.createDataFrame([(i, "one two three four five") for i in range(6)] + [(9, None), (10, "")], "doc_id long, text string").coalesce(1)
     assert [n for _, n in overlap_join._frequent(docs, 10).tolist()] == [6]
+
+
+def test_texts_stay_in_place_while_near_duplicates_go(spark):
+    rows = [(i, prose(i), "en", "s", 1) for i in range(6)] + [(6, prose(0), "en", "s", 1), (6, prose(0), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as where the list of copies is larger than that
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(6))
+    finally:
+        spark.conf.set(key, before)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
